@@ -20,6 +20,15 @@ def div(a, b) -> Column:
     return F.try_divide(col(a), col(b))
 
 
+def corr_of(x, y, over=None) -> Column:
+    """Correlation of complete pairs, null when one side does not vary (`corr` raises an error there)."""
+    x, y = col(x), col(y)
+    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    parts = [F.covar_pop(x, y), F.stddev_pop(x), F.stddev_pop(y)]
+    cov, sx, sy = parts if over is None else [p.over(over) for p in parts]
+    return F.try_divide(cov, sx * sy)
+
+
 def true_or_false(cond: Column) -> Column:
     """A comparison with null counts as false."""
     return F.coalesce(cond, F.lit(False))

@@ -6,7 +6,7 @@ The cross-sectional ones group by timestamp.  A timestamp holds at most one bar
 
 from pyspark.sql import DataFrame, functions as F
 
-from quantloom.functions.scalar import div
+from quantloom.functions.scalar import corr_of, div
 from quantloom.operators.indicators import indicator
 from quantloom.operators.ranks import count_below
 from quantloom.operators.series import Series
@@ -50,7 +50,7 @@ def sub_beta(s, own, other, start, end):
 
 def sub_corr(s, own, other, start, end):
     moving = (s.over(F.var_samp(own), start, end) > 0) & (s.over(F.var_samp(other), start, end) > 0)
-    return F.when(moving, s.over(F.corr(own, other), start, end))
+    return F.when(moving, corr_of(own, other, s.order.rowsBetween(start, end)))
 
 
 @indicator("BetaStability", needs=("close", "benchmark"), benchmark_column="benchmark", period=60, sub_period=20)

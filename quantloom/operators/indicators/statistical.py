@@ -98,7 +98,7 @@ def linear_regression(s, period):
 
 @indicator("Correlation", needs=("close", "volume"), period=20, reference_column="volume")
 def correlation(s, period, reference_column):
-    return {"correlation": s.roll(safe_corr, period, s.close, reference_column)}
+    return {"correlation": s.roll_corr(period, s.close, reference_column)}
 
 
 @indicator("Covariance", needs=("close", "volume"), period=20, reference_column="volume")
@@ -106,10 +106,6 @@ def covariance(s, period, reference_column):
     return {"covariance": s.roll(F.covar_samp, period, s.close, reference_column)}
 
 
-def safe_corr(x, y):
-    return F.corr(x, y)
-
-
 @indicator("Beta", needs=("close", "market_return"), period=60, market_column="market_return")
 def beta(s, period, market_column):
     r = s.let(s.pct(s.close))
@@ -119,7 +115,7 @@ def beta(s, period, market_column):
 
 @indicator("RSquared", needs=("close", "market_return"), period=60, market_column="market_return")
 def r_squared(s, period, market_column):
-    return {"r_squared": F.pow(s.roll(safe_corr, period, s.let(s.pct(s.close)), F.col(market_column)), 2)}
+    return {"r_squared": F.pow(s.roll_corr(period, s.let(s.pct(s.close)), F.col(market_column)), 2)}
 
 
 @indicator("ZScore", period=20)

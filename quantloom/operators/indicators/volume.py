@@ -72,7 +72,7 @@ def volume_weighted_macd(s, fast_period, slow_period, signal_period):
 
 @indicator("VolumePriceConfirmation", needs=CV, period=20)
 def volume_price_confirmation(s, period):
-    return {"vpc": s.roll(F.corr, period, s.let(s.pct(s.close)), s.let(s.pct(s.volume)))}
+    return {"vpc": s.roll_corr(period, s.let(s.pct(s.close)), s.let(s.pct(s.volume)))}
 
 
 @indicator("VolumeWeightedRSI", needs=CV, period=14)

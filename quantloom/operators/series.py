@@ -20,7 +20,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quantloom.functions.scalar import div, strict_greatest
+from quantloom.functions.scalar import corr_of, div, strict_greatest
 
 _TMP = re.compile(r"_q\d+_")
 ROW, BLOCK, OWN = "_row", "_block", "_own"
@@ -59,26 +59,13 @@ def into_blocks(df: DataFrame, rows: int, lookback: int) -> DataFrame:
     )
 
 
-class Series:
-    """Rows of `df` ordered by `ts` inside `keys`, with a builder for derived columns."""
+class Layers:
+    """Derived columns grouped by dependency: each layer is one `withColumns`."""
 
-    def __init__(self, df: DataFrame, keys=("symbol",), ts: str = "ts", block_rows: int | None = None,
-                 lookback: int = 0, chunk: Column | None = None):
-        self.keys, self.ts, self.blocked = list(keys), ts, block_rows is not None
-        self.source_columns = df.columns
-        if self.blocked:
-            chunk = F.date_trunc("month", F.col(ts)) if chunk is None else chunk
-            df = into_blocks(number_rows(df, self.keys, ts, chunk), block_rows, lookback)
-            self.part = [*self.keys, BLOCK]
-            self.order = Window.partitionBy(*self.part).orderBy(ROW)
-        else:
-            self.part = self.keys
-            self.order = Window.partitionBy(*self.part).orderBy(ts)
-            df = df.withColumn(ROW, F.row_number().over(self.order).cast("long"))
+    def __init__(self, df: DataFrame):
         self._df, self._known, self._level, self._pending = df, {}, {}, {}
-        self._base_level = 0
+        self.source_columns = df.columns
 
-    # ---- layering -------------------------------------------------------------------------------------------
     def let(self, expr: Column) -> Column:
         """Name an intermediate column.  Equal expressions are computed once."""
         text = str(expr)
@@ -97,12 +84,37 @@ class Series:
         return self._df
 
     def frame(self, outputs: dict[str, Column], keep: list[str] | None = None) -> DataFrame:
-        """Source columns (or `keep`) and the named outputs; rows of the look-back margin are gone."""
+        """Source columns (or `keep`) and the named outputs."""
         lets = {name: self.let(expr) for name, expr in outputs.items()}
-        df = self._flush()
+        keep = self.source_columns if keep is None else keep
+        return self._finish(self._flush()).select(*keep, *[c.alias(n) for n, c in lets.items()])
+
+    def _finish(self, df: DataFrame) -> DataFrame:
+        return df
+
+
+class Series(Layers):
+    """Rows of `df` ordered by `ts` inside `keys`, with a builder for derived columns."""
+
+    def __init__(self, df: DataFrame, keys=("symbol",), ts: str = "ts", block_rows: int | None = None,
+                 lookback: int = 0, chunk: Column | None = None):
+        self.keys, self.ts, self.blocked = list(keys), ts, block_rows is not None
+        source = df.columns
         if self.blocked:
-            df = df.where(OWN)
-        return df.select(*(keep or self.source_columns), *[c.alias(n) for n, c in lets.items()])
+            chunk = F.date_trunc("month", F.col(ts)) if chunk is None else chunk
+            df = into_blocks(number_rows(df, self.keys, ts, chunk), block_rows, lookback)
+            self.part = [*self.keys, BLOCK]
+            self.order = Window.partitionBy(*self.part).orderBy(ROW)
+        else:
+            self.part = self.keys
+            self.order = Window.partitionBy(*self.part).orderBy(ts)
+            df = df.withColumn(ROW, F.row_number().over(self.order).cast("long"))
+        super().__init__(df)
+        self.source_columns = source
+
+    def _finish(self, df: DataFrame) -> DataFrame:
+        """Rows of the look-back margin are gone."""
+        return df.where(OWN) if self.blocked else df
 
     # ---- bar columns (looked up when used, a Column needs a running session) ------------------------------------
     @property
@@ -158,6 +170,12 @@ class Series:
             seen = F.when(other.isNotNull(), seen)
         return F.when(F.count(seen).over(w) == n, f(*xs).over(w))
 
+    def roll_corr(self, n: int, x, y) -> Column:
+        """Correlation over the last n rows, null until n complete pairs exist."""
+        x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+        w = self.last_rows(n)
+        return F.when(F.count(F.when(y.isNotNull(), x)).over(w) == n, corr_of(x, y, w))
+
     def window_array(self, n: int, x) -> Column:
         """The last n values as an array, oldest first; null until n values exist."""
         w = self.last_rows(n)

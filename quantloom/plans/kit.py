@@ -53,6 +53,17 @@ BENCH = "bench AS (SELECT ts, avg(ret) AS bench FROM rets GROUP BY ts)"
 SECTOR_RETURNS = """srets AS (SELECT sector, ts, avg(ret) AS ret FROM rets JOIN meta USING (symbol)
   GROUP BY sector, ts)"""
 
+_M = "CAST(round(l_discount * 100) - round(l_tax * 100) AS BIGINT)"
+ASSET = f"""asset AS (SELECT l_suppkey AS symbol, l_shipdate AS ts, sum({_M}) / (count(*) * 100.0::DOUBLE) AS ret
+  FROM lineitem GROUP BY 1, 2)"""
+MARKET = f"""market AS (SELECT l_shipdate AS ts, sum({_M}) / (count(*) * 100.0::DOUBLE) AS bench FROM lineitem GROUP BY 1)"""
+SECTOR = f"""sret AS (SELECT sector, l_shipdate AS ts, sum({_M}) / (count(*) * 100.0::DOUBLE) AS ret
+  FROM lineitem JOIN meta ON l_suppkey = symbol GROUP BY 1, 2)"""
+FACTORS = f"""factors AS (SELECT * FROM (SELECT l_shipdate AS ts, """ + ", ".join(
+    f"sum({_M}) FILTER (geography = '{n}') / (nullif(count(*) FILTER (geography = '{n}'), 0) * 100.0::DOUBLE) AS f{i}"
+    for i, n in enumerate(("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"))) + """
+  FROM lineitem JOIN meta ON l_suppkey = symbol GROUP BY 1) WHERE f0 + f1 + f2 + f3 + f4 IS NOT NULL)"""
+
 HOLDINGS = """holdings AS (SELECT o_custkey AS portfolio, l_suppkey AS symbol, sum(l_extendedprice) AS value,
   sum(l_quantity) AS qty FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
 weights AS (SELECT *, value / nullif(sum(value) OVER (PARTITION BY portfolio), 0) AS w FROM holdings)"""

@@ -77,6 +77,45 @@ def sector_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
             .groupBy("sector", "ts").agg(F.avg("ret").alias("ret")))
 
 
+# ---- returns of the trade margin ------------------------------------------------------------------------------
+# Discount minus tax of the lines, in whole basis points of 100, so that every mean is a quotient of two integers.
+
+def _margins(spark: SparkSession, sf_dir: str, *columns) -> DataFrame:
+    percent = (F.round(F.col("l_discount") * 100) - F.round(F.col("l_tax") * 100)).cast("long")
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("symbol"), F.col("l_shipdate").alias("ts"), percent.alias("_m"), *columns)
+
+
+def _mean_margin(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    return df.groupBy(*keys).agg((F.sum("_m") / (F.count(F.lit(1)) * 100.0)).alias(name))
+
+
+def asset_returns(spark, sf_dir) -> DataFrame:
+    """(symbol, ts, ret)"""
+    return _mean_margin(_margins(spark, sf_dir), ["symbol", "ts"], "ret")
+
+
+def market_returns(spark, sf_dir) -> DataFrame:
+    """(ts, bench): one row per day."""
+    return _mean_margin(_margins(spark, sf_dir), ["ts"], "bench")
+
+
+def group_returns(spark, sf_dir, group: str) -> DataFrame:
+    """(group, ts, ret) with group = sector or geography."""
+    lines = _margins(spark, sf_dir).groupBy("symbol", "ts").agg(F.sum("_m").alias("_m"), F.count(F.lit(1)).alias("_n"))
+    joined = lines.join(symbol_metadata(spark, sf_dir).select("symbol", group), "symbol")
+    return joined.groupBy(group, "ts").agg((F.sum("_m") / (F.sum("_n") * 100.0)).alias("ret"))
+
+
+def factor_returns(spark, sf_dir) -> DataFrame:
+    """(ts, f0..f4): returns of the five regions, days on which all of them traded."""
+    regions = group_returns(spark, sf_dir, "geography")
+    names = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+    wide = regions.groupBy("ts").agg(*[F.max(F.when(F.col("geography") == n, F.col("ret"))).alias(f"f{i}")
+                                       for i, n in enumerate(names)])
+    return wide.dropna()
+
+
 def holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(portfolio, symbol, value, qty): what each customer bought from each supplier."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("portfolio"))
