@@ -66,13 +66,13 @@ def main():
     spark.sparkContext.setLogLevel("ERROR")
     sf_dir = f"/root/testdata/sf{a.sf}"
     con = duck(sf_dir)
-    bad = []
+    bad, ran = [], 0
     for name, make in entry.queries().items():
         if a.names and name not in a.names:
             continue
         if a.only and not make.__module__.endswith(a.only):
             continue
-        t = time.time()
+        t, ran = time.time(), ran + 1
         try:
             problem = compare(spark, con, sf_dir, name, make, entry.oracle_sql().get(name))
         except Exception as e:  # noqa: BLE001
@@ -83,7 +83,7 @@ def main():
             print(f"FAIL {name} {took:.1f}s {problem}", flush=True)
         elif took > 6:
             print(f"ok   {name} {took:.1f}s", flush=True)
-    print("failed:", len(bad), bad)
+    print("failed:", len(bad), "of", ran, bad)
 
 
 if __name__ == "__main__":
