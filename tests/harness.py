@@ -63,6 +63,8 @@ def main():
     p = argparse.ArgumentParser()
     p.add_argument("--sf", default="0.01")
     p.add_argument("--only", default="")
+    p.add_argument("--after", default="", help="only queries registered after this one")
+    p.add_argument("--until", default="", help="stop after this one")
     p.add_argument("names", nargs="*")
     a = p.parse_args()
     spark = local_session(8)
@@ -70,7 +72,10 @@ def main():
     sf_dir = f"/root/testdata/sf{a.sf}"
     con = duck(sf_dir)
     bad, ran = [], 0
-    for name, make in entry.queries().items():
+    todo = list(entry.queries().items())
+    order = [n for n, _ in todo]
+    todo = todo[order.index(a.after) + 1 if a.after else 0:order.index(a.until) + 1 if a.until else None]
+    for name, make in todo:
         if a.names and name not in a.names:
             continue
         if a.only and not make.__module__.endswith(a.only):
