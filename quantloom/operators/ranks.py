@@ -50,3 +50,24 @@ def average_ranks(df: DataFrame, keys: list[str], value: str, counts: dict, part
     below = sum((F.col(f"{n}_below") for n in counts), F.lit(0))
     ties = sum((F.col(n) for n in counts), F.lit(0))
     return c.withColumn("rank", below + (ties + 1) / 2)
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], parts: int | None = None) -> DataFrame:
+    """(keys, q0, q1, ...): linearly interpolated quantiles of groups of any size.
+
+    Works on running counts of distinct values, so no group is gathered; only the values next to each position are
+    picked.
+    """
+    c = cumulative_counts(df.where(F.col(value).isNotNull()), keys, value, {"_k": F.count(F.lit(1))}, parts)
+    n = c.groupBy(*keys).agg(F.sum("_k").alias("_n"))
+    j = c.join(n, keys) if keys else c.join(F.broadcast(n), F.lit(True))
+    first, last = F.col("_k_below"), F.col("_k_below") + F.col("_k") - 1       # 0-based positions of the ties
+    out = []
+    for i, p in enumerate(probs):
+        pos = (F.col("_n") - 1) * p
+        low, high = F.floor(pos), F.ceil(pos)
+        at = lambda x: F.max(F.when((first <= x) & (x <= last), F.col(value)))
+        out += [at(low).alias(f"_l{i}"), at(high).alias(f"_h{i}"), F.max(pos - low).alias(f"_f{i}")]
+    a = j.groupBy(*keys).agg(*out)
+    return a.select(*keys, *[(F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * F.col(f"_f{i}")).alias(f"q{i}")
+                             for i in range(len(probs))])
