@@ -31,34 +31,25 @@ def position_values(positions: DataFrame, cash: float = 0.0, cash_symbol="CASH")
 
 def average_cost(fills: DataFrame, keys=("portfolio", "symbol"), ts="ts", sell_neutral=False, block_rows=None,
                  chunk=None) -> DataFrame:
-    """Quantity held and average cost after each fill (signed qty, price).
+    """Quantity held and average cost after each fill (signed qty, price), and the realised profit of each sale.
 
     A sale enters the cost average like a purchase, so cost x quantity is a running sum that starts anew whenever the
     position is closed.  With `sell_neutral` a sale leaves the cost as it is; the average is then a gated mean whose
     gain is the bought share of the new quantity.
     """
-    s = Series(fills, keys, ts, block_rows=block_rows, chunk=chunk)
+    s = Series(fills, keys, ts, block_rows=block_rows, lookback=1, chunk=chunk)
     qty, price = F.col("qty"), F.col("price")
-    held = s.let(s.running_sum(qty))
+    held, spent = (s.let(c) for c in s.running_all([(F.sum, qty, None), (F.sum, qty * price, None)]))
     if sell_neutral:
         gain = F.when(qty > 0, F.least(div(qty, held), F.lit(1 - 1e-15))).otherwise(F.lit(0.0))
-        cost = gated_mean(s, price, s.let(gain), 1)
-        return s.frame({"fill": s.row, "held": held, "avg_cost": cost})
-    closed = F.when(held == 0, 1).otherwise(0)
-    leg = s.let(s.running_sum(s.let(closed)) - closed)           # closings before this fill
-    spent = s.let(s.running_sum(s.let(qty * price)))
-    # spent up to the last closing (a closing row itself has no cost)
-    mark = s.let(F.when(held == 0, F.struct(s.row.alias("row"), spent.alias("spent"))))
-    base = s.let(s.running_max(mark)["spent"])
-    cost = div(spent - F.coalesce(base, F.lit(0.0)), held)
-    return s.frame({"fill": s.row, "leg": leg, "held": held, "avg_cost": cost})
-
-
-def realized_pnl(fills_with_cost: DataFrame, keys=("portfolio", "symbol")) -> DataFrame:
-    """Profit of each sale against the average cost before it."""
-    s = Series(fills_with_cost, keys, "fill")
-    before = s.lag("avg_cost")
-    return s.frame({"pnl": F.when(F.col("qty") < 0, -F.col("qty") * (F.col("price") - before))})
+        cost = s.let(gated_mean(s, price, s.let(gain), 1))
+    else:
+        # spent up to the last closing (a closing row itself has no cost)
+        mark = s.let(F.when(held == 0, F.struct(s.row.alias("row"), spent.alias("spent"))))
+        base = s.let(s.running_max(mark)["spent"])
+        cost = s.let(div(spent - F.coalesce(base, F.lit(0.0)), held))
+    pnl = F.when(qty < 0, -qty * (price - s.lag(cost)))
+    return s.frame({"fill": s.row, "held": held, "avg_cost": cost, "pnl": pnl})
 
 
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:

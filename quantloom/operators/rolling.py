@@ -259,16 +259,17 @@ def rolling_comparison(returns: DataFrame, window: int = 252, keys=("symbol",),
     p, b = F.col("ret"), F.col("bench")
     ex = s.let(p - b)
     whole = s.order.rowsBetween(-(2 ** 31) + 1, 2 ** 31 - 2)
-    sd = s.let(F.stddev_samp(ex).over(w))
-    mean = s.let(F.avg(ex).over(w))
-    beta = s.let(F.coalesce(div(F.covar_samp(p, b).over(w), F.var_samp(b).over(w)), F.lit(0.0)))
-    corr = s.let(corr_of(p, b, w))
+    mp, mb = s.let(F.avg(p).over(w)), s.let(F.avg(b).over(w))
+    cov, vp, vb = (s.let(c.over(w)) for c in (F.covar_samp(p, b), F.var_samp(p), F.var_samp(b)))
+    sd, mean = F.sqrt(F.greatest(vp + vb - 2 * cov, F.lit(0.0))), mp - mb      # moments of the excess
+    beta = s.let(F.coalesce(div(cov, vb), F.lit(0.0)))
+    corr = s.let(div(cov, F.sqrt(vp * vb)))
     out = {"portfolio_return": annualized_growth(F.product(1 + p).over(w), window),
            "benchmark_return": annualized_growth(F.product(1 + b).over(w), window),
            "excess_return": annualized_growth(F.product(1 + ex).over(w), window),
            "tracking_error": sd * YEAR, "information_ratio": F.coalesce(div(mean, sd) * YEAR, F.lit(0.0)),
            "hit_ratio": F.avg(F.when(ex > 0, 1.0).otherwise(0.0)).over(w), "beta": beta,
-           "alpha": (F.avg(p).over(w) - beta * F.avg(b).over(w)) * TRADING_DAYS, "correlation": corr,
+           "alpha": (mp - beta * mb) * TRADING_DAYS, "correlation": corr,
            "r_squared": corr * corr, "_rows": F.count(F.lit(1)).over(whole), "_at": s.row}
     df = s.frame(out, keep=[*keys, ts])
     return df.where((F.col("_rows") >= 2 * window) & (F.col("_at") > window)).drop("_rows", "_at")

@@ -186,19 +186,25 @@ class Series(Layers):
 
         In blocked mode the totals of earlier blocks come from a table of one row per (key, block).
         """
+        return self.running_all([(f, x, combine)])[0]
+
+    def running_all(self, specs) -> list[Column]:
+        """Several running aggregates (f, x, combine) that share one table of block totals."""
         upto = Window.unboundedPreceding
         if not self.blocked:
-            return f(x).over(self.order.rowsBetween(upto, 0))
-        x = self.let(x)
+            return [f(x).over(self.order.rowsBetween(upto, 0)) for f, x, _ in specs]
+        specs = [(f, self.let(x), combine or (lambda a, b: a + b)) for f, x, combine in specs]
         df = self._flush()
-        mark = f"_c{len(self._known)}_{len(df.columns)}"
-        totals = df.where(OWN).groupBy(*self.part).agg(f(x).alias("_total"))
+        marks = [f"_c{len(df.columns)}_{i}" for i in range(len(specs))]
+        totals = df.where(OWN).groupBy(*self.part).agg(*[f(x).alias(m) for m, (f, x, _) in zip(marks, specs)])
         earlier = Window.partitionBy(*self.keys).orderBy(BLOCK).rowsBetween(upto, -1)
-        carry = totals.select(*self.part, f("_total").over(earlier).alias(mark))
+        carry = totals.select(*self.part, *[f(m).over(earlier).alias(m) for m, (f, _, _) in zip(marks, specs)])
         self._df = df.join(carry, self.part, "left")
-        local = f(F.when(F.col(OWN), x)).over(self.order.rowsBetween(upto, 0))
-        pick = combine or (lambda a, b: a + b)
-        return F.when(F.col(mark).isNull(), local).when(local.isNull(), F.col(mark)).otherwise(pick(F.col(mark), local))
+        out = []
+        for m, (f, x, combine) in zip(marks, specs):
+            local = f(F.when(F.col(OWN), x)).over(self.order.rowsBetween(upto, 0))
+            out.append(F.when(F.col(m).isNull(), local).when(local.isNull(), F.col(m)).otherwise(combine(F.col(m), local)))
+        return out
 
     def running_sum(self, x) -> Column:
         return self.running(F.sum, x)

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quantloom.operators import accounting as A, backtest as BT, metrics as M, signals as S
+from quantloom.operators import backtest as BT, metrics as M, signals as S
 from quantloom.plans import query
 from quantloom.plans.indicators import MACD, rsi
 from quantloom.plans.joins import TRADES, ASOF_B, ASOF_F, NEAR
 from quantloom.plans.kit import (ASSET, DAILY, META, B, O, U, W, dv, lag, pct, pick, result, rnd, roll, rounded, steps, with_)
-from quantloom.plans.tables import FILLS, FW, fills as unit_fills
+from quantloom.plans.tables import FILLS, FW, costed_fills
 from quantloom.sources import tables as T
 
 VOTE = rsi(14) + MACD + [("mom", pct("close", 10)), ("tot", "CASE WHEN coalesce(mom > 0, FALSE) THEN 4 ELSE -4 END + CASE WHEN rsi < 30 THEN 3 WHEN rsi > 70 THEN -3 ELSE 0 END + CASE WHEN coalesce(macd > signal, FALSE) THEN 3 ELSE -3 END"),
@@ -270,7 +270,7 @@ PNL = ("fx AS (SELECT * FROM fills)", f"a AS (SELECT *, sum(qty) {FW} AS held, r
 
 
 def pnl_rows(spark, sf_dir):
-    return A.realized_pnl(A.average_cost(unit_fills(spark, sf_dir), ("portfolio", "symbol")))
+    return costed_fills(spark, sf_dir)
 
 
 PM = ["win_rate", "profit_factor", "average_win", "average_loss", "largest_win", "largest_loss"]

@@ -232,13 +232,17 @@ def fills(spark, sf_dir):
     return lines.join(orders, "l_orderkey").withColumn("ts", F.struct("seq", "l_partkey", "price", "qty"))
 
 
+def costed_fills(spark, sf_dir):
+    """Fills of one (portfolio, symbol) have no calendar bound, so the blocked form is used."""
+    return A.average_cost(fills(spark, sf_dir), ("portfolio", "symbol"), block_rows=100_000, chunk=F.floor(F.col("seq") / 2 ** 20))
+
+
 @query("average_cost", with_(FILLS, f"a AS (SELECT *, sum(qty) {FW} AS held, row_number() {FW} AS rn FROM fills)",
     "b AS (SELECT *, coalesce(sum(CASE WHEN held = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY portfolio, symbol ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS leg FROM a)",
     body=f"""SELECT portfolio, symbol, rn AS fill, {rnd('held', 2, 'held')},
   {rnd('CASE WHEN held <> 0 THEN sum(qty * price) OVER (PARTITION BY portfolio, symbol, leg ORDER BY rn) / held END', 3, 'avg_cost')} FROM b"""))
 def average_cost(spark, sf_dir):
-    # fills of one (portfolio, symbol) have no calendar bound, so the blocked form is used
-    c = A.average_cost(fills(spark, sf_dir), ("portfolio", "symbol"), block_rows=100_000, chunk=F.floor(F.col("seq") / 2 ** 20))
+    c = costed_fills(spark, sf_dir)
     return c.select("portfolio", "symbol", F.col("fill").cast("long"), rounded("held", 2).alias("held"), rounded("avg_cost", 3).alias("avg_cost"))
 
 
