@@ -33,31 +33,32 @@ def trigger_band(orders: DataFrame) -> DataFrame:
 def first_executions(orders: DataFrame, bars: DataFrame, order_keys=("order_id",)) -> DataFrame:
     """First bar after each order whose close lies in its band, and the execution price.
 
-    Bars are summarised to one (month, lowest, highest) list per symbol, bounded by the calendar.  An order finds in
-    that list the months in which its band can be met: with one bound only the own month and the first later one can
-    hold the first hit, with two bounds all of them are kept.  Only the bars of those months are joined, by symbol and
-    month, so no order meets all later bars.
+    First every order meets the bars of its own and of the next month, by symbol and month.  Those that found nothing
+    look into one (month, lowest, highest) list per symbol, bounded by the calendar, for the later months in which
+    their band can be met: with one bound the first such month holds the hit, with two bounds all of them are tried.
     """
     keys = list(order_keys)
     month = F.date_trunc("month", "ts")
-    b = bars.select("symbol", "ts", "close").withColumn("_m", month)
+    b = bars.select("symbol", F.col("ts").alias("bar_ts"), "close").withColumn("_m", F.date_trunc("month", "bar_ts"))
+    low, high = F.col("_low"), F.col("_high")
+    todo = trigger_band(orders).select(*keys, "symbol", "ts", "_low", "_high").withColumn("_om", month)
+    next_month = F.add_months(F.to_date("_om"), 1)
+
+    def first_hit(cand):
+        ok = (F.col("bar_ts") > F.col("ts")) & (low.isNull() | (F.col("close") >= low)) & (high.isNull() | (F.col("close") <= high))
+        return cand.join(b, ["symbol", "_m"]).where(ok).groupBy(*keys).agg(F.min(F.struct("bar_ts", "close")).alias("_hit"))
+    soon = F.array(F.col("_om"), F.date_trunc("month", next_month))
+    near = first_hit(todo.withColumn("_m", F.explode(soon)))
     months = b.groupBy("symbol", "_m").agg(F.min("close").alias("lo"), F.max("close").alias("hi"))
     lists = months.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("_m", "lo", "hi"))).alias("_months"))
-    o = trigger_band(orders).withColumn("_om", month).join(lists, "symbol")
-    low, high = F.col("_low"), F.col("_high")
 
     def possible(x):
-        return (x["_m"] >= F.col("_om")) & (high.isNull() | (x["lo"] <= high)) & (low.isNull() | (x["hi"] >= low))
-    found = F.transform(F.filter("_months", possible), lambda x: x["_m"])
+        return (x["_m"] > F.date_trunc("month", next_month)) & (high.isNull() | (x["lo"] <= high)) & (low.isNull() | (x["hi"] >= low))
+    rest = todo.join(near, keys, "left_anti").join(lists, "symbol").withColumn("_found", F.filter("_months", possible)).drop("_months")
     two_sided = low.isNotNull() & high.isNotNull()
-    later = F.filter(found, lambda m: m > F.col("_om"))
-    own = F.filter(found, lambda m: m == F.col("_om"))
-    picked = F.when(two_sided, found).otherwise(F.concat(own, F.slice(later, 1, 1)))
-    cand = o.select("*", F.explode(picked).alias("_m")).drop("_months")
-    hits = cand.join(b.withColumnRenamed("ts", "bar_ts"), ["symbol", "_m"]).where(
-        (F.col("bar_ts") > F.col("ts")) & (low.isNull() | (F.col("close") >= low)) & (high.isNull() | (F.col("close") <= high)))
-    best = hits.groupBy(*keys).agg(F.min(F.struct("bar_ts", "close")).alias("_hit"))
-    j = orders.join(best, keys)
+    picked = F.when(two_sided, F.col("_found")).otherwise(F.slice("_found", 1, 1))
+    far = first_hit(rest.withColumn("_m", F.explode(F.transform(picked, lambda x: x["_m"]))).drop("_found"))
+    j = orders.join(near.unionByName(far), keys)
     close, limit, buy = F.col("_hit.close"), F.col("price"), F.col("side") == "BUY"
     bounded = F.col("order_type").isin("LIMIT", "STOP_LIMIT")
     price = F.when(bounded & buy, F.least(close, limit)).when(bounded, F.greatest(close, limit)).otherwise(close)

@@ -280,20 +280,25 @@ def rolling_factor_attribution(returns: DataFrame, factors: list[str], window: i
     """Least squares of ret on the factor columns over the `window` rows before each row.
 
     Rolling means of the products give the normal equations, which are solved per row by column expressions.
+    Returns are small numbers around zero, so differences of running sums keep their precision.
     """
     s = Series(returns.dropna(subset=["ret", *factors]), keys, ts)
-    w = s.order.rowsBetween(-window, -1)
     y, f = F.col("ret"), [F.col(c) for c in factors]
     k = len(f)
+
+    def mean(x):
+        """Mean over the rows before this one, from two running sums: constant work per row for any window."""
+        total = s.let(s.running_sum(s.let(x)))
+        return s.let((s.lag(total) - F.coalesce(s.lag(total, window + 1), F.lit(0.0))) / window)
+    means, my = [mean(x) for x in f], mean(y)
     cov = [[None] * k for _ in range(k)]
     for i in range(k):
         for j in range(i, k):
-            cov[i][j] = cov[j][i] = s.let(F.covar_pop(f[i], f[j]).over(w))
-    rhs = [s.let(F.covar_pop(x, y).over(w)) for x in f]
+            cov[i][j] = cov[j][i] = s.let(mean(f[i] * f[j]) - means[i] * means[j])
+    rhs = [s.let(mean(x * y) - m * my) for x, m in zip(f, means)]
     beta = solve_symmetric(s.let, cov, rhs)
-    means = [s.let(F.avg(x).over(w)) for x in f]
-    r2 = div(dot(beta, rhs), F.var_pop(y).over(w))
-    alpha = F.avg(y).over(w) - dot(beta, means)
+    r2 = div(dot(beta, rhs), mean(y * y) - my * my)
+    alpha = my - dot(beta, means)
     out = {"alpha": alpha, "r_squared": s.let(r2)}
     out |= {f"beta_{c}": b for c, b in zip(factors, beta)}
     out |= {f"contribution_{c}": b * m for c, b, m in zip(factors, beta, means)}

@@ -50,43 +50,39 @@ def _graded(x: Column, threshold: float):
     return kind, F.when(F.abs(x) > threshold, size).otherwise(0.0)
 
 
-def moving_average_signals(bars: DataFrame, short=10, long=30, threshold=0.02) -> DataFrame:
-    s = Series(bars.select("symbol", "ts", "close"))
+def _signal(strategy: str, valid: Column, kind: Column, strength: Column, confidence: Column) -> Column:
+    return F.when(valid, F.struct(F.lit(strategy).alias("strategy"), kind.alias("signal_type"),
+                                  strength.cast("double").alias("strength"), confidence.cast("double").alias("confidence")))
+
+
+def moving_average_rule(s: Series, short=10, long=30, threshold=0.02) -> Column:
     slow = s.let(s.roll(F.avg, long, s.close))
     gap = s.let(div(s.roll(F.avg, short, s.close) - slow, slow))
     kind, strength = _graded(gap, threshold)
-    out = s.frame({"signal_type": kind, "strength": strength, "confidence": _agreement(s, gap), "_x": gap, "_row": s.row},
-                  keep=["symbol", "ts"])
-    return _tagged(out.where((F.col("_row") > long) & F.col("_x").isNotNull()), "moving_average")
+    return _signal("moving_average", (s.row > long) & gap.isNotNull(), kind, strength, _agreement(s, gap))
 
 
-def rsi_signals(bars: DataFrame, period=14, oversold=30.0, overbought=70.0) -> DataFrame:
-    s = Series(bars.select("symbol", "ts", "close"))
+def rsi_rule(s: Series, period=14, oversold=30.0, overbought=70.0) -> Column:
     x = rsi_of(s, period)
     low, high = x < oversold, x > overbought
     strength = F.when(low, (oversold - x) / oversold).when(high, -(x - overbought) / (100 - overbought)).otherwise(0.0)
     sure = F.when(low, F.least((oversold - x) / 20, F.lit(1.0))).when(high, F.least((x - overbought) / 20, F.lit(1.0))).otherwise(0.5)
     kind = F.when(low, "BUY").when(high, "SELL").otherwise("HOLD")
-    out = s.frame({"signal_type": kind, "strength": strength, "confidence": sure, "_x": x, "_row": s.row}, keep=["symbol", "ts"])
-    return _tagged(out.where((F.col("_row") > period) & F.col("_x").isNotNull()), "rsi")
+    return _signal("rsi", (s.row > period) & x.isNotNull(), kind, strength, sure)
 
 
-def momentum_signals(bars: DataFrame, lookback=20, threshold=0.05) -> DataFrame:
-    s = Series(bars.select("symbol", "ts", "close"))
+def momentum_rule(s: Series, lookback=20, threshold=0.05) -> Column:
     x = s.let(s.pct(s.close, lookback))
     kind, strength = _graded(x, threshold)
-    values = s.let(F.collect_list(F.coalesce(x, F.lit(0.0))).over(s.order.rowsBetween(-5, 0)))
-    sure = F.size(F.filter(values, lambda v: v * x > 0)) / F.size(values)
-    out = s.frame({"signal_type": kind, "strength": strength, "confidence": sure, "_x": x, "_row": s.row}, keep=["symbol", "ts"])
-    return _tagged(out.where((F.col("_row") > lookback) & F.col("_x").isNotNull()), "momentum")
-
+    return _signal("momentum", (s.row > lookback) & x.isNotNull(), kind, strength, _agreement(s, x))
 
-def _tagged(df: DataFrame, strategy: str) -> DataFrame:
-    return df.select(F.lit(strategy).alias("strategy"), "symbol", "ts", "signal_type", "strength", "confidence")
 
-
-def strategy_signals(bars: DataFrame) -> DataFrame:
-    return moving_average_signals(bars).unionByName(rsi_signals(bars)).unionByName(momentum_signals(bars))
+def strategy_signals(bars: DataFrame, rules=(moving_average_rule, rsi_rule, momentum_rule)) -> DataFrame:
+    """All rules (functions of a series) over one pass of the bars: one exchange, one row per valid signal."""
+    s = Series(bars.select("symbol", "ts", "close"))
+    out = s.frame({f"_r{i}": rule(s) for i, rule in enumerate(rules)}, keep=["symbol", "ts"])
+    each = F.inline(F.array_compact(F.array(*[F.col(f"_r{i}") for i in range(len(rules))])))
+    return out.select("symbol", "ts", each).select("strategy", "symbol", "ts", "signal_type", "strength", "confidence")
 
 
 def long_flat_signals(bars: DataFrame, predictions: DataFrame | None = None, window=20) -> DataFrame:
@@ -152,9 +148,21 @@ def majority_vote(signals: DataFrame) -> DataFrame:
 
 
 def ensemble(signals: DataFrame) -> DataFrame:
-    """Mean of three methods per (symbol, ts)."""
-    every = weighted_average(signals).unionByName(majority_vote(signals)).unionByName(confidence_weighted(signals))
-    a = every.groupBy("symbol", "ts").agg(F.avg("strength").alias("strength"), F.avg("confidence").alias("confidence"))
+    """Mean of weighted average, majority vote and confidence weighting per (symbol, ts), from one aggregate."""
+    w, c, x = F.col("w"), F.col("confidence"), F.col("strength")
+    vote = lambda t: F.coalesce(F.sum(F.when(F.col("signal_type") == t, w)), F.lit(0.0)).alias(f"_{t}")
+    a = signals.groupBy("symbol", "ts").agg(
+        F.sum(w).alias("_w"), F.sum(w * x).alias("_wx"), F.sum(w * c).alias("_wc"), F.sum(w * c * x).alias("_wcx"),
+        F.count(F.lit(1)).alias("_n"), *[vote(t) for t in TYPES])
+    votes = F.sort_array(F.array(*[F.col(f"_{t}") for t in TYPES]), asc=False)
+    mean_confidence = F.col("_wc") / F.col("_n")
+    pair = lambda strength, confidence: F.struct(strength.alias("s"), confidence.alias("c"))
+    parts = F.array_compact(F.array(
+        F.when(F.col("_w") > 0, pair(F.col("_wx"), F.col("_wc"))), pair(votes[0] - votes[1], mean_confidence),
+        F.when(F.col("_wc") > 0, pair(div("_wcx", "_wc"), mean_confidence))))
+    a = a.withColumn("_p", parts)
+    mean = lambda f: F.aggregate("_p", F.lit(0.0), lambda acc, v: acc + v[f]) / F.size("_p")
+    a = a.withColumns({"strength": mean("s"), "confidence": mean("c")})
     return a.select("symbol", "ts", _cut(F.col("strength")).alias("signal_type"), "strength", "confidence")
 
 
