@@ -46,7 +46,8 @@ def first_executions(orders: DataFrame, bars: DataFrame, order_keys=("order_id",
 
     def first_hit(cand):
         ok = (F.col("bar_ts") > F.col("ts")) & (low.isNull() | (F.col("close") >= low)) & (high.isNull() | (F.col("close") <= high))
-        return cand.join(b, ["symbol", "_m"]).where(ok).groupBy(*keys).agg(F.min(F.struct("bar_ts", "close")).alias("_hit"))
+        return cand.join(b, ["symbol", "_m"]).where(ok).groupBy(*keys).agg(
+            F.min("bar_ts").alias("_hit_ts"), F.min_by("close", "bar_ts").alias("_hit"))     # bar times are unique per symbol
     soon = F.array(F.col("_om"), F.date_trunc("month", next_month))
     near = first_hit(todo.withColumn("_m", F.explode(soon)))
     months = b.groupBy("symbol", "_m").agg(F.min("close").alias("lo"), F.max("close").alias("hi"))
@@ -59,10 +60,10 @@ def first_executions(orders: DataFrame, bars: DataFrame, order_keys=("order_id",
     picked = F.when(two_sided, F.col("_found")).otherwise(F.slice("_found", 1, 1))
     far = first_hit(rest.withColumn("_m", F.explode(F.transform(picked, lambda x: x["_m"]))).drop("_found"))
     j = orders.join(near.unionByName(far), keys)
-    close, limit, buy = F.col("_hit.close"), F.col("price"), F.col("side") == "BUY"
+    close, limit, buy = F.col("_hit"), F.col("price"), F.col("side") == "BUY"
     bounded = F.col("order_type").isin("LIMIT", "STOP_LIMIT")
     price = F.when(bounded & buy, F.least(close, limit)).when(bounded, F.greatest(close, limit)).otherwise(close)
-    return j.select(*orders.columns, F.col("_hit.bar_ts").alias("fill_ts"), price.alias("fill_price"))
+    return j.select(*orders.columns, F.col("_hit_ts").alias("fill_ts"), price.alias("fill_price"))
 
 
 LARGE_ORDER = 10_000

@@ -49,6 +49,18 @@ def scaled(df: DataFrame, column: str, method: str, threshold: float = 3.0, remo
     return d.join(F.broadcast(fit), F.lit(True)).select(*df.columns, out().alias(f"{column}_scaled"))
 
 
+def preprocess(df: DataFrame, columns, method="standard", lags=(1,), windows=(5,), keys=("symbol",), ts="ts") -> DataFrame:
+    """Lag, rolling and change features, forward then backward fill, then scaling of every feature."""
+    from quantloom.operators.clean import _fill, backward, forward
+    from quantloom.operators.rolling import lag_rolling_diff_features
+    d = lag_rolling_diff_features(df, list(columns), lags, windows, keys, ts)
+    made = [c for c in d.columns if c not in (*keys, ts)]
+    d = _fill(d, made, lambda s, x: F.coalesce(forward(s, x), backward(s, x)), keys, ts)
+    for c in made:
+        d = scaled(d, c, method, remove_outliers=False)
+    return d.select(*keys, ts, *[F.col(f"{c}_scaled").alias(c) for c in made])
+
+
 # ---- folds: each row once per fold and side that holds it ------------------------------------------------------------
 def _numbered(df: DataFrame, keys, ts) -> DataFrame:
     s = Series(df, list(keys), ts)

@@ -102,7 +102,12 @@ class Series(Layers):
         source = df.columns
         if self.blocked:
             chunk = F.date_trunc("month", F.col(ts)) if chunk is None else chunk
-            df = into_blocks(number_rows(df, self.keys, ts, chunk), block_rows, lookback)
+            # cells divide a block; the margin is two cells of at least `lookback` rows: in the first one lagged
+            # values settle, from the second one on running totals are exact as well
+            self.cell = max(lookback, -(-block_rows // 16))
+            self.cells = -(-block_rows // self.cell)
+            df = into_blocks(number_rows(df, self.keys, ts, chunk), self.cell * self.cells, 2 * self.cell if lookback else 0)
+            self.margin = 2 if lookback else 0
             self.part = [*self.keys, BLOCK]
             self.order = Window.partitionBy(*self.part).orderBy(ROW)
         else:
@@ -184,25 +189,31 @@ class Series(Layers):
     def running(self, f, x, combine=None) -> Column:
         """Running aggregate from the first row of the key.
 
-        In blocked mode the totals of earlier blocks come from a table of one row per (key, block).
+        In blocked mode the totals of earlier rows come from a table of one row per (key, cell).
         """
         return self.running_all([(f, x, combine)])[0]
 
     def running_all(self, specs) -> list[Column]:
-        """Several running aggregates (f, x, combine) that share one table of block totals."""
+        """Several running aggregates (f, x, combine) that share one table of cell totals."""
         upto = Window.unboundedPreceding
         if not self.blocked:
             return [f(x).over(self.order.rowsBetween(upto, 0)) for f, x, _ in specs]
         specs = [(f, self.let(x), combine or (lambda a, b: a + b)) for f, x, combine in specs]
         df = self._flush()
         marks = [f"_c{len(df.columns)}_{i}" for i in range(len(specs))]
-        totals = df.where(OWN).groupBy(*self.part).agg(*[f(x).alias(m) for m, (f, x, _) in zip(marks, specs)])
-        earlier = Window.partitionBy(*self.keys).orderBy(BLOCK).rowsBetween(upto, -1)
-        carry = totals.select(*self.part, *[f(m).over(earlier).alias(m) for m, (f, _, _) in zip(marks, specs)])
+        cell = F.floor((F.col(ROW) - 1) / self.cell)
+        totals = df.where(OWN).groupBy(*self.keys, cell.alias("_cell")).agg(*[f(x).alias(m) for m, (f, x, _) in zip(marks, specs)])
+        through = Window.partitionBy(*self.keys).orderBy("_cell").rowsBetween(upto, 0)
+        # a block starts from the totals through the first cell of its margin (without margin: all earlier cells)
+        last = self.margin if self.margin else 1
+        at = F.col("_cell") + last
+        carry = totals.select(*self.keys, "_cell", *[f(m).over(through).alias(m) for m, (f, _, _) in zip(marks, specs)]).where(
+            at % self.cells == 0).select(*self.keys, (at / self.cells).cast("long").alias(BLOCK), *marks)
         self._df = df.join(carry, self.part, "left")
+        counted = F.col(ROW) - 1 >= (F.col(BLOCK) * self.cells - (last - 1)) * self.cell
         out = []
         for m, (f, x, combine) in zip(marks, specs):
-            local = f(F.when(F.col(OWN), x)).over(self.order.rowsBetween(upto, 0))
+            local = f(F.when(counted, x)).over(self.order.rowsBetween(upto, 0))
             out.append(F.when(F.col(m).isNull(), local).when(local.isNull(), F.col(m)).otherwise(combine(F.col(m), local)))
         return out
 

@@ -63,6 +63,17 @@ for _m, (_e, _c, _s) in SC.items():
 simple("scale_returns", with_(ASSET, "f AS (SELECT symbol, strftime(ts, '%Y-%m-%d') AS day, (rank() OVER (ORDER BY ret) + (count(*) OVER (PARTITION BY ret) - 1) / 2.0) / count(*) OVER () AS ret_scaled FROM asset)", body=pick(["ret_scaled"], 6, keys=("symbol", "day"), ts=None, source="f")),
     ["ret_scaled"], 6, lambda s, d: L.scaled(T.asset_returns(s, d).select("symbol", F.date_format("ts", "yyyy-MM-dd").alias("day"), "ret"), "ret", "returns"), ("symbol", "day"))
 
+PPC = {"volume": "volume", "volume_lag_1": lag("volume"), "volume_rolling_mean_5": roll("avg", "volume", 5), "volume_diff": f"volume - {lag('volume')}"}
+NXT = "(PARTITION BY symbol ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+
+
+@query("preprocess", with_(DAILY, "raw AS (SELECT symbol, ts, " + ", ".join(f"{e} AS {'v_' + c}" for c, e in PPC.items()) + " FROM daily)",
+    "fl AS (SELECT symbol, ts, " + ", ".join(f"coalesce(last_value(v_{c} IGNORE NULLS) OVER {U()}, first_value(v_{c} IGNORE NULLS) OVER {NXT}) AS f_{c}" for c in PPC) + " FROM raw)",
+    "fin AS (SELECT symbol, ts, " + ", ".join(f"(f_{c} - avg(f_{c}) OVER ()) / stddev_pop(f_{c}) OVER () AS {c}" for c in PPC) + " FROM fl)", body=pick(list(PPC), 5, source="fin")))
+def preprocess(spark, sf_dir):
+    return result(L.preprocess(T.daily_bars(spark, sf_dir).select("symbol", "ts", "volume"), ["volume"]), list(PPC), 5)
+
+
 # ---- folds ---------------------------------------------------------------------------------------------------------------
 NB = "nb AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM asset)"
 FOLD_OUT = "SELECT symbol, fold, side, count(*) AS rows, strftime(min(ts), '%Y-%m-%d') AS first_day, strftime(max(ts), '%Y-%m-%d') AS last_day FROM ({}) GROUP BY ALL"

@@ -226,6 +226,14 @@ def probe_sharpe_consistency(spark, sf_dir):
     return df.select("symbol", rounded("share").alias("share"), "suspicious")
 
 
+@query("probe_target_names", """SELECT name FROM (SELECT DISTINCT p_brand || '_' || lower(p_type) || CASE WHEN p_size % 2 = 0 THEN '_return' ELSE '_lag_return' END AS name FROM part)
+  WHERE regexp_matches(lower(name), 'return|target|label|y') AND NOT regexp_matches(lower(name), 'lag|shift|prev|past')""")
+def probe_target_names(spark, sf_dir):
+    kind = F.when(F.col("p_size") % 2 == 0, "_return").otherwise("_lag_return")
+    names = T.table(spark, sf_dir, "part").select(F.concat("p_brand", F.lit("_"), F.lower("p_type"), kind).alias("name")).distinct()
+    return R.target_name_probe(names)
+
+
 # ---- rolling analytics ----------------------------------------------------------------------------------------------
 PREV = B(-252, -1)
 COMPARE = ["portfolio_return", "benchmark_return", "excess_return", "tracking_error", "information_ratio", "hit_ratio",
