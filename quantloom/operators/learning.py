@@ -56,9 +56,18 @@ def preprocess(df: DataFrame, columns, method="standard", lags=(1,), windows=(5,
     d = lag_rolling_diff_features(df, list(columns), lags, windows, keys, ts)
     made = [c for c in d.columns if c not in (*keys, ts)]
     d = _fill(d, made, lambda s, x: F.coalesce(forward(s, x), backward(s, x)), keys, ts)
-    for c in made:
-        d = scaled(d, c, method, remove_outliers=False)
-    return d.select(*keys, ts, *[F.col(f"{c}_scaled").alias(c) for c in made])
+    return scale_columns(d.select(*keys, ts, *made), made, method)
+
+
+def scale_columns(df: DataFrame, columns, method="standard") -> DataFrame:
+    """Standard or min-max scaling of many columns with one aggregate over the table."""
+    pairs = {"standard": (F.avg, F.stddev_pop), "minmax": (F.min, lambda c: F.max(c) - F.min(c))}
+    if method not in pairs:
+        raise ValueError(f"unknown scaling method {method}")
+    a, b = pairs[method]
+    stats = df.agg(*[f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("a", a), ("b", b))])      # one row
+    scaled_columns = {c: div(F.col(c) - F.col(f"_a_{c}"), f"_b_{c}") for c in columns}
+    return df.join(F.broadcast(stats), F.lit(True)).withColumns(scaled_columns).select(*df.columns)
 
 
 # ---- folds: each row once per fold and side that holds it ------------------------------------------------------------
