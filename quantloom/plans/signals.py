@@ -182,9 +182,9 @@ def signal_log_value(spark, sf_dir):
 
 
 # ---- orders and costs: every line is an order placed on its order date -------------------------------------------------------
-ORD = """ord AS (SELECT t.k, t.n, t.p, t.symbol, t.ts, CASE l_linenumber % 4 WHEN 0 THEN 'MARKET' WHEN 1 THEN 'LIMIT' WHEN 2 THEN 'STOP' ELSE 'STOP_LIMIT' END AS order_type, CASE WHEN l_returnflag = 'R' THEN 'SELL' ELSE 'BUY' END AS side,
+ORD = """ord AS (SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, l_suppkey AS symbol, o_orderdate AS ts, CASE l_linenumber % 4 WHEN 0 THEN 'MARKET' WHEN 1 THEN 'LIMIT' WHEN 2 THEN 'STOP' ELSE 'STOP_LIMIT' END AS order_type, CASE WHEN l_returnflag = 'R' THEN 'SELL' ELSE 'BUY' END AS side,
   l_quantity * 2000 AS qty, l_extendedprice / 20 AS price, l_extendedprice / 20 * CASE WHEN l_returnflag = 'R' THEN 1.2 ELSE 0.8 END AS stop_price
-  FROM lineitem JOIN trades t ON t.k = l_orderkey AND t.n = l_linenumber AND t.p = l_partkey AND t.symbol = l_suppkey)"""
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"""
 OK3 = ("k", "n", "p", "symbol")
 
 
@@ -203,10 +203,10 @@ BAND = """(order_type = 'MARKET' OR (order_type = 'LIMIT' AND side = 'BUY' AND c
   OR (order_type = 'STOP' AND side = 'SELL' AND close <= stop_price) OR (order_type = 'STOP_LIMIT' AND side = 'BUY' AND close >= stop_price AND close <= price) OR (order_type = 'STOP_LIMIT' AND side = 'SELL' AND close <= stop_price AND close >= price))"""
 
 
-@query("order_triggers", with_(DAILY, TRADES, ORD, f"h AS (SELECT o.k, o.n, o.p, o.symbol, any_value(order_type) AS order_type, any_value(side) AS side, any_value(price) AS price, min(d.ts) AS fts, arg_min(close, d.ts) AS c FROM ord o JOIN daily d ON d.symbol = o.symbol AND d.ts > o.ts AND {BAND} GROUP BY ALL)",
+@query("order_triggers", with_(DAILY, TRADES, ORD, f"h AS (SELECT o.k, o.n, o.p, o.symbol, o.qty, o.price, any_value(order_type) AS order_type, any_value(side) AS side, min(d.ts) AS fts, arg_min(close, d.ts) AS c FROM ord o JOIN daily d ON d.symbol = o.symbol AND d.ts > o.ts AND {BAND} GROUP BY ALL)",
     body=f"SELECT k, n, p, symbol, strftime(fts, '%Y-%m-%d') AS day, {rnd('''CASE WHEN order_type IN ('LIMIT', 'STOP_LIMIT') THEN CASE WHEN side = 'BUY' THEN least(c, price) ELSE greatest(c, price) END ELSE c END''', 4, 'fill_price')} FROM h"))
 def order_triggers(spark, sf_dir):
-    return result(BT.first_executions(order_rows(spark, sf_dir), T.daily_bars(spark, sf_dir), OK3), ["fill_price"], 4, keys=OK3, ts="fill_ts")
+    return result(BT.first_executions(order_rows(spark, sf_dir), T.daily_bars(spark, sf_dir), (*OK3, "qty", "price")), ["fill_price"], 4, keys=OK3, ts="fill_ts")
 
 
 @query("order_fill_steps", """WITH RECURSIVE q AS (SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, l_suppkey AS symbol, l_quantity * 2000 AS rest, 0 AS step FROM lineitem
