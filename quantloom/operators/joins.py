@@ -137,13 +137,12 @@ def walk_forward_rows(rows: DataFrame, start: str, end: str, train_days=360, gap
     return rows.select("*", F.inline(both))
 
 
-def parameter_grid(spark, limit: int | None = None, **lists) -> DataFrame:
-    """Combinations of short parameter lists in a stable order, cut at `limit` as an iteration budget."""
+def parameter_grid(spark, **lists) -> DataFrame:
+    """All combinations of short parameter lists in a stable order."""
     df = spark.range(1).select()
     for name, values in lists.items():
         df = df.select("*", F.posexplode(F.array(*[F.lit(v) for v in values])).alias(f"_{name}", name))
-    df = df.orderBy(*[f"_{n}" for n in lists]).select(*lists)
-    return df.limit(limit) if limit else df
+    return df.orderBy(*[f"_{n}" for n in lists]).select(*lists)
 
 
 def correlated_pairs(correlations: DataFrame, threshold=0.95) -> DataFrame:

@@ -195,15 +195,12 @@ def sector_rolling_momentum(bars: DataFrame, metadata: DataFrame, period: int =
 
 # ---- look-ahead probes ----------------------------------------------------------------------------------------------
 
-def stability_probe(df: DataFrame, feature: str, samples: int = 10, keys=("symbol",), ts="ts") -> DataFrame:
-    """Sampled rows whose last 21 values of the feature do not move at all although more than five are present."""
+def stability_probe(df: DataFrame, feature: str, keys=("symbol",), ts="ts") -> DataFrame:
+    """All rows whose last 21 values of the feature do not move at all although more than five are present."""
     s = Series(df.select(*keys, ts, feature), keys, ts)
     w = s.order.rowsBetween(-20, 0)
-    size = F.count(F.lit(1)).over(s.order.rowsBetween(-(2 ** 31) + 1, 2 ** 31 - 2))
-    step = F.greatest(F.floor(size / samples), F.lit(1))
-    probe = s.frame({"flat": (F.stddev_samp(feature).over(w) == 0) & (F.count(feature).over(w) > 5),
-                     "sampled": (s.row % step) == 0}, keep=[*keys, ts])
-    return probe.where("sampled and flat").select(*keys, ts)
+    probe = s.frame({"flat": (F.stddev_samp(feature).over(w) == 0) & (F.count(feature).over(w) > 5)}, keep=[*keys, ts])
+    return probe.where("flat").select(*keys, ts)
 
 
 def correlation_probe(df: DataFrame, features, data, keys=("symbol",), ts="ts", same=0.99, lagged=0.95) -> DataFrame:

@@ -60,8 +60,8 @@ def mutual_information(df: DataFrame, features: list[str], target: str, bins: in
     return j.groupBy("feature").agg(F.sum(p * F.ln(F.col("n") * F.col("total") / (F.col("nx") * F.col("ny")))).alias("mi"))
 
 
-def poisson_weight(u, most: int = 8):
-    """Poisson(1) draw from a uniform number, as nested thresholds of its distribution function."""
+def poisson_weight(u, most: int = 20):
+    """Poisson(1) draw from a uniform number, as nested thresholds of its distribution function.  Beyond 20 the tail is below 2 ** -53, so no draw is cut."""
     total, term, out = 0.0, np.exp(-1.0), F.lit(most)
     steps = []
     for k in range(most):

@@ -187,11 +187,11 @@ def sector_rolling_momentum(spark, sf_dir):
 
 # ---- look-ahead probes --------------------------------------------------------------------------------------------
 @query("probe_flat_feature", with_(DAILY, steps("daily", [
-    ("sd", f"stddev_samp(volume) OVER {W(21)}"), ("c", f"count(volume) OVER {W(21)}"),
-    ("n", "count(*) OVER (PARTITION BY symbol)")]), body="""SELECT symbol, strftime(ts, '%Y-%m-%d') AS day FROM final
-  WHERE sd = 0 AND c > 5 AND rn % greatest(CAST(floor(n / 10) AS BIGINT), 1) = 0"""))
+    ("turn", "floor(volume / 1000)"), ("sd", f"stddev_samp(turn) OVER {W(21)}"), ("c", f"count(turn) OVER {W(21)}")]),
+    body="SELECT symbol, strftime(ts, '%Y-%m-%d') AS day FROM final WHERE sd = 0 AND c > 5"))
 def probe_flat_feature(spark, sf_dir):
-    return result(R.stability_probe(T.daily_bars(spark, sf_dir), "volume"), [])
+    bars = T.daily_bars(spark, sf_dir).withColumn("turn", F.floor(F.col("volume") / 1000).cast("double"))
+    return result(R.stability_probe(bars, "turn"), [])
 
 
 @query("probe_correlation", with_(DAILY, steps("daily", [("sma", roll("avg", "close", 5)), ("lc", lag("close")), ("lv", lag("volume"))]),

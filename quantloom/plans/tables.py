@@ -335,13 +335,11 @@ def sector_weights(spark, sf_dir):
 
 # ---- set operations --------------------------------------------------------------------------------------------------
 def universe(spark, sf_dir):
-    src = T.table(spark, sf_dir, "lineitem")
-    y = F.year("l_shipdate")
-    pick_year = lambda n: src.where(y == n).select(F.col("l_partkey").alias("part"))
-    return pick_year(1995), pick_year(2001)
+    """Customers with orders beside all customers."""
+    return (T.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("part")), T.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("part")))
 
 
-UNI = "a AS (SELECT l_partkey AS part FROM lineitem WHERE year(l_shipdate) = 1995), b AS (SELECT l_partkey AS part FROM lineitem WHERE year(l_shipdate) = 2001)"
+UNI = "a AS (SELECT o_custkey AS part FROM orders), b AS (SELECT c_custkey AS part FROM customer)"
 
 
 @query("key_union", f"WITH {UNI} SELECT part FROM a UNION SELECT part FROM b")

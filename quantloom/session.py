@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -24,13 +25,20 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
     )
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared checkpoint folder of the cluster; a scratch one only where none is named."""
+def shared_base(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the cluster's checkpoint folder.  A scratch one only with a local master, where all is one machine."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if named:
+        return named
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_base(spark))
 
 
 def checkpointed(df):

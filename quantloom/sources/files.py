@@ -3,21 +3,21 @@
 from __future__ import annotations
 
 import operator
-import tempfile
 import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from quantloom.session import shared_base
+
 # Accepted codec names.
 CODECS = ("snappy", "gzip", "brotli", "lz4", "zstd", "none")
 _OPS = {"==": operator.eq, "!=": operator.ne, ">": operator.gt, "<": operator.lt, ">=": operator.ge, "<=": operator.le}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder below the shared checkpoint folder of the cluster; a scratch one only where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{base or tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/quantloom-{uuid.uuid4().hex}"
+    """A fresh folder below the shared checkpoint folder of the cluster."""
+    return f"{shared_base(spark)}/quantloom-{uuid.uuid4().hex}"
 
 
 def predicate(filters) -> Column:
