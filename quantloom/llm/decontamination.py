@@ -85,16 +85,18 @@ def vectors(items: DataFrame, idf: np.ndarray) -> DataFrame:
     return items.mapInPandas(run, f"item_id {kind}, raw string, bucket array<long>, weight array<double>")
 
 
-def _times(rows: DataFrame, m: np.ndarray, gram: bool) -> np.ndarray:
-    """A'(A m), or (A m)'(A m) with `gram`, summed over all rows by Spark."""
-    width, shared = m.shape[1], rows.sparkSession.sparkContext.broadcast(m)
+def _times(rows: DataFrame, place: np.ndarray, m: np.ndarray, gram: bool) -> np.ndarray:
+    """A'(A m), or (A m)'(A m) with `gram`, summed over all rows by Spark.  Row place[b] of m belongs to bucket b."""
+    width, shared = m.shape[1], rows.sparkSession.sparkContext.broadcast((place, m))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         acc: dict[int, np.ndarray] = {}
         square = np.zeros((width, width))
+        place, m = shared.value
         for f in frames:
             for b, x in zip(f["bucket"], f["weight"]):
-                y = x @ shared.value[b]
+                b = place[b]
+                y = x @ m[b]
                 if gram:
                     square += np.outer(y, y)
                 else:
@@ -106,19 +108,28 @@ def _times(rows: DataFrame, m: np.ndarray, gram: bool) -> np.ndarray:
 
     parts = rows.select("bucket", "weight").mapInPandas(run, "at long, v array<double>")
     sums = parts.select("at", F.posexplode("v")).groupBy("at", "pos").agg(F.sum("col").alias("v")).toPandas()
+    shared.destroy()
     out = np.zeros((width if gram else m.shape[0], width))
     out[sums["at"], sums["pos"]] = sums["v"]
     return out
 
 
-def randomised_svd(rows: DataFrame, rank: int = RANK, extra: int = EXTRA, power: int = 2, seed: int = 5) -> np.ndarray:
-    """Right singular vectors (BUCKETS x at most `rank`) of the matrix whose rows are given."""
-    q = np.random.default_rng(seed).normal(size=(BUCKETS, rank + extra))
+def randomised_svd(rows: DataFrame, rank: int = RANK, extra: int = EXTRA, power: int = 2, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Right singular vectors of the matrix whose rows are given: (place, basis), basis[place[b]] is the row of bucket b.
+
+    Buckets without a word of the benchmark share the last row, which is zero; so the basis is as small as the benchmark's vocabulary.
+    """
+    used = sorted(r[0] for r in rows.select(F.explode("bucket").alias("b")).distinct().collect())       # at most BUCKETS numbers
+    place = np.full(BUCKETS, len(used), np.int32)
+    place[used] = np.arange(len(used))
+    q = np.random.default_rng(seed).normal(size=(len(used) + 1, rank + extra))
     for _ in range(power + 1):
-        q, _ = np.linalg.qr(_times(rows, q, False))
-    value, turn = np.linalg.eigh(_times(rows, q, True))
+        q, _ = np.linalg.qr(_times(rows, place, q, False))
+    value, turn = np.linalg.eigh(_times(rows, place, q, True))
     order = [k for k in np.argsort(-value)[:rank] if value[k] > 1e-9 * max(value.max(), 1e-30)]
-    return (q @ turn[:, order]).astype(np.float32)
+    basis = (q @ turn[:, order]).astype(np.float32)
+    basis[-1] = 0
+    return place, basis
 
 
 def lcs(a: list[bytes], b: list[bytes]) -> int:
@@ -143,6 +154,7 @@ def answer(text: str) -> list[bytes]:
 class Index:
     """A block of the benchmark: what every task needs to search it."""
     idf: np.ndarray
+    place: np.ndarray
     basis: np.ndarray
     known: np.ndarray           # buckets of the block's words
     ids: list
@@ -184,7 +196,7 @@ class Index:
     def _near(self, spans, b, w, cosine) -> Iterator[tuple]:
         lens = spans[:, 1] - spans[:, 0]
         at = np.repeat(spans[:, 0] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
-        x = np.add.reduceat(self.basis[b[at]] * w[at, None].astype(np.float32), np.cumsum(lens) - lens)
+        x = np.add.reduceat(self.basis[self.place[b[at]]] * w[at, None].astype(np.float32), np.cumsum(lens) - lens)
         x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-12
         c = x @ self.latent.T
         for r, i in zip(*np.nonzero(c >= cosine)):
@@ -198,17 +210,17 @@ def indexes(benchmark: DataFrame, idf: np.ndarray, block: int = BLOCK) -> Iterat
     total = rows.count()
     if not total:
         return
-    basis = randomised_svd(rows)
+    place, basis = randomised_svd(rows)
     blocks = math.ceil(total / block)
     for k in range(blocks):
         part = rows.where(F.pmod(F.xxhash64("raw"), F.lit(blocks)) == k).toPandas()
-        known = np.zeros(BUCKETS)
+        known = np.zeros(BUCKETS, np.float32)
         latent = np.zeros((len(part), basis.shape[1]), np.float32)
         for r, (b, x) in enumerate(zip(part["bucket"], part["weight"])):
             known[b] = 1
-            latent[r] = x @ basis[b]
+            latent[r] = x @ basis[place[b]]
         latent /= np.linalg.norm(latent, axis=1, keepdims=True) + 1e-12
-        yield Index(idf, basis, known, part["item_id"].tolist(), [tokens(t) for t in part["raw"]], [answer(t) for t in part["raw"]], latent)
+        yield Index(idf, place, basis, known, part["item_id"].tolist(), [tokens(t) for t in part["raw"]], [answer(t) for t in part["raw"]], latent)
 
 
 def mark_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", matches: str = "leaks", coverage: float = 0.5, cosine: float = 0.5,
