@@ -61,9 +61,9 @@ def inverse_frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["bucket", "n"])
 
-    counts = docs.select(docs[text]).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = docs.select(docs[text]).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     seen = np.zeros(BUCKETS + 1)
-    seen[counts["bucket"]] = counts["n"]
+    seen[counts["bucket"].to_numpy()] = counts["n"].to_numpy()
     return np.log((1 + seen[BUCKETS]) / (1 + seen[:BUCKETS])) + 1e-3
 
 
@@ -107,10 +107,10 @@ def _times(rows: DataFrame, place: np.ndarray, m: np.ndarray, gram: bool) -> np.
         yield pd.DataFrame({"at": list(acc), "v": list(acc.values())})
 
     parts = rows.select("bucket", "weight").mapInPandas(run, "at long, v array<double>")
-    sums = parts.select("at", F.posexplode("v")).groupBy("at", "pos").agg(F.sum("col").alias("v")).toPandas()
+    sums = parts.select("at", F.posexplode("v")).groupBy("at", "pos").agg(F.sum("col").alias("v")).toArrow()
     shared.destroy()
     out = np.zeros((width if gram else m.shape[0], width))
-    out[sums["at"], sums["pos"]] = sums["v"]
+    out[sums["at"].to_numpy(), sums["pos"].to_numpy()] = sums["v"].to_numpy()
     return out
 
 
@@ -119,7 +119,7 @@ def randomised_svd(rows: DataFrame, rank: int = RANK, extra: int = EXTRA, power:
 
     Buckets without a word of the benchmark share the last row, which is zero; so the basis is as small as the benchmark's vocabulary.
     """
-    used = sorted(r[0] for r in rows.select(F.explode("bucket").alias("b")).distinct().collect())       # at most BUCKETS numbers
+    used = np.sort(rows.select(F.explode("bucket").alias("b")).distinct().toArrow()["b"].to_numpy())       # at most BUCKETS numbers
     place = np.full(BUCKETS, len(used), np.int32)
     place[used] = np.arange(len(used))
     q = np.random.default_rng(seed).normal(size=(len(used) + 1, rank + extra))
