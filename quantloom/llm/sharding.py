@@ -47,7 +47,7 @@ def assign_shards(df: DataFrame, key: str = "doc_id", text: str = "text", limit:
         leaves.append(placed.where("leaf IS NOT NULL").select("rid", "n", "leaf"))
         if is_empty(directory.where("leaf IS NULL")):
             break
-        open_, depth = placed.where("leaf IS NULL").select("rid", "n", "bits", "row"), deeper
+        open_, depth = checkpointed(placed.where("leaf IS NULL").select("rid", "n", "bits", "row")), deeper
     out = reduce(DataFrame.unionAll, leaves)
     return out.select(F.col("rid").alias(key), F.col("n").alias("n_bytes"), F.col("leaf.shard").alias("shard"), F.col("leaf.depth").alias("depth"),
                       F.col("leaf.docs").alias("shard_docs"), F.col("leaf.bytes").alias("shard_bytes"))

@@ -214,8 +214,8 @@ def test_boilerplate_brute_force(spark, odd, empty):
 # shards
 
 def test_shards(docs, odd, empty, spark):
-    for df, limit in ((docs, 20000), (odd, 1000), (spark.createDataFrame([(5, "x" * 100)] * 300, "doc_id int, text string"), 2000)):
-        got = sharding.assign_shards(df, limit=limit, step=3).collect()
+    for df, limit, step in ((docs, 20000, 3), (odd, 1000, 12), (spark.createDataFrame([(5, "x" * 100)] * 300, "doc_id int, text string"), 2000, 12)):
+        got = sharding.assign_shards(df, limit=limit, step=step).collect()
         assert len(got) == df.count()
         sums, members = {}, {}
         for r in got:
