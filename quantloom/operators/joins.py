@@ -117,16 +117,22 @@ def apply_actions(positions: DataFrame, actions: DataFrame) -> DataFrame:
         F.sum("cash").alias("cash"))
 
 
-def walk_forward_rows(rows: DataFrame, start: str, end: str, train_days=360, gap_days=1, test_days=90, step_days=30,
+def walk_forward_rows(rows: DataFrame, start: str | None = None, end: str | None = None, train_days=360, gap_days=1, test_days=90, step_days=30,
                       ts="ts") -> DataFrame:
     """Each row once per window and side (train or test) that holds it, with inclusive date ranges.
 
-    Window i starts i steps after `start`; those whose test ends after `end` do not exist.  The windows of a row form
+    Window i starts i steps after `start`; those whose test ends after `end` do not exist.  The first and last day of the rows (a one-row
+    aggregate) stand in for what is not given.  The windows of a row form
     a range of i, so the assignment is arithmetic on the row: no join and no window table.
     """
-    day = F.datediff(F.col(ts), F.lit(start).cast("date"))
+    out = rows.columns
+    span = rows.agg(F.min(ts).cast("date").alias("_first"), F.max(ts).cast("date").alias("_last"))
+    rows = rows.join(F.broadcast(span), F.lit(True)) if start is None or end is None else rows
+    first = F.col("_first") if start is None else F.lit(start).cast("date")
+    final = F.col("_last") if end is None else F.lit(end).cast("date")
+    day = F.datediff(F.col(ts), first)
     length = train_days + gap_days + test_days
-    last = F.floor((F.datediff(F.lit(end).cast("date"), F.lit(start).cast("date")) - length) / step_days)
+    last = F.floor((F.datediff(final, first) - length) / step_days)
 
     def windows(offset, days) -> Column:
         lo = F.greatest(F.ceil((day - offset - days) / step_days), F.lit(0))
@@ -134,7 +140,7 @@ def walk_forward_rows(rows: DataFrame, start: str, end: str, train_days=360, gap
         return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
     side = lambda name, ids: F.transform(ids, lambda i: F.struct(i.alias("window"), F.lit(name).alias("side")))
     both = F.concat(side("train", windows(0, train_days)), side("test", windows(train_days + gap_days, test_days)))
-    return rows.select("*", F.inline(both))
+    return rows.select(*out, F.inline(both))
 
 
 def parameter_grid(spark, **lists) -> DataFrame:

@@ -98,7 +98,7 @@ def _vector(df, features, out="_x"):
     return VectorAssembler(inputCols=features, outputCol=out, handleInvalid="skip").transform(df)
 
 
-def forest_importance(df: DataFrame, features: list[str], target: str, trees=20, depth=5, seed=42) -> DataFrame:
+def forest_importance(df: DataFrame, features: list[str], target: str, trees=100, depth=5, seed=42) -> DataFrame:
     from pyspark.ml.regression import RandomForestRegressor
     data = _vector(df.dropna(subset=[*features, target]), features)
     model = RandomForestRegressor(featuresCol="_x", labelCol=target, numTrees=trees, maxDepth=depth, seed=seed).fit(data)
@@ -111,11 +111,11 @@ def correlation_importance(df: DataFrame, features: list[str], target: str) -> D
     return explode_columns(one, features, "importance")
 
 
-def recursive_elimination(df: DataFrame, features: list[str], target: str, k: int, **forest) -> list[str]:
+def recursive_elimination(df: DataFrame, features: list[str], target: str, k: int, trees=50, **forest) -> list[str]:
     """Drop the least important feature until k are left: one distributed forest per step."""
     left = list(features)
     while len(left) > k:
-        scores = {r.feature: r.importance for r in forest_importance(df, left, target, **forest).collect()}
+        scores = {r.feature: r.importance for r in forest_importance(df, left, target, trees, **forest).collect()}
         left.remove(min(left, key=lambda c: (scores[c], c)))
     return left
 

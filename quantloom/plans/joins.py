@@ -119,14 +119,14 @@ def ex_date_events(spark, sf_dir):
     return result(out, ["qty", "avg_cost", "cash"], 4, keys=("portfolio", "symbol"), ts=None)
 
 
-START, END = "1995-01-02", "2001-11-04"
-WINDOWS = f"""wins AS (SELECT i AS w, DATE '{START}' + CAST(30 * i AS INTEGER) AS a FROM range(0, CAST(floor((DATE '{END}' - DATE '{START}' - 451) / 30) AS BIGINT) + 1) t(i))"""
+WINDOWS = """span AS (SELECT CAST(min(ts) AS DATE) AS s, CAST(max(ts) AS DATE) AS e FROM asset),
+  wins AS (SELECT w, s + CAST(30 * w AS INTEGER) AS a FROM (SELECT s, unnest(range(0, greatest(CAST(floor((e - s - 451) / 30) AS BIGINT) + 1, 0))) AS w FROM span))"""
 WF = """wf AS (SELECT symbol, ts, ret, w AS "window", 'train' AS side FROM asset JOIN wins ON ts BETWEEN a AND a + 360
   UNION ALL SELECT symbol, ts, ret, w, 'test' FROM asset JOIN wins ON ts BETWEEN a + 361 AND a + 451)"""
 
 
 def walk_rows(spark, sf_dir):
-    return J.walk_forward_rows(T.asset_returns(spark, sf_dir), START, END)
+    return J.walk_forward_rows(T.asset_returns(spark, sf_dir))
 
 
 @query("walk_forward_windows", with_(ASSET, WINDOWS, WF, body='SELECT symbol, "window", side, count(*) AS n, strftime(min(ts), \'%Y-%m-%d\') AS first_day, strftime(max(ts), \'%Y-%m-%d\') AS last_day FROM wf GROUP BY ALL'))

@@ -40,14 +40,14 @@ def correlation_filter(spark, sf_dir):
     return SL.correlation_filter(features(spark, sf_dir), FEAT, 0.42)
 
 
-simple("stability_selection", None, ["frequency"], 4, lambda s, d: SL.stability_selection(features(s, d), FEAT, "ret", ["symbol", "ts"], 2, 50), KF)
-simple("forest_importance", None, ["importance"], 6, lambda s, d: SL.forest_importance(features(s, d), FEAT, "ret", trees=10), KF)
+simple("stability_selection", None, ["frequency"], 4, lambda s, d: SL.stability_selection(features(s, d), FEAT, "ret", ["symbol", "ts"], 2), KF)
+simple("forest_importance", None, ["importance"], 6, lambda s, d: SL.forest_importance(features(s, d), FEAT, "ret"), KF)
 simple("correlation_importance", with_(*FQ, "f AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, abs(corr({c}, ret)) AS importance FROM fe" for c in FEAT) + ")", body=pick(["importance"], 6, keys=KF, ts=None, source="f")), ["importance"], 6, lambda s, d: SL.correlation_importance(features(s, d), FEAT, "ret"), KF)
 
 
 @query("recursive_elimination")
 def recursive_elimination(spark, sf_dir):
-    left = SL.recursive_elimination(features(spark, sf_dir), FEAT, "ret", 2, trees=5, depth=3)
+    left = SL.recursive_elimination(features(spark, sf_dir), FEAT, "ret", 2)
     return spark.createDataFrame([(c,) for c in left], "feature string")
 
 
@@ -125,7 +125,7 @@ def model_sql(reg):
 simple("model_linear", model_sql("0"), CV, 6, lambda s, d: scores_of(s, d, "linear"), ("n",))
 simple("model_ridge", model_sql("20.0 / count(*)"), CV, 6, lambda s, d: scores_of(s, d, "ridge", alpha=20.0), ("n",))
 for _k in ("lasso", "random_forest", "gradient_boosting"):
-    simple(f"model_{_k}", None, CV, 6, lambda s, d, k=_k: scores_of(s, d, k, **({"maxIter": 5} if k == "gradient_boosting" else {})), ("n",))
+    simple(f"model_{_k}", None, CV, 6, lambda s, d, k=_k: scores_of(s, d, k), ("n",))
 
 # ---- ensembles --------------------------------------------------------------------------------------------------------------
 LONG = "lg AS (SELECT symbol, ts, 'l1' AS model, ret AS y_true, l1 AS y_pred FROM fe UNION ALL SELECT symbol, ts, 'm5', ret, m5 FROM fe UNION ALL SELECT symbol, ts, 'm20', ret, m20 FROM fe)"

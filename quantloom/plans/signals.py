@@ -127,19 +127,20 @@ def signal_stability(spark, sf_dir):
 
 
 RULES = [("incomplete", "incomplete", 0, "critical", "incomplete = 0"), ("bad_type", "0", 0, "critical", "TRUE"), ("bad_strength", "bs", 0, "critical", "bs = 0"), ("bad_confidence", "bc", 0, "critical", "bc = 0"),
-         ("future", "fu", 0, "critical", "fu = 0"), ("gaps", "gaps", 7, "warning", "gaps = 0"), ("balance", "bal", 0.8, "warning", "bal <= 0.8"), ("duplicates", "0", 0, "warning", "TRUE"), ("outliers", "outl", 3, "warning", "outl = 0"),
-         ("benchmark_correlation", "bcorr", 0.3, "warning", "coalesce(bcorr >= 0.3, TRUE)")]
+         ("future", "fu", 0, "critical", "fu = 0"), ("gaps", "gaps", 7, "warning", "gaps = 0"), ("balance", "bal", 0.8, "warning", "bal <= 0.8"), ("duplicates", "0", 0, "warning", "TRUE"), ("outliers", "outl", 3, "warning", "n < 10 OR outl = 0"),
+         ("confidence_correlation", "CASE WHEN n >= 10 THEN conf END", 0.3, "warning", "coalesce(n < 10 OR conf >= 0.3, FALSE)")]
 VAL = ("""sm AS (SELECT *, avg(strength) OVER (PARTITION BY strategy) AS m, stddev_pop(strength) OVER (PARTITION BY strategy) AS sd, date_diff('day', lag(ts) OVER (PARTITION BY strategy, symbol ORDER BY ts), ts) AS gap FROM sig)""",
     """fx AS (SELECT a.strategy, count(*) FILTER (a.strength IS NULL OR a.confidence IS NULL) AS incomplete, count(*) FILTER (abs(a.strength) > 1) AS bs, count(*) FILTER (a.confidence < 0 OR a.confidence > 1) AS bc,
   count(*) FILTER (a.ts > (SELECT max(o_orderdate) FROM orders)) AS fu, count(*) FILTER (gap > 7) AS gaps, greatest(count(*) FILTER (a.signal_type = 'BUY'), count(*) FILTER (a.signal_type = 'SELL'), count(*) FILTER (a.signal_type = 'HOLD')) / count(*) AS bal,
-  count(*) FILTER (abs((a.strength - m) / nullif(sd, 0)) > 3) AS outl, corr(a.strength, b.strength) AS bcorr FROM sm a LEFT JOIN (SELECT * FROM sig WHERE strategy = 'momentum') b ON a.symbol = b.symbol AND a.ts = b.ts GROUP BY 1)""",
+  count(*) FILTER (abs((a.strength - m) / nullif(sd, 0)) > 3) AS outl, count(*) AS n,
+  covar_pop(abs(a.strength), a.confidence) / nullif(stddev_pop(abs(a.strength)) * stddev_pop(a.confidence), 0) AS conf FROM sm a GROUP BY 1)""",
     "ck AS (" + " UNION ALL ".join(f"SELECT strategy, '{n}' AS rule, {v}::DOUBLE AS value, {t}::DOUBLE AS threshold, '{w}' AS weight, {p} AS passed FROM fx" for n, v, t, w, p in RULES) + ")")
 
 
 def checks(spark, sf_dir):
     sig = all_signals(spark, sf_dir)
     data_end = T.table(spark, sf_dir, "orders").select(F.col("o_orderdate").alias("ts"))
-    return S.validate_signals(sig, data_end, sig.where("strategy = 'momentum'"))
+    return S.validate_signals(sig, data_end)
 
 
 @query("signal_validation", with_(*STRAT, *VAL, body=pick(["value"], 5, keys=("strategy", "rule", "threshold", "weight", "passed"), ts=None, source="ck")))

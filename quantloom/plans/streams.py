@@ -16,26 +16,24 @@ def ticks(spark, sf_dir):
     return SB.event_stream(spark, sf_dir).select(F.col("event_type").alias("symbol"), "ts", "event_id", F.col("value").alias("price"))
 
 
-# windows that end at or before (newest event - delay) are closed and stored
-CLOSED = "(SELECT max(ts) FROM events) - INTERVAL 2 HOUR"
 BAR = ["open", "high", "low", "close", "volume"]
 BARS = """SELECT event_type AS symbol, {start} AS ts, first(value ORDER BY events.ts, event_id) AS open, max(value) AS high, min(value) AS low, last(value ORDER BY events.ts, event_id) AS close, count(*) AS volume FROM events{extra} GROUP BY 1, 2"""
 
 
-@query("stream_tumbling_bars", f"WITH final AS (SELECT * FROM ({BARS.format(start='''date_trunc('hour', events.ts)''', extra='')}) WHERE ts + INTERVAL 1 HOUR <= {CLOSED}) " + pick(BAR, 4, base="hourly"))
+@query("stream_tumbling_bars", f"WITH final AS (SELECT * FROM ({BARS.format(start='''date_trunc('hour', events.ts)''', extra='')})) " + pick(BAR, 4, base="hourly"))
 def stream_tumbling_bars(spark, sf_dir):
-    return result(SB.run_available(SB.window_bars(ticks(spark, sf_dir))), BAR, 4, base="hourly")
+    return result(SB.newest(SB.run_available(SB.window_bars(ticks(spark, sf_dir)), "update"), ["symbol", "ts"]), BAR, 4, base="hourly")
 
 
-@query("stream_sliding_bars", f"WITH final AS (SELECT * FROM ({BARS.format(start='''date_trunc('hour', events.ts) - k * INTERVAL 1 HOUR''', extra=', range(0, 4) r(k)')}) WHERE ts + INTERVAL 4 HOUR <= {CLOSED}) " + pick(BAR, 4, base="hourly"))
+@query("stream_sliding_bars", f"WITH final AS (SELECT * FROM ({BARS.format(start='''date_trunc('hour', events.ts) - k * INTERVAL 1 HOUR''', extra=', range(0, 4) r(k)')})) " + pick(BAR, 4, base="hourly"))
 def stream_sliding_bars(spark, sf_dir):
-    return result(SB.run_available(SB.window_bars(ticks(spark, sf_dir), "4 hours", "1 hour")), BAR, 4, base="hourly")
+    return result(SB.newest(SB.run_available(SB.window_bars(ticks(spark, sf_dir), "4 hours", "1 hour"), "update"), ["symbol", "ts"]), BAR, 4, base="hourly")
 
 
-@query("stream_sessions", f"""SELECT symbol, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM (SELECT *, sum(brk) OVER (PARTITION BY symbol ORDER BY ts) AS s FROM (SELECT event_type AS symbol, ts,
-  CASE WHEN ts < lag(ts) OVER (PARTITION BY event_type ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS brk FROM events)) GROUP BY symbol, s HAVING max(ts) + INTERVAL 30 MINUTE <= {CLOSED}""")
+@query("stream_sessions", """SELECT symbol, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM (SELECT *, sum(brk) OVER (PARTITION BY symbol ORDER BY ts) AS s FROM (SELECT event_type AS symbol, ts,
+  CASE WHEN ts < lag(ts) OVER (PARTITION BY event_type ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS brk FROM events)) GROUP BY symbol, s""")
 def stream_sessions(spark, sf_dir):
-    s = SB.run_available(SB.session_counts(ticks(spark, sf_dir)))
+    s = SB.last_batch(SB.run_available(SB.session_counts(ticks(spark, sf_dir)), "complete"))      # session windows have no update mode
     return s.select("symbol", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 

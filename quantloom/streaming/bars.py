@@ -82,6 +82,12 @@ def stored_schema(stream: DataFrame, mode: str, write):
     return StructType([*stream.schema.fields, StructField("batch", LongType()), StructField("b", IntegerType())])
 
 
+def newest(rows: DataFrame, keys) -> DataFrame:
+    """Newest stored state of each key of a query in update mode, open windows included."""
+    values = [c for c in rows.columns if c not in (*keys, "b", "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "b").alias("_v")).select(*keys, "_v.*")
+
+
 def last_batch(rows: DataFrame) -> DataFrame:
     """Result of the newest batch of a query in complete mode."""
     newest = rows.agg(F.max("b").alias("_b"))
