@@ -122,7 +122,7 @@ def ab_test(scores: DataFrame, level=0.95, minimum=30, minimum_effect=0.0, lower
                     (F.col("difference") + F.col("_crit") * F.col("_se")).alias("high"), F.when(clear, F.when(better, "A").otherwise("B")).alias("winner"))
 
 
-def bootstrap_difference(scores: DataFrame, id_columns, replicates=200, seed=42) -> DataFrame:
+def bootstrap_difference(scores: DataFrame, id_columns, replicates=1000, seed=42) -> DataFrame:
     """Percentile interval of the mean difference over Poisson bootstraps; weights are hashes of the row ids."""
     r = scores.select("test", "arm", "score", *id_columns, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
     w = poisson_weight(uniform(F.lit(seed), F.col("rep"), F.col("test"), *[F.col(c) for c in id_columns])).cast("double")

@@ -240,7 +240,7 @@ AB = ("sc AS (SELECT l_returnflag AS test, l_orderkey % 2 = 0 AS a, l_extendedpr
 simple("ab_test", with_(*AB, "f AS (SELECT test, n_a, n_b, difference, difference / (pooled * sqrt(1 / n_a + 1 / n_b)) AS statistic, difference / pooled AS effect, CASE WHEN difference > 0 THEN 'A' ELSE 'B' END AS winner FROM mo)", body=pick(["difference", "statistic", "effect"], 4, keys=("test", "n_a", "n_b", "winner"), ts=None, source="f")),
     ["difference", "statistic", "effect"], 4, lambda s, d: D.ab_test(scores(s, d), minimum_effect=0.01), ("test", "n_a", "n_b", "winner"))
 simple("ab_test_intervals", None, ["difference", "p_value", "low", "high"], 6, lambda s, d: D.ab_test(scores(s, d)), ("test",))
-simple("ab_bootstrap", None, ["difference", "low", "high"], 5, lambda s, d: D.bootstrap_difference(scores(s, d), ["l_orderkey", "l_linenumber", "l_partkey"], 50), ("test",))
+simple("ab_bootstrap", None, ["difference", "low", "high"], 5, lambda s, d: D.bootstrap_difference(scores(s, d), ["l_orderkey", "l_linenumber", "l_partkey"]), ("test",))
 
 
 @query("sample_size", "SELECT l_suppkey AS test, max(CAST(ceil(2 * pow((1.959963984540054 + 0.8416212335729143) / e, 2)) AS BIGINT)) AS rows_per_arm FROM (SELECT l_suppkey, 0.1 + avg(round(l_discount * 100)) OVER (PARTITION BY l_suppkey) / 100 AS e FROM lineitem) GROUP BY 1")

@@ -5,9 +5,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quantloom.operators import accounting as A, backtest as BT, clean as C, joins as J, learning as L, rolling as R
+from quantloom.operators import accounting as A, backtest as BT, clean as C, joins as J, learning as L, rolling as R, signals as SG
 from quantloom.sources import datasets as DS, files
-from quantloom.streaming import monitor as SM
+from quantloom.streaming import bars as SB, monitor as SM
 
 
 def test_actions_do_not_commute(spark):
@@ -120,3 +120,31 @@ def test_folds_never_train_on_the_test_rows(spark):
         assert set(p.side) == {"train", "test"}
         for _, g in p.groupby("fold"):
             assert g[g.side == "train"].ts.max() < g[g.side == "test"].ts.min()
+
+
+def test_walk_forward_range_comes_from_the_rows(spark):
+    days = pd.date_range("2020-01-01", periods=600)
+    rows = spark.createDataFrame(pd.DataFrame({"symbol": 1, "ts": days})).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    keys = ["window", "side", "ts"]
+    own = J.walk_forward_rows(rows).select(*keys).collect()
+    named = J.walk_forward_rows(rows, "2020-01-01", "2021-08-22").select(*keys).collect()
+    assert sorted(own) == sorted(named) and {r.window for r in own} == set(range(5))
+    assert J.walk_forward_rows(rows.limit(0)).count() == 0
+    assert J.walk_forward_rows(rows.where("ts < '2020-03-01'")).count() == 0
+
+
+def test_confidence_rule_inside_a_strategy(spark):
+    start = datetime(2020, 1, 1)
+
+    def signals(name, n, confidence):
+        return [(name, 1, start + timedelta(days=i), "BUY" if i % 2 else "SELL", (-1) ** i * i / 20, confidence(i)) for i in range(n)]
+    rows = signals("follows", 12, lambda i: i / 20) + signals("against", 12, lambda i: 1 - i / 20) + signals("flat", 12, lambda i: 0.5) + signals("few", 9, lambda i: 1 - i / 20)
+    df = spark.createDataFrame(rows, "strategy string, symbol long, ts timestamp, signal_type string, strength double, confidence double")
+    got = {r.strategy: (r.value, r.passed) for r in SG.validate_signals(df, df).where("rule = 'confidence_correlation'").collect()}
+    assert got["follows"] == (pytest.approx(1), True) and got["against"] == (pytest.approx(-1), False)
+    assert got["flat"] == (None, False) and got["few"] == (None, True)
+
+
+def test_newest_state_of_each_window(spark):
+    rows = spark.createDataFrame([("a", 1, 2.0, 0, 0), ("a", 1, 5.0, 1, 1), ("a", 2, 7.0, 0, 0), ("b", 1, None, 1, 1)], "symbol string, ts int, close double, batch long, b int")
+    assert sorted(map(tuple, SB.newest(rows, ["symbol", "ts"]).collect()), key=str) == [("a", 1, 5.0), ("a", 2, 7.0), ("b", 1, None)]
