@@ -104,7 +104,8 @@ def _times(rows: DataFrame, place: np.ndarray, m: np.ndarray, gram: bool) -> np.
                         acc[k] = acc.get(k, 0) + v * y
         if gram:
             acc = dict(enumerate(square))
-        yield pd.DataFrame({"at": list(acc), "v": list(acc.values())})
+        if acc:                 # a task without words has nothing to add
+            yield pd.DataFrame({"at": list(acc), "v": list(acc.values())})
 
     parts = rows.select("bucket", "weight").mapInPandas(run, "at long, v array<double>")
     sums = parts.select("at", F.posexplode("v")).groupBy("at", "pos").agg(F.sum("col").alias("v")).toArrow()
@@ -213,21 +214,22 @@ def indexes(benchmark: DataFrame, idf: np.ndarray, block: int = BLOCK) -> Iterat
     place, basis = randomised_svd(rows)
     blocks = math.ceil(total / block)
     for k in range(blocks):
-        part = rows.where(F.pmod(F.xxhash64("raw"), F.lit(blocks)) == k).toPandas()
+        part = rows.where(F.pmod(F.xxhash64("raw"), F.lit(blocks)) == k).toArrow()
+        ids, part = part["item_id"].to_pylist(), part.to_pandas()          # ids as they are: pandas turns null integers to NaN
         known = np.zeros(BUCKETS, np.float32)
         latent = np.zeros((len(part), basis.shape[1]), np.float32)
         for r, (b, x) in enumerate(zip(part["bucket"], part["weight"])):
             known[b] = 1
             latent[r] = x @ basis[place[b]]
         latent /= np.linalg.norm(latent, axis=1, keepdims=True) + 1e-12
-        yield Index(idf, place, basis, known, part["item_id"].tolist(), [tokens(t) for t in part["raw"]], [answer(t) for t in part["raw"]], latent)
+        yield Index(idf, place, basis, known, ids, [tokens(t) for t in part["raw"]], [answer(t) for t in part["raw"]], latent)
 
 
 def mark_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", matches: str = "leaks", coverage: float = 0.5, cosine: float = 0.5,
                least: float = 0.8, paraphrase: float = 0.6) -> DataFrame:
     """All rows and columns of `docs` and the array `matches` of (item_id, start, cosine, lcs, answer), one for each benchmark item that the whole text holds.
 
-    Null and empty texts and an empty benchmark give empty arrays; equal rows get equal arrays; a column of that name is replaced.
+    Null and empty texts and an empty benchmark give empty arrays; an item with a null id is reported under null; equal rows get equal arrays; a column of that name is replaced.
     """
     kind = benchmark.schema["item_id"].dataType.simpleString()
     out = docs.drop(matches).withColumn(matches, F.array().cast(MATCH.format(kind=kind)))
