@@ -23,6 +23,14 @@ def require_rows_and_columns(df: DataFrame, needed) -> DataFrame:
     return df
 
 
+def column_report(df: DataFrame, needed) -> DataFrame:
+    """(column, present, filled): whether each needed column exists and how many rows fill it; an empty frame fills none.  One aggregate."""
+    here = [c for c in needed if c in df.columns]
+    one = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(F.col(f"`{c}`")).alias(f"_n{i}") for i, c in enumerate(here)])
+    rows = [F.struct(F.lit(c).alias("column"), F.lit(c in here).alias("present"), (F.col(f"_n{here.index(c)}") if c in here else F.lit(0).cast("long")).alias("filled")) for c in needed]
+    return one.select(F.inline(F.array(*rows)))
+
+
 def forward(s: Series, x, limit: int | None = None) -> Column:
     return F.last(x, ignorenulls=True).over(s.order.rowsBetween(FIRST if limit is None else -limit, 0))
 

@@ -10,6 +10,7 @@ from quantloom.functions.scalar import TRADING_DAYS, corr_of, div
 from quantloom.operators.metrics import least_squares, or_zero
 from quantloom.operators.ranks import average_ranks, cumulative_counts, exact_quantiles
 from quantloom.operators.series import ROW, Series
+from quantloom.session import checkpointed
 
 # ---- scaling -------------------------------------------------------------------------------------------------------
 
@@ -18,7 +19,8 @@ def scaled(df: DataFrame, column: str, method: str, threshold: float = 3.0, remo
     """`<column>_scaled`: standard, robust, minmax or returns (rank percent).
 
     Bounds are mean +- threshold deviations (median +- threshold mean-absolute-deviation medians for robust); values
-    outside become null and the scaler statistics come from the values inside.  All statistics are one row.
+    outside become null and the scaler statistics come from the values inside.  All statistics are one row.  The robust form
+    reads its three statistics (one row each) while the plan is built, from the column stored once, so that the plan itself is one pass.
     """
     x = F.col(column)
     if method == "returns":
@@ -27,10 +29,7 @@ def scaled(df: DataFrame, column: str, method: str, threshold: float = 3.0, remo
         pct = c.join(F.broadcast(n), F.lit(True)).select(column, ((F.col("_k_below") + (F.col("_k") + 1) / 2) / F.col("_n")).alias(f"{column}_scaled"))
         return df.join(pct, column, "left").select(*df.columns, f"{column}_scaled")
     if method == "robust":
-        med = exact_quantiles(df, [], column, [0.5]).select(F.col("q0").alias("_m"))
-        dev = df.join(F.broadcast(med), F.lit(True)).select(F.abs(x - F.col("_m")).alias("_d"))
-        mad = exact_quantiles(dev, [], "_d", [0.5]).select(F.col("q0").alias("_s"))
-        stats = med.join(F.broadcast(mad), F.lit(True))
+        return robust_scaled(df, column, threshold, remove_outliers)
     else:
         stats = df.agg(F.avg(x).alias("_m"), F.stddev_samp(x).alias("_s"))
     d = df.join(F.broadcast(stats), F.lit(True))
@@ -41,14 +40,26 @@ def scaled(df: DataFrame, column: str, method: str, threshold: float = 3.0, remo
         fit, out = d.agg(F.avg("_v").alias("_a"), F.stddev_pop("_v").alias("_b")), lambda: div(F.col("_v") - F.col("_a"), "_b")
     elif method == "minmax":
         fit, out = d.agg(F.min("_v").alias("_a"), (F.max("_v") - F.min("_v")).alias("_b")), lambda: div(F.col("_v") - F.col("_a"), "_b")
-    elif method == "robust":
-        q = exact_quantiles(d.select("_v"), [], "_v", [0.25, 0.5, 0.75])
-        fit, out = q.select(F.col("q1").alias("_a"), (F.col("q2") - F.col("q0")).alias("_b")), lambda: div(F.col("_v") - F.col("_a"), "_b")
     else:
         raise ValueError(f"unknown scaling method {method}")
     return d.join(F.broadcast(fit), F.lit(True)).select(*df.columns, out().alias(f"{column}_scaled"))
 
 
+def robust_scaled(df: DataFrame, column: str, threshold: float, remove_outliers: bool) -> DataFrame:
+    x, null = F.col(column), F.lit(None).cast("double")
+    stored = checkpointed(df.where(x.isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_k")))      # equal values are one row
+
+    def quantiles(rows, value, probs):
+        row = exact_quantiles(rows, [], value, probs, weight="_k").first()
+        return [null if row is None or v is None else F.lit(float(v)) for v in (row or probs)]
+    (middle,) = quantiles(stored, column, [0.5])
+    (spread,) = quantiles(stored.select(F.abs(x - middle).alias("_d"), "_k"), "_d", [0.5])
+    inside = (x >= middle - threshold * spread) & (x <= middle + threshold * spread)
+    low, mid, high = quantiles(stored.where(inside) if remove_outliers else stored, column, [0.25, 0.5, 0.75])
+    v = F.when(inside, x) if remove_outliers else x
+    return df.select("*", div(v - mid, high - low).alias(f"{column}_scaled"))
+
+
 def preprocess(df: DataFrame, columns, method="standard", lags=(1,), windows=(5,), keys=("symbol",), ts="ts") -> DataFrame:
     """Lag, rolling and change features, forward then backward fill, then scaling of every feature."""
     from quantloom.operators.clean import _fill, backward, forward
@@ -206,10 +217,10 @@ def ensemble_predictions(pred: DataFrame, keys, weights: DataFrame | None = None
                                 F.percentile(p, F.lit(0.5)).alias("median"), F.mode(vote, deterministic=True).alias("vote"))
 
 
-def stacked_predictions(pred: DataFrame, keys, models: list[str], folds: int = 5) -> DataFrame:
-    """Out-of-fold linear combination of the models: fold of a row = hash of its key; one fit per fold."""
+def stacked_predictions(pred: DataFrame, keys, models: list[str], folds: int = 5, fold: Column | None = None) -> DataFrame:
+    """Out-of-fold linear combination of the models: fold of a row = `fold` (0 to folds - 1) or a hash of its key; one fit per fold."""
     wide = pred.groupBy(*keys).agg(F.first("y_true").alias("y_true"), *[F.max(F.when(F.col("model") == m, F.col("y_pred"))).alias(m) for m in models]).dropna()
-    wide = wide.withColumn("_fold", F.pmod(F.xxhash64(*keys), F.lit(folds)))
+    wide = wide.withColumn("_fold", (F.pmod(F.xxhash64(*keys), F.lit(folds)) if fold is None else fold).cast("long"))
     others = wide.select("*", F.explode(F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: f != F.col("_fold"))).alias("_for"))
     fit = least_squares(others, "y_true", models, ["_for"]).select(F.col("_for").cast("long").alias("_fold"), "alpha", *[f"beta_{m}" for m in models])
     value = F.col("alpha")

@@ -280,6 +280,31 @@ def column_moments(wide: DataFrame, columns: list[str]) -> tuple[DataFrame, Data
     return means, flat.select(F.explode(F.array(*cells)).alias("r")).select("r.*")
 
 
+def held_pairs(weights: DataFrame, portfolio="portfolio") -> DataFrame:
+    """(portfolio, i, j) with i <= j: the cells of each portfolio's matrix, and no others."""
+    w = weights.select(portfolio, "symbol").distinct()
+    return w.withColumnRenamed("symbol", "i").join(w.withColumnRenamed("symbol", "j"), portfolio).where("i <= j")
+
+
+def asset_covariance(returns: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(i, j, n, cov, corr) of the requested pairs, in long form: a pair's sums are combined map-side over the days that both have.
+
+    Nothing is pivoted, so the universe may have any size; the work is requested pairs x days.
+    """
+    r = returns.where(F.col(R).isNotNull())
+    x, y = (r.select(F.col("symbol").alias(s), "ts", F.col(R).alias(f"_{s}")) for s in ("i", "j"))
+    d = pairs.select("i", "j").distinct().join(x, "i").join(y, ["j", "ts"])
+    return d.groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"), F.covar_samp("_i", "_j").alias("cov"), corr_of("_i", "_j").alias("corr"))
+
+
+def shrunk_asset_covariance(cov: DataFrame, pairs: DataFrame, share=0.1, portfolio="portfolio") -> DataFrame:
+    """Per portfolio (1-share) S + share (mean variance of its assets) I, over the cells i <= j."""
+    c = pairs.select(portfolio, "i", "j").join(cov, ["i", "j"])
+    own = c.where("i = j").groupBy(portfolio).agg(F.avg("cov").alias("_t"))
+    s = (1 - share) * F.col("cov") + F.when(F.col("i") == F.col("j"), share * F.col("_t")).otherwise(0.0)
+    return c.join(own, portfolio).select(portfolio, "i", "j", s.alias("cov"))
+
+
 def shrunk_covariance(cov: DataFrame, share=0.1) -> DataFrame:
     """(1-share) S + share (trace S / n) I over rows (i, j, cov)."""
     diag = cov.where("i = j").agg(F.avg("cov").alias("_t"))            # one row

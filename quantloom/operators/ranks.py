@@ -52,13 +52,13 @@ def average_ranks(df: DataFrame, keys: list[str], value: str, counts: dict, part
     return c.withColumn("rank", below + (ties + 1) / 2)
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], parts: int | None = None) -> DataFrame:
-    """(keys, q0, q1, ...): linearly interpolated quantiles of groups of any size.
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], parts: int | None = None, weight: str | None = None) -> DataFrame:
+    """(keys, q0, q1, ...): linearly interpolated quantiles of groups of any size; a row counts `weight` times.
 
     Works on running counts of distinct values, so no group is gathered; only the values next to each position are
     picked.
     """
-    c = cumulative_counts(df.where(F.col(value).isNotNull()), keys, value, {"_k": F.count(F.lit(1))}, parts)
+    c = cumulative_counts(df.where(F.col(value).isNotNull()), keys, value, {"_k": F.sum(weight) if weight else F.count(F.lit(1))}, parts)
     n = c.groupBy(*keys).agg(F.sum("_k").alias("_n"))
     j = c.join(n, keys) if keys else c.join(F.broadcast(n), F.lit(True))
     first, last = F.col("_k_below"), F.col("_k_below") + F.col("_k") - 1       # 0-based positions of the ties

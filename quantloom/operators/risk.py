@@ -52,13 +52,16 @@ def normal_var(returns: DataFrame, value: float = 1.0, keys=("symbol",), rows=25
 
 def student_quantile(p: float, dof: Column) -> Column:
     """Lower quantile of Student's t by the Cornish-Fisher expansion in 1/dof, refined with Newton steps on the
-    numerically integrated distribution; runs on aggregated rows."""
+    numerically integrated distribution up to 1000 degrees (beyond, the expansion is exact to 1e-8); null dof is the normal limit.
+    Runs on aggregated rows."""
     @F.pandas_udf("double")
     def f(nu: pd.Series) -> pd.Series:
         nodes, weights = np.polynomial.legendre.leggauss(200)
-        n = nu.to_numpy(float)
         from statistics import NormalDist
         z = NormalDist().inv_cdf(p)
+        every = nu.fillna(math.inf).to_numpy(float)
+        wide = z + (z**3 + z) / (4 * every) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * every**2)
+        n = np.minimum(every, 1000.0)
         x = z + (z**3 + z) / (4 * n)
         scale = np.array([math.exp(math.lgamma((v + 1) / 2) - math.lgamma(v / 2)) / math.sqrt(math.pi) for v in n])
         for _ in range(60):
@@ -69,22 +72,23 @@ def student_quantile(p: float, dof: Column) -> Column:
             cdf = np.where(x < 0, upper, 1 - upper)
             density = scale / np.sqrt(n) * (1 + x * x / n) ** (-(n + 1) / 2)
             x = x - (cdf - p) / density
-        return pd.Series(x)
+        return pd.Series(np.where(every > 1000, wide, x))
     return f(dof)
 
 
 def student_var(returns: DataFrame, value: float = 1.0, keys=("symbol",), rows=252, levels=LEVELS) -> DataFrame:
-    """Student-t with the degrees of freedom matched to the kurtosis (4 + 6/excess, at most 200)."""
+    """Student-t with the degrees of freedom matched to the kurtosis (4 + 6/excess); the normal limit (null dof) where there is no excess."""
     m = recent(returns, keys, rows).groupBy(*keys).agg(
         F.avg("ret").alias("_m"), F.stddev_samp("ret").alias("_s"), F.kurtosis("ret").alias("_k"))
-    dof = F.when(F.col("_k") > 0, F.least(4 + 6 / F.col("_k"), F.lit(200.0))).otherwise(200.0)
-    m = m.withColumn("dof", dof).withColumn("_scale", F.col("_s") * F.sqrt((F.col("dof") - 2) / F.col("dof")))
+    m = m.withColumn("dof", F.when(F.col("_k") > 0, 4 + 6 / F.col("_k")))
+    m = m.withColumn("_scale", F.col("_s") * F.coalesce(F.sqrt(1 - 2 / F.col("dof")), F.lit(1.0)))
     out = m
     for c in levels:
         q = f"_q{tag(c)}"
         out = out.withColumn(q, student_quantile(1 - c, F.col("dof")))
         density = F.pow(1 + F.col(q) ** 2 / F.col("dof"), -(F.col("dof") + 1) / 2) * _student_scale("dof")
-        tail = density / (1 - c) * (F.col("dof") + F.col(q) ** 2) / (F.col("dof") - 1)
+        normal = F.exp(-F.col(q) ** 2 / 2) / math.sqrt(2 * math.pi) / (1 - c)
+        tail = F.coalesce(density / (1 - c) * (F.col("dof") + F.col(q) ** 2) / (F.col("dof") - 1), normal)
         out = out.withColumns({f"var_{tag(c)}": -(F.col("_m") + F.col("_scale") * F.col(q)) * value,
                                f"cvar_{tag(c)}": -(F.col("_m") - F.col("_scale") * tail) * value})
     return out.select(*keys, "dof", *[f"{k}_{tag(c)}" for c in levels for k in ("var", "cvar")])
@@ -93,7 +97,9 @@ def student_var(returns: DataFrame, value: float = 1.0, keys=("symbol",), rows=2
 def _student_scale(dof: str) -> Column:
     @F.pandas_udf("double")
     def f(n: pd.Series) -> pd.Series:
-        return n.map(lambda v: math.exp(math.lgamma((v + 1) / 2) - math.lgamma(v / 2)) / math.sqrt(math.pi * v))
+        # ratio of gamma functions; its series where the logarithms would cancel
+        return n.map(lambda v: None if pd.isna(v) else math.exp(math.lgamma((v + 1) / 2) - math.lgamma(v / 2)) / math.sqrt(math.pi * v) if v <= 1000
+                     else (1 - 1 / (4 * v) + 1 / (32 * v * v)) / math.sqrt(2 * math.pi))
     return f(F.col(dof))
 
 

@@ -231,7 +231,7 @@ class Series(Layers):
 
         Rows are cut into segments on which (1-alpha)^-position stays far inside double range.  A row combines the
         running sums of its own segment with the sums of the segment before; anything older weighs less than e^-300.
-        Cost per row is constant, whatever the span.
+        A null row has the mean of the last row with a value, however far back.  Cost per row is constant, whatever the span.
         """
         alpha = 2.0 / (span + 1) if alpha is None else alpha
         if alpha >= 1:
@@ -254,7 +254,8 @@ class Series(Layers):
         here, there = F.exp(-lam * pos), F.exp(-lam * (pos + 1))
         top = F.coalesce(num * here, zero) + F.coalesce(num0 * there, zero)
         bottom = F.coalesce(den * here, zero) + F.coalesce(den0 * there, zero)
-        return self.let(div(top, bottom))
+        mean = self.let(F.when(has, div(top, bottom)))
+        return self.let(F.last(mean, ignorenulls=True).over(self.order.rowsBetween(Window.unboundedPreceding, 0)))
 
     @staticmethod
     def ewm_lookback(span: float | None = None, alpha: float | None = None) -> int:

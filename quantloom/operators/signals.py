@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quantloom.functions.scalar import corr_of, div, true_or_false
 from quantloom.operators.indicators.momentum import macd_lines, rsi_of
+from quantloom.operators.rolling import signal_stability
 from quantloom.operators.series import Series
 
 TYPES = ("BUY", "SELL", "HOLD")
@@ -193,6 +194,7 @@ def validate_signals(signals: DataFrame, data_end: DataFrame) -> DataFrame:
     """(strategy, rule, value, threshold, weight, passed): one aggregate per strategy plus series statistics.
 
     Outliers and the correlation of |strength| with confidence are judged from ten signals on; a correlation that does not exist fails.
+    Stability is the mean over the symbols that have forty signals or more; without such a symbol it passes.
     """
     k = ["strategy"]
     last = data_end.agg(F.max("ts").alias("_last"))
@@ -208,7 +210,9 @@ def validate_signals(signals: DataFrame, data_end: DataFrame) -> DataFrame:
     gap = s.frame({"gap": F.datediff("ts", s.lag("ts"))}, keep=k).groupBy(*k).agg(F.count_if(F.col("gap") > 7).alias("gaps"))
     z = signals.join(base.select(*k, "_m", "_s"), k).groupBy(*k).agg(
         F.count_if(F.abs(div(F.col("strength") - F.col("_m"), F.col("_s"))) > 3).alias("outliers"))
-    a = base.join(dup, k).join(gap, k).join(z, k)
+    many = signals.groupBy(*k, "symbol").agg(F.count(F.lit(1)).alias("_c")).where("_c >= 40")
+    steady = signal_stability(signals, 10, (*k, "symbol")).join(many, [*k, "symbol"]).groupBy(*k).agg(F.avg("stability").alias("stability"))
+    a = base.join(dup, k).join(gap, k).join(z, k).join(steady, k, "left")
     zero = lambda c: check(c, F.col(c), F.col(c) == 0, 0, "critical")
     few = F.col("n") < 10
     balance = F.greatest(*[F.col(f"_{t}") for t in TYPES]) / F.col("n")
@@ -216,7 +220,8 @@ def validate_signals(signals: DataFrame, data_end: DataFrame) -> DataFrame:
     rows += [check("gaps", F.col("gaps"), F.col("gaps") == 0, 7, "warning"), check("balance", balance, balance <= 0.8, 0.8, "warning"),
              check("duplicates", F.col("duplicates"), F.col("duplicates") == 0, 0, "warning"),
              check("outliers", F.col("outliers"), few | (F.col("outliers") == 0), 3, "warning"),
-             check("confidence_correlation", F.when(~few, F.col("_corr")), few | (F.col("_corr") >= 0.3), 0.3, "warning")]
+             check("confidence_correlation", F.when(~few, F.col("_corr")), few | (F.col("_corr") >= 0.3), 0.3, "warning"),
+             check("signal_stability", F.col("stability"), F.coalesce(F.col("stability") >= 0.7, F.lit(True)), 0.7, "warning")]
     return a.select(*k, F.inline(F.array(*rows)))
 
 
@@ -239,6 +244,16 @@ BIAS_RULES = (
 )
 
 
+# Round parameter values.
+ROUND_VALUES = (5, 10, 15, 20, 25, 30, 50, 100, 200)
+
+
+def round_parameters(parameters: DataFrame, key="strategy") -> DataFrame:
+    """Findings for parameters (key, parameter, value) that are round numbers, perhaps picked by hand."""
+    return parameters.where(F.col("value").isin(*[float(v) for v in ROUND_VALUES])).select(
+        key, F.concat(F.lit("round_"), "parameter").alias("bias"), F.lit("low").alias("severity"), "value", F.lit(None).cast("double").alias("limit"), F.lit(1).alias("penalty"))
+
+
 def bias_findings(facts: DataFrame, key="strategy", rules=BIAS_RULES) -> DataFrame:
     hits = []
     for bias, severity, fact, op, limit, penalty in rules:

@@ -50,7 +50,8 @@ def poly_sql(n):
     """Values by their ordinal: gap after the k-th value uses ordinals k-1, k, k+1 (and k+2)."""
     joins = " ".join(f"LEFT JOIN v v{i} ON v{i}.symbol = b.symbol AND v{i}.vn = b.k + {i - 1}" for i in range(n))
     cols = ", ".join(f"v{i}.x AS x{i}, v{i}.rn AS r{i}" for i in range(n))
-    return with_(DAILY, GAPPY, steps("gappy", BEYOND), "v AS (SELECT symbol, vn, x, rn FROM final WHERE x IS NOT NULL)",
+    return with_(DAILY, GAPPY, steps("gappy", BEYOND).replace("final AS (", "final AS MATERIALIZED ("),
+                 "v AS MATERIALIZED (SELECT symbol, vn, x, rn FROM final WHERE x IS NOT NULL)",
                  f"j AS (SELECT b.symbol, b.ts, b.x, b.rn, {cols} FROM final b {joins})",
                  body=f"SELECT symbol, strftime(ts, '%Y-%m-%d') AS day, {rnd(f'coalesce(x, {lagrange(n)})', 3, 'x')} FROM j")
 
@@ -284,3 +285,8 @@ def compact_types(spark, sf_dir):
     d = T.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_quantity").alias("q"),
                                                   F.col("l_linenumber").alias("n"))
     return FT.compact_types(d).select(F.col("k").cast("long"), F.col("q").cast("double"), F.col("n").cast("int"))
+
+
+@query("required_columns", "SELECT 'l_quantity' AS \"column\", TRUE AS present, count(l_quantity) AS filled FROM lineitem UNION ALL SELECT 'l_shipdate', TRUE, count(l_shipdate) FROM lineitem UNION ALL SELECT 'close', FALSE, 0")
+def required_columns(spark, sf_dir):
+    return CL.column_report(T.table(spark, sf_dir, "lineitem"), ["l_quantity", "l_shipdate", "close"])

@@ -348,13 +348,38 @@ def sector_momentum_to_date(spark, sf_dir):
     return result(df, ["sector_momentum"], 5, keys=("symbol", "sector"))
 
 
-# ---- state machines: no SQL form that is not the loop itself; tested against small brute-force fixtures ---------
-@query("psar")
+# ---- state machines: the SQL form is the loop itself, one step per bar ---------------------------------------------
+PSAR_SQL = "WITH RECURSIVE " + DAILY + """,
+b AS MATERIALIZED (SELECT *, least(lag(low) OVER w, lag(low, 2) OVER w) AS near_low, greatest(lag(high) OVER w, lag(high, 2) OVER w) AS near_high, row_number() OVER w AS rn
+  FROM daily WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+p AS (SELECT symbol, rn, ts, low AS stop, 0.02::DOUBLE AS speed, high AS extreme, 1 AS side FROM b WHERE rn = 1 UNION ALL
+  SELECT symbol, rn, ts, CASE WHEN side * (behind - s) <= 0 THEN extreme WHEN side > 0 THEN least(s, near_low) ELSE greatest(s, near_high) END,
+    CASE WHEN side * (behind - s) <= 0 THEN 0.02 WHEN side * (ahead - extreme) > 0 THEN least(speed + 0.02, 0.2) ELSE speed END,
+    CASE WHEN side * (behind - s) <= 0 THEN behind WHEN side * (ahead - extreme) > 0 THEN ahead ELSE extreme END, CASE WHEN side * (behind - s) <= 0 THEN -side ELSE side END
+  FROM (SELECT b.symbol, b.rn, b.ts, near_low, near_high, p.stop + p.speed * (p.extreme - p.stop) AS s, speed, extreme, side,
+          CASE WHEN side > 0 THEN b.high ELSE b.low END AS ahead, CASE WHEN side > 0 THEN b.low ELSE b.high END AS behind FROM p JOIN b ON b.symbol = p.symbol AND b.rn = p.rn + 1)),
+f AS (SELECT symbol, ts, stop AS psar, side AS direction FROM p)
+"""
+TREND_SQL = "WITH RECURSIVE " + DAILY + """,
+n AS (SELECT *, lag(close) OVER w AS before, row_number() OVER w AS rn FROM daily WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+t AS (SELECT *, CASE WHEN rn > 1 THEN greatest(high - low, abs(high - before), abs(low - before)) END AS tr FROM n),
+b AS MATERIALIZED (SELECT *, (high + low) / 2 + 3 * atr AS u, (high + low) / 2 - 3 * atr AS d
+  FROM (SELECT *, avg(tr) OVER (PARTITION BY symbol ORDER BY ts ROWS 9 PRECEDING) AS atr FROM t)),
+p AS (SELECT symbol, rn, u AS upper, d AS lower, close, TRUE AS top, u AS line, 1 AS direction FROM b WHERE rn = 11 UNION ALL
+  SELECT symbol, rn, upper, lower, close, up, CASE WHEN up THEN upper ELSE lower END, CASE WHEN up THEN -1 ELSE 1 END
+  FROM (SELECT *, CASE WHEN top THEN close <= upper ELSE close < lower END AS up
+    FROM (SELECT b.symbol, b.rn, b.close, top, CASE WHEN u < p.upper OR p.close > p.upper THEN u ELSE p.upper END AS upper, CASE WHEN d > p.lower OR p.close < p.lower THEN d ELSE p.lower END AS lower
+      FROM p JOIN b ON b.symbol = p.symbol AND b.rn = p.rn + 1))),
+f AS (SELECT b.symbol, b.ts, line AS supertrend, direction, upper, lower FROM b LEFT JOIN p ON p.symbol = b.symbol AND p.rn = b.rn)
+"""
+
+
+@query("psar", PSAR_SQL + pick(["psar", "direction"], 4, source="f"))
 def psar(spark, sf_dir):
     return result(compute_frame(T.daily_bars(spark, sf_dir), "PSAR"), ["psar", "direction"], 4)
 
 
-@query("supertrend")
+@query("supertrend", TREND_SQL + pick(["supertrend", "direction", "upper", "lower"], 4, source="f"))
 def supertrend(spark, sf_dir):
     return result(compute_frame(T.daily_bars(spark, sf_dir), "SuperTrend"),
                   ["supertrend", "direction", "upper", "lower"], 4)

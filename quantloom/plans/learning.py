@@ -106,7 +106,12 @@ pr AS (SELECT fo.symbol, fo.fold, ret AS y, m + (c * p - b * q) / (a * c - b * b
 cv AS (SELECT symbol, fold, count(*) AS n, avg(pow(y - e, 2)) AS mse, avg(abs(y - e)) AS mae, sqrt(avg(pow(y - e, 2))) AS rmse, 1 - avg(pow(y - e, 2)) / nullif(var_pop(y), 0) AS r2 FROM pr GROUP BY 1, 2)"""
 CV = ["mse", "mae", "rmse", "r2"]
 simple("cross_validation", with_(*FQ, CVQ, body=pick(CV, 5, keys=("symbol", "fold", "n"), ts=None, source="cv")), CV, 5, lambda s, d: L.cross_validate(L.time_series_folds(features(s, d), 4), ["l1", "m5"], "ret"), ("symbol", "fold", "n"))
-simple("grid_search", None, ["alpha", "mse"], 8, lambda s, d: L.grid_search(L.time_series_folds(features(s, d), 4), ["l1", "m5"], "ret", [0.0, 0.1, *L.random_parameters(0.01, 1.0, 2)]), ())
+PENALTIES = [0.0, 0.1, *L.random_parameters(0.01, 1.0, 2)]
+simple("grid_search", with_(*FQ, CVQ.split("\nft AS")[0].rstrip(","), "g AS (SELECT unnest([" + ", ".join(f"{a!r}::DOUBLE" for a in PENALTIES) + "]) AS alpha)",
+    "ft AS (SELECT alpha, symbol, fold, avg(ret) AS m, avg(l1) AS m1, avg(m5) AS m2, var_pop(l1) + alpha / count(*) AS a, covar_pop(l1, m5) AS b, var_pop(m5) + alpha / count(*) AS c, covar_pop(l1, ret) AS p, covar_pop(m5, ret) AS q FROM fo, g WHERE side = 'train' GROUP BY 1, 2, 3)",
+    "pr AS (SELECT alpha, fo.symbol, fo.fold, ret AS y, m + (c * p - b * q) / (a * c - b * b) * (l1 - m1) + (a * q - b * p) / (a * c - b * b) * (m5 - m2) AS e FROM fo JOIN ft ON ft.symbol = fo.symbol AND ft.fold = fo.fold AND side = 'test')",
+    "f AS (SELECT alpha, avg(mse) AS mse FROM (SELECT alpha, avg(pow(y - e, 2)) AS mse FROM pr GROUP BY alpha, symbol, fold) GROUP BY 1)", body=pick(["alpha", "mse"], 8, keys=(), ts=None, source="f")),
+    ["alpha", "mse"], 8, lambda s, d: L.grid_search(L.time_series_folds(features(s, d), 4), ["l1", "m5"], "ret", PENALTIES), ())
 
 
 # ---- models: trained on the rows before 1999, scored on the rest -----------------------------------------------------------
@@ -145,9 +150,25 @@ def ensemble_predictions(spark, sf_dir):
     return result(L.ensemble_predictions(predictions(spark, sf_dir), ["symbol", "ts"]), EN, 5)
 
 
-@query("stacked_predictions")
+THREE = ("l1", "m5", "m20")
+DET = "({0} * ({4} * {8} - {5} * {7}) - {1} * ({3} * {8} - {5} * {6}) + {2} * ({3} * {7} - {4} * {6}))"
+
+
+def cramer(k):
+    """Slope k of three regressors from the columns c11..c33 and y1..y3."""
+    cells = [f"c{min(i, j)}{max(i, j)}" for i in (1, 2, 3) for j in (1, 2, 3)]
+    swapped = [f"y{i}" if j == k else f"c{min(i, j)}{max(i, j)}" for i in (1, 2, 3) for j in (1, 2, 3)]
+    return DET.format(*swapped) + " / " + DET.format(*cells)
+
+
+@query("stacked_predictions", with_(*FQ, "fd AS (SELECT *, (symbol + date_diff('day', TIMESTAMP '1970-01-01', ts)) % 5 AS fold FROM fe)",
+    "mo AS (SELECT f, avg(ret) AS my, " + ", ".join([f"avg({x}) AS m{i}, covar_pop({x}, ret) AS y{i}" for i, x in enumerate(THREE, 1)]
+        + [f"covar_pop({x}, {y}) AS c{i}{j}" for i, x in enumerate(THREE, 1) for j, y in enumerate(THREE, 1) if i <= j]) + " FROM fd, range(0, 5) t(f) WHERE fold <> f GROUP BY 1)",
+    f"sl AS (SELECT *, {cramer(1)} AS b1, {cramer(2)} AS b2, {cramer(3)} AS b3 FROM mo)",
+    "f AS (SELECT symbol, ts, ret AS y_true, my + " + " + ".join(f"b{i} * ({x} - m{i})" for i, x in enumerate(THREE, 1)) + " AS stacked FROM fd JOIN sl ON f = fold)", body=pick(["y_true", "stacked"], 5, source="f")))
 def stacked_predictions(spark, sf_dir):
-    return result(L.stacked_predictions(predictions(spark, sf_dir), ["symbol", "ts"], ["l1", "m5", "m20"]), ["y_true", "stacked"], 5)
+    fold = (F.col("symbol") + F.datediff("ts", F.lit("1970-01-01").cast("date"))) % 5
+    return result(L.stacked_predictions(predictions(spark, sf_dir), ["symbol", "ts"], list(THREE), fold=fold), ["y_true", "stacked"], 5)
 
 
 PI = ["mean", "sd", "p_low", "p_high", "low_68", "high_68", "low_95", "high_95", "low_99", "high_99"]
@@ -173,7 +194,8 @@ def one(spark, sf_dir):
     return features(spark, sf_dir).select("symbol", "ts", F.col("ret").alias("y_true"), F.col("l1").alias("y_pred"))
 
 
-DIRS = {"returns": f"SELECT symbol, sign(y_true - lag(y_true) OVER {O()}) AS a, sign(y_pred - lag(y_pred) OVER {O()}) AS b FROM o", "levels": "SELECT symbol, sign(y_true) AS a, sign(y_pred) AS b FROM o"}
+DIRS = {"returns": f"SELECT symbol, sign(y_true - lag(y_true) OVER {O()}) AS a, sign(y_pred - lag(y_pred) OVER {O()}) AS b FROM o", "levels": "SELECT symbol, sign(y_true) AS a, sign(y_pred) AS b FROM o",
+        "changes": "SELECT symbol, sign(y_true - avg(y_true) OVER (PARTITION BY symbol)) AS a, sign(y_pred - avg(y_pred) OVER (PARTITION BY symbol)) AS b FROM o"}
 for _d, _q in DIRS.items():
     simple(f"directional_accuracy_{_d}", with_(*FQ, ONE, f"s AS (SELECT * FROM ({_q}) WHERE a IS NOT NULL AND b IS NOT NULL)", "f AS (SELECT symbol, count(*) AS n, avg(CASE WHEN a = b THEN 1.0 ELSE 0.0 END) AS accuracy, coalesce(avg(CASE WHEN a = b THEN 1.0 ELSE 0.0 END) FILTER (a > 0), 0) AS up_accuracy, coalesce(avg(CASE WHEN a = b THEN 1.0 ELSE 0.0 END) FILTER (a < 0), 0) AS down_accuracy FROM s GROUP BY 1)",
         body=pick(DA, 6, keys=("symbol", "n"), ts=None, source="f")), DA, 6, lambda s, d, m=_d: L.directional_accuracy(one(s, d), m), ("symbol", "n"))
@@ -239,7 +261,10 @@ AB = ("sc AS (SELECT l_returnflag AS test, l_orderkey % 2 = 0 AS a, l_extendedpr
       "mo AS (SELECT test, count(*) FILTER (a) AS n_a, count(*) FILTER (NOT a) AS n_b, avg(score) FILTER (a) - avg(score) FILTER (NOT a) AS difference, sqrt(((count(*) FILTER (a) - 1) * var_samp(score) FILTER (a) + (count(*) FILTER (NOT a) - 1) * var_samp(score) FILTER (NOT a)) / (count(*) - 2)) AS pooled FROM sc GROUP BY 1)")
 simple("ab_test", with_(*AB, "f AS (SELECT test, n_a, n_b, difference, difference / (pooled * sqrt(1 / n_a + 1 / n_b)) AS statistic, difference / pooled AS effect, CASE WHEN difference > 0 THEN 'A' ELSE 'B' END AS winner FROM mo)", body=pick(["difference", "statistic", "effect"], 4, keys=("test", "n_a", "n_b", "winner"), ts=None, source="f")),
     ["difference", "statistic", "effect"], 4, lambda s, d: D.ab_test(scores(s, d), minimum_effect=0.01), ("test", "n_a", "n_b", "winner"))
-simple("ab_test_intervals", None, ["difference", "p_value", "low", "high"], 6, lambda s, d: D.ab_test(scores(s, d)), ("test",))
+# critical value by its expansion in 1/dof, exact to 1e-9 from a thousand rows on
+CRIT = "(z + (z**3 + z) / (4 * d) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * d**2) + (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / (384 * d**3))"
+simple("ab_test_intervals", with_(*AB, "w AS (SELECT test, difference, pooled * sqrt(1 / n_a + 1 / n_b) AS se, (n_a + n_b - 2)::DOUBLE AS d, difference / (pooled * sqrt(1 / n_a + 1 / n_b)) AS st, 1.959963984540054::DOUBLE AS z FROM mo)",
+    f"f AS (SELECT test, difference, {student('st', 'd')} AS p_value, difference - {CRIT} * se AS low, difference + {CRIT} * se AS high FROM w)", body=pick(["difference", "p_value", "low", "high"], 6, keys=("test",), ts=None, source="f")), ["difference", "p_value", "low", "high"], 6, lambda s, d: D.ab_test(scores(s, d)), ("test",))
 simple("ab_bootstrap", None, ["difference", "low", "high"], 5, lambda s, d: D.bootstrap_difference(scores(s, d), ["l_orderkey", "l_linenumber", "l_partkey"]), ("test",))
 
 

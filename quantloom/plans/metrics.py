@@ -145,6 +145,23 @@ def sector_portfolios(spark, sf_dir):
     return j.select(F.col("sector").alias("portfolio"), "symbol", (F.col("_n").cast("double") / F.col("_t")).alias("w"))
 
 
+AC = ("hp AS (SELECT a.portfolio, a.symbol AS i, b.symbol AS j FROM sw a JOIN sw b ON a.portfolio = b.portfolio AND a.symbol <= b.symbol)",
+      "ac AS (SELECT i, j, count(*) AS n, covar_samp(x.ret, y.ret) AS cov, corr(x.ret, y.ret) AS corr FROM (SELECT DISTINCT i, j FROM hp) JOIN asset x ON x.symbol = i JOIN asset y ON y.symbol = j AND y.ts = x.ts GROUP BY 1, 2)")
+
+
+def covariance_of_held(spark, sf_dir):
+    pairs = M.held_pairs(sector_portfolios(spark, sf_dir))
+    return M.asset_covariance(T.asset_returns(spark, sf_dir), pairs), pairs
+
+
+simple("asset_covariance", with_(META, ASSET, SECTOR_W, *AC, body=pick(["cov", "corr"], 7, keys=("i", "j", "n"), ts=None, source="ac")), ["cov", "corr"], 7,
+       lambda s, d: covariance_of_held(s, d)[0], ("i", "j", "n"))
+simple("asset_mean_returns", with_(ASSET, "f AS (SELECT symbol, avg(ret) AS mean, var_samp(ret) AS variance FROM asset GROUP BY 1)", body=pick(["mean", "variance"], 7, ts=None, source="f")), ["mean", "variance"], 7,
+       lambda s, d: T.asset_returns(s, d).groupBy("symbol").agg(F.avg("ret").alias("mean"), F.var_samp("ret").alias("variance")))
+simple("shrunk_asset_covariance", with_(META, ASSET, SECTOR_W, *AC, """f AS (SELECT portfolio, i, j, 0.9 * cov + CASE WHEN i = j THEN 0.1 * avg(cov) FILTER (i = j) OVER (PARTITION BY portfolio) ELSE 0 END AS cov FROM hp JOIN ac USING (i, j))""",
+    body=pick(["cov"], 7, keys=("portfolio", "i", "j"), ts=None, source="f")), ["cov"], 7, lambda s, d: M.shrunk_asset_covariance(*covariance_of_held(s, d)), ("portfolio", "i", "j"))
+
+
 @query("weighted_portfolio_returns", with_(ASSET, META, SECTOR_W, "f AS (SELECT portfolio, ts, sum(w * ret) / nullif(sum(w), 0) AS ret FROM asset JOIN sw USING (symbol) GROUP BY 1, 2)",
     body=pick(["ret"], keys=("portfolio",), source="f")))
 def weighted_portfolio_returns(spark, sf_dir):

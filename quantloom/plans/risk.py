@@ -11,6 +11,7 @@ from quantloom.plans.joins import NAMES
 from quantloom.plans.kit import (ASSET, DAILY, FACTORS, HOLDINGS, MARKET, META, B, W, dv, lag, pct, pick, result, rnd, roll, rounded, steps, with_)
 from quantloom.plans.metrics import DRAW, FC, SECTOR_W, sector_portfolios
 from quantloom.plans.rolling import ASSET_MARKET, asset_market
+from quantloom.session import checkpointed
 from quantloom.sources import tables as T
 
 VALUE = 1_000_000.0
@@ -41,7 +42,7 @@ simple("component_var", with_(META, ASSET, SECTOR_W, "pr AS (SELECT portfolio, t
         "(SELECT sum(w) FROM sw s2 WHERE s2.portfolio = pl.portfolio)", "1.0"),
     "f AS (SELECT portfolio, symbol, w, portfolio_var, (v - portfolio_var) / 0.001 * w AS component_var FROM mv JOIN base USING (portfolio))",
     body=pick(["w", "portfolio_var", "component_var"], 5, keys=("portfolio", "symbol"), ts=None, source="f")), ["w", "portfolio_var", "component_var"], 5,
-    lambda s, d: R.component_var(T.asset_returns(s, d), sector_portfolios(s, d)), ("portfolio", "symbol"))
+    lambda s, d: R.component_var(checkpointed(T.asset_returns(s, d)), checkpointed(sector_portfolios(s, d))), ("portfolio", "symbol"))
 
 PW = B(-60, -1)
 NORMAL_TAIL = """1 - 2 * (z / 400) / 3 * list_sum(list_transform(range(0, 401), lambda i: (CASE WHEN i IN (0, 400) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-pow(i * z / 400, 2) / 2) / sqrt(2 * pi())))"""
@@ -63,9 +64,9 @@ pos AS (SELECT portfolio, symbol, value, qty, w, sector, geography, currency, be
 POS = (ASSET, MARKET, ASSET_MARKET, HOLDINGS, NM, ATTR)
 
 
-def attributes(spark, sf_dir):
+def attributes(spark, sf_dir, returns=None):
     n = F.col("s_nationkey")
-    am = asset_market(spark, sf_dir)
+    am = asset_market(spark, sf_dir) if returns is None else returns.join(T.market_returns(spark, sf_dir), "ts")
     sym = am.groupBy("symbol").agg((F.covar_samp("ret", "bench") / F.nullif(F.var_samp("bench"), F.lit(0.0))).alias("beta"), (F.stddev_samp("ret") * 252 ** 0.5).alias("volatility"))
     base = T.table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("symbol"), F.get(F.array(*[F.lit(x) for x in NAMES]), n % 10).alias("sector"),
@@ -78,6 +79,11 @@ def positions(spark, sf_dir):
     return T.portfolio_weights(spark, sf_dir).join(attributes(spark, sf_dir), "symbol")
 
 
+def stored_positions(spark, sf_dir):
+    """Positions written once to the shared folder, for operators that look at them from several sides."""
+    return checkpointed(positions(spark, sf_dir).select("portfolio", "symbol", "w", "sector", "geography", "currency"))
+
+
 # ---- stress --------------------------------------------------------------------------------------------------------
 SCEN = [{"name": "crash", "market_shock": -0.4, "vol_mult": 3.0, "liquidity": 0.03}, {"name": "dip", "market_shock": -0.1, "vol_mult": 1.2, "liquidity": 0.01}]
 SCEN_SQL = "sc AS (SELECT * FROM (VALUES ('crash', -0.4::DOUBLE, 3.0::DOUBLE, 0.03::DOUBLE), ('dip', -0.1, 1.2, 0.01)) t(scenario, market_shock, vol_mult, liquidity))"
@@ -165,28 +171,28 @@ cm1 AS (SELECT portfolio, max(share) FILTER (kind = 'sector') AS max_sector, max
   sum(share * share) FILTER (kind = 'sector') AS sector_hhi, sum(share * share) FILTER (kind = 'geography') AS geography_hhi FROM gs GROUP BY 1),
 cm AS (SELECT *, 1 / hhi AS effective_positions, least(hhi * 200, 40) + least(max_position * 300, 30) + least(max_sector * 150, 30) AS concentration_score FROM cm0 JOIN cm1 USING (portfolio))"""
 CV = ["hhi", "effective_positions", "top_5", "top_10", "max_position", "max_sector", "max_geography", "max_currency", "concentration_score"]
-simple("concentration_metrics", with_(*POS, CON, body=pick(CV, 5, keys=PFK, ts=None, source="cm")), CV, 5, lambda s, d: C.concentration_metrics(positions(s, d)), PFK)
+simple("concentration_metrics", with_(*POS, CON, body=pick(CV, 5, keys=PFK, ts=None, source="cm")), CV, 5, lambda s, d: C.concentration_metrics(stored_positions(s, d)), PFK)
 AL = """al0 AS (SELECT portfolio, 'position' AS kind, CAST(symbol AS VARCHAR) AS entity, w AS exposure, 0.05 AS lim FROM pos UNION ALL SELECT portfolio, kind, entity, share, CASE kind WHEN 'sector' THEN 0.25 WHEN 'geography' THEN 0.4 ELSE 0.6 END FROM gs
   UNION ALL SELECT portfolio, 'top_5', 'portfolio', top_5, 0.2 FROM cm UNION ALL SELECT portfolio, 'top_10', 'portfolio', top_10, 0.3 FROM cm UNION ALL SELECT portfolio, 'hhi', 'portfolio', hhi, 0.15 FROM cm),
 al AS (SELECT *, exposure - lim AS excess, CASE WHEN 100 * (exposure - lim) / lim <= 10 THEN 'low' WHEN 100 * (exposure - lim) / lim <= 25 THEN 'medium' WHEN 100 * (exposure - lim) / lim <= 50 THEN 'high' ELSE 'critical' END AS severity,
   lim * 0.9 AS target, exposure - lim * 0.9 AS reduction FROM al0 WHERE exposure > lim)"""
 AK = ("portfolio", "kind", "entity", "severity")
-simple("concentration_alerts", with_(*POS, CON, AL, body=pick(["exposure", "excess"], 6, keys=AK, ts=None, source="al")), ["exposure", "excess"], 6, lambda s, d: C.limit_alerts(positions(s, d)), AK)
+simple("concentration_alerts", with_(*POS, CON, AL, body=pick(["exposure", "excess"], 6, keys=AK, ts=None, source="al")), ["exposure", "excess"], 6, lambda s, d: C.limit_alerts(stored_positions(s, d)), AK)
 simple("rebalance_suggestions", with_(*POS, CON, AL, body=pick(["exposure", "target", "reduction"], 6, keys=AK, ts=None, source="al") + " WHERE kind IN ('position', 'sector')"), ["exposure", "target", "reduction"], 6,
-       lambda s, d: C.rebalance_suggestions(C.limit_alerts(positions(s, d))), AK)
+       lambda s, d: C.rebalance_suggestions(C.limit_alerts(stored_positions(s, d))), AK)
 simple("sector_cut_members", with_(*POS, CON, AL, "f AS (SELECT pos.portfolio, pos.sector, symbol, w, reduction FROM pos JOIN al ON al.portfolio = pos.portfolio AND kind = 'sector' AND entity = sector)",
     body=pick(["w", "reduction"], 6, keys=("portfolio", "sector", "symbol"), ts=None, source="f")), ["w", "reduction"], 6,
-    lambda s, d: (lambda p: C.sector_members(C.rebalance_suggestions(C.limit_alerts(p)), p))(positions(s, d)), ("portfolio", "sector", "symbol"))
+    lambda s, d: (lambda p: C.sector_members(C.rebalance_suggestions(C.limit_alerts(p)), p))(stored_positions(s, d)), ("portfolio", "sector", "symbol"))
 simple("diversification_flags", with_(*POS, CON, "f AS (SELECT *, sector_hhi > 0.25 AS more_sectors, geography_hhi > 0.5 AS more_regions, effective_positions < 10 AS more_positions FROM cm)",
     body=pick(["sector_hhi", "geography_hhi"], 6, keys=("portfolio", "more_sectors", "more_regions", "more_positions"), ts=None, source="f")), ["sector_hhi", "geography_hhi"], 6,
-    lambda s, d: C.diversification_flags(positions(s, d)), ("portfolio", "more_sectors", "more_regions", "more_positions"))
+    lambda s, d: C.diversification_flags(stored_positions(s, d)), ("portfolio", "more_sectors", "more_regions", "more_positions"))
 RE = ["hhi", "new_hhi", "hhi_improvement", "score_improvement"]
 simple("rebalance_effect", with_(*POS, CON, AL, "ct AS (SELECT portfolio, sum(reduction) AS r FROM al WHERE kind = 'position' GROUP BY 1)",
     "f AS (SELECT portfolio, hhi, new_hhi, hhi - new_hhi AS hhi_improvement, concentration_score * (1 - new_hhi / hhi) AS score_improvement FROM (SELECT *, greatest(0.02, hhi - 0.5 * coalesce(r, 0)) AS new_hhi FROM cm LEFT JOIN ct USING (portfolio)))",
-    body=pick(RE, 5, keys=PFK, ts=None, source="f")), RE, 5, lambda s, d: (lambda p: C.rebalance_effect(C.rebalance_suggestions(C.limit_alerts(p)), C.concentration_metrics(p)))(positions(s, d)), PFK)
+    body=pick(RE, 5, keys=PFK, ts=None, source="f")), RE, 5, lambda s, d: (lambda p: C.rebalance_effect(C.rebalance_suggestions(C.limit_alerts(p)), C.concentration_metrics(p)))(stored_positions(s, d)), PFK)
 LU = ["max_position_used", "top_5_used", "top_10_used", "hhi_used", "max_sector_used"]
 simple("limit_utilization", with_(*POS, CON, "f AS (SELECT portfolio, 100 * max_position / 0.05 AS max_position_used, 100 * top_5 / 0.2 AS top_5_used, 100 * top_10 / 0.3 AS top_10_used, 100 * hhi / 0.15 AS hhi_used, 100 * max_sector / 0.25 AS max_sector_used FROM cm)",
-    body=pick(LU, 4, keys=PFK, ts=None, source="f")), LU, 4, lambda s, d: C.limit_utilization(C.concentration_metrics(positions(s, d))), PFK)
+    body=pick(LU, 4, keys=PFK, ts=None, source="f")), LU, 4, lambda s, d: C.limit_utilization(C.concentration_metrics(stored_positions(s, d))), PFK)
 
 # ---- factor risk -------------------------------------------------------------------------------------------------------
 FIT = ("afj AS (SELECT * FROM asset JOIN factors USING (ts))", """ft0 AS (SELECT symbol, count(*) AS n, var_pop(f0) + 0.1 / count(*) AS a, covar_pop(f0, f1) AS b, var_pop(f1) + 0.1 / count(*) AS c, covar_pop(f0, ret) AS p, covar_pop(f1, ret) AS q, var_pop(ret) AS v, var_pop(f0) AS a0, var_pop(f1) AS c0 FROM afj GROUP BY symbol),
@@ -234,13 +240,13 @@ SP = (META, ASSET, MARKET, ASSET_MARKET, SECTOR_W, "srt AS (SELECT portfolio, ts
 
 def risk_rows(spark, sf_dir):
     """Metrics of the sector portfolios side by side; the liquidity score falls with volatility."""
-    w = sector_portfolios(spark, sf_dir)
-    rets = M.weighted_portfolio_returns(T.asset_returns(spark, sf_dir), w)
+    w, assets = checkpointed(sector_portfolios(spark, sf_dir)), checkpointed(T.asset_returns(spark, sf_dir))
+    rets = M.weighted_portfolio_returns(assets, w)
     d = M.with_drawdown(rets, ["portfolio"]).groupBy("portfolio").agg(
         F.percentile("ret", F.lit(.05)).alias("var_95"), (F.stddev_samp("ret") * 252 ** 0.5).alias("volatility"), F.min("drawdown").alias("max_drawdown"))
     pos = w.withColumns({"sector": F.col("portfolio"), "geography": F.lit(None).cast("string"), "currency": F.lit(None).cast("string")})
     con = C.concentration_metrics(pos).select("portfolio", "concentration_score")
-    att = attributes(spark, sf_dir).select("symbol", "beta", "volatility", "duration")
+    att = attributes(spark, sf_dir, assets).select("symbol", "beta", "volatility", "duration")
     stress = S.historical_shock(w.join(att, "symbol").withColumn("value", F.col("w")), SCEN).groupBy("portfolio").agg(F.min("pnl_percent").alias("worst_stress"))
     return d.join(con, "portfolio").join(stress, "portfolio").withColumn("liquidity_score", 100 - 40 * F.least(F.col("volatility"), F.lit(1.0)))
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quantloom.functions.stats import student_tail
 from quantloom.operators import backtest as BT, metrics as M, signals as S
 from quantloom.plans import query
 from quantloom.plans.indicators import MACD, rsi
 from quantloom.plans.joins import TRADES, ASOF_B, ASOF_F, NEAR
-from quantloom.plans.kit import (ASSET, DAILY, META, B, O, U, W, dv, lag, pct, pick, result, rnd, roll, rounded, steps, with_)
+from quantloom.plans.kit import (ASSET, DAILY, MARKET, META, B, O, U, W, dv, lag, pct, pick, result, rnd, roll, rounded, steps, with_)
+from quantloom.plans.metrics import student
 from quantloom.plans.tables import FILLS, FW, costed_fills
 from quantloom.sources import tables as T
 
@@ -128,12 +130,16 @@ def signal_stability(spark, sf_dir):
 
 RULES = [("incomplete", "incomplete", 0, "critical", "incomplete = 0"), ("bad_type", "0", 0, "critical", "TRUE"), ("bad_strength", "bs", 0, "critical", "bs = 0"), ("bad_confidence", "bc", 0, "critical", "bc = 0"),
          ("future", "fu", 0, "critical", "fu = 0"), ("gaps", "gaps", 7, "warning", "gaps = 0"), ("balance", "bal", 0.8, "warning", "bal <= 0.8"), ("duplicates", "0", 0, "warning", "TRUE"), ("outliers", "outl", 3, "warning", "n < 10 OR outl = 0"),
-         ("confidence_correlation", "CASE WHEN n >= 10 THEN conf END", 0.3, "warning", "coalesce(n < 10 OR conf >= 0.3, FALSE)")]
+         ("confidence_correlation", "CASE WHEN n >= 10 THEN conf END", 0.3, "warning", "coalesce(n < 10 OR conf >= 0.3, FALSE)"),
+         ("signal_stability", "stab", 0.7, "warning", "coalesce(stab >= 0.7, TRUE)")]
 VAL = ("""sm AS (SELECT *, avg(strength) OVER (PARTITION BY strategy) AS m, stddev_pop(strength) OVER (PARTITION BY strategy) AS sd, date_diff('day', lag(ts) OVER (PARTITION BY strategy, symbol ORDER BY ts), ts) AS gap FROM sig)""",
-    """fx AS (SELECT a.strategy, count(*) FILTER (a.strength IS NULL OR a.confidence IS NULL) AS incomplete, count(*) FILTER (abs(a.strength) > 1) AS bs, count(*) FILTER (a.confidence < 0 OR a.confidence > 1) AS bc,
+    """fx0 AS (SELECT a.strategy, count(*) FILTER (a.strength IS NULL OR a.confidence IS NULL) AS incomplete, count(*) FILTER (abs(a.strength) > 1) AS bs, count(*) FILTER (a.confidence < 0 OR a.confidence > 1) AS bc,
   count(*) FILTER (a.ts > (SELECT max(o_orderdate) FROM orders)) AS fu, count(*) FILTER (gap > 7) AS gaps, greatest(count(*) FILTER (a.signal_type = 'BUY'), count(*) FILTER (a.signal_type = 'SELL'), count(*) FILTER (a.signal_type = 'HOLD')) / count(*) AS bal,
   count(*) FILTER (abs((a.strength - m) / nullif(sd, 0)) > 3) AS outl, count(*) AS n,
   covar_pop(abs(a.strength), a.confidence) / nullif(stddev_pop(abs(a.strength)) * stddev_pop(a.confidence), 0) AS conf FROM sm a GROUP BY 1)""",
+    """sb0 AS (SELECT strategy, symbol, avg(abs(strength)) OVER (PARTITION BY strategy, symbol ORDER BY ts ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS m, row_number() OVER (PARTITION BY strategy, symbol ORDER BY ts) AS rn, count(*) OVER (PARTITION BY strategy, symbol) AS c FROM sig)""",
+    "sb AS (SELECT strategy, avg(stability) AS stab FROM (SELECT strategy, symbol, 1 - stddev_pop(m) / nullif(avg(m), 0) AS stability FROM sb0 WHERE rn > 10 AND c >= 40 GROUP BY 1, 2) GROUP BY 1)",
+    "fx AS (SELECT fx0.*, stab FROM fx0 LEFT JOIN sb USING (strategy))",
     "ck AS (" + " UNION ALL ".join(f"SELECT strategy, '{n}' AS rule, {v}::DOUBLE AS value, {t}::DOUBLE AS threshold, '{w}' AS weight, {p} AS passed FROM fx" for n, v, t, w, p in RULES) + ")")
 
 
@@ -153,26 +159,35 @@ def signal_validation_score(spark, sf_dir):
     return result(S.validation_score(checks(spark, sf_dir)), ["score"], keys=("strategy", "failed"), ts=None)
 
 
-FACTS = """fc AS (SELECT symbol AS strategy, symbol % 90 AS configurations, date_diff('day', min(ts), max(ts)) AS days, -0.05::DOUBLE AS market_drawdown, avg(ret) / stddev_samp(ret) * sqrt(252) AS sharpe, 5.0 / count(*) AS parameter_ratio,
-  avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) AS win_rate, abs(stddev_samp(ret) / nullif(avg(ret), 0)) AS return_cv, 0.01::DOUBLE AS p_value, count(*) FILTER (ret <> 0) AS trades FROM asset GROUP BY symbol)"""
-BF = "bf AS (" + " UNION ALL ".join(f"SELECT strategy, '{b}' AS bias, '{s}' AS severity, {f}::DOUBLE AS value, {l}::DOUBLE AS lim, {p} AS penalty FROM fc WHERE {f} {op} {l}" for b, s, f, op, l, p in S.BIAS_RULES) + ")"
+MDD = """mp AS (SELECT ts, product(1 + bench) OVER (ORDER BY ts) AS g FROM market), mdd AS (SELECT g / max(g) OVER (ORDER BY ts) - 1 AS dd FROM mp),
+pm AS (SELECT s_suppkey AS strategy, 'period' AS parameter, (s_suppkey % 50 + 5)::DOUBLE AS value FROM supplier UNION ALL SELECT s_suppkey, 'holding', (s_suppkey % 13 + 5)::DOUBLE FROM supplier)"""
+FACTS = MDD + """, fc0 AS (SELECT symbol AS strategy, symbol % 90 AS configurations, date_diff('day', min(ts), max(ts)) AS days, (SELECT min(dd) FROM mdd) AS market_drawdown, avg(ret) / stddev_samp(ret) * sqrt(252) AS sharpe, 5.0 / count(*) AS parameter_ratio,
+  avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) AS win_rate, abs(stddev_samp(ret) / nullif(avg(ret), 0)) AS return_cv, count(*) FILTER (ret <> 0) AS trades, count(*) - 1 AS dof, avg(ret) / nullif(stddev_samp(ret) / sqrt(count(*)), 0) AS t FROM asset GROUP BY symbol),
+fc AS (SELECT *, CASE WHEN dof >= 30 THEN """ + student("t", "dof") + """ END AS p_value FROM fc0)"""
+BF = "bf AS (" + " UNION ALL ".join(f"SELECT strategy, '{b}' AS bias, '{s}' AS severity, {f}::DOUBLE AS value, {l}::DOUBLE AS lim, {p} AS penalty FROM fc WHERE {f} {op} {l}" for b, s, f, op, l, p in S.BIAS_RULES) + " UNION ALL SELECT strategy, 'round_' || parameter, 'low', value, NULL, 1 FROM pm WHERE value IN (5, 10, 15, 20, 25, 30, 50, 100, 200))"
 
 
 def bias(spark, sf_dir):
     r = T.asset_returns(spark, sf_dir)
     facts = r.groupBy(F.col("symbol").alias("strategy")).agg(
-        (F.max("symbol") % 90).alias("configurations"), F.datediff(F.max("ts"), F.min("ts")).alias("days"), F.lit(-0.05).alias("market_drawdown"),
+        (F.max("symbol") % 90).alias("configurations"), F.datediff(F.max("ts"), F.min("ts")).alias("days"), 
         (F.avg("ret") / F.stddev_samp("ret") * 252 ** 0.5).alias("sharpe"), (5.0 / F.count(F.lit(1))).alias("parameter_ratio"), F.avg(F.when(F.col("ret") > 0, 1.0).otherwise(0.0)).alias("win_rate"),
-        F.abs(F.try_divide(F.stddev_samp("ret"), F.avg("ret"))).alias("return_cv"), F.lit(0.01).alias("p_value"), F.count_if(F.col("ret") != 0).alias("trades"))
-    return S.bias_findings(facts)
+        F.abs(F.try_divide(F.stddev_samp("ret"), F.avg("ret"))).alias("return_cv"), F.count_if(F.col("ret") != 0).alias("trades"),
+        (F.count(F.lit(1)) - 1).alias("_dof"), F.try_divide(F.avg("ret"), F.stddev_samp("ret") / F.sqrt(F.count(F.lit(1)))).alias("_t"))
+    market = M.with_drawdown(T.market_returns(spark, sf_dir).select(F.lit("market").alias("symbol"), "ts", F.col("bench").alias("ret")), ["symbol"])
+    facts = facts.join(F.broadcast(market.agg(F.min("drawdown").alias("market_drawdown"))), F.lit(True))
+    facts = facts.withColumn("p_value", F.when(F.col("_dof") >= 30, student_tail("_t", F.col("_dof"))))
+    symbols = T.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("strategy"))
+    parameters = symbols.select("strategy", F.inline(F.array(*[F.struct(F.lit(n).alias("parameter"), (F.col("strategy") % m + 5).cast("double").alias("value")) for n, m in (("period", 50), ("holding", 13))])))
+    return S.bias_findings(facts).unionByName(S.round_parameters(parameters))
 
 
-@query("bias_findings", with_(ASSET, FACTS, BF, body=pick(["value"], 5, keys=("strategy", "bias", "severity"), ts=None, source="bf")))
+@query("bias_findings", with_(ASSET, MARKET, FACTS, BF, body=pick(["value"], 5, keys=("strategy", "bias", "severity"), ts=None, source="bf")))
 def bias_findings(spark, sf_dir):
     return result(bias(spark, sf_dir), ["value"], 5, keys=("strategy", "bias", "severity"), ts=None)
 
 
-@query("bias_score", with_(ASSET, FACTS, BF, body="SELECT strategy, CAST(sum(penalty) AS BIGINT) AS risk_score, count(*) AS findings FROM bf GROUP BY 1"))
+@query("bias_score", with_(ASSET, MARKET, FACTS, BF, body="SELECT strategy, CAST(sum(penalty) AS BIGINT) AS risk_score, count(*) AS findings FROM bf GROUP BY 1"))
 def bias_score(spark, sf_dir):
     return S.bias_score(bias(spark, sf_dir))
 
