@@ -15,8 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quantloom.functions.scalar import change_severity, div, equal_width_bin, p_value_severity
 from quantloom.functions.stats import kolmogorov_tail, normal_tail, student_tail
 from quantloom.operators.ranks import average_ranks, cumulative_counts
-from quantloom.operators.selection import poisson_weight
-from quantloom.operators.stress import uniform
+from quantloom.operators.selection import bootstrap_sums
 
 
 
@@ -124,11 +123,9 @@ def ab_test(scores: DataFrame, level=0.95, minimum=30, minimum_effect=0.0, lower
 
 def bootstrap_difference(scores: DataFrame, id_columns, replicates=1000, seed=42) -> DataFrame:
     """Percentile interval of the mean difference over Poisson bootstraps; weights are hashes of the row ids."""
-    r = scores.select("test", "arm", "score", *id_columns, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
-    w = poisson_weight(uniform(F.lit(seed), F.col("rep"), F.col("test"), *[F.col(c) for c in id_columns])).cast("double")
-    a = r.withColumn("_w", w).groupBy("test", "rep").agg(*[
-        div(F.sum(F.when(F.col("arm") == k, F.col("_w") * F.col("score"))), F.sum(F.when(F.col("arm") == k, F.col("_w")))).alias(k) for k in ("A", "B")])
-    d = a.select("test", (F.col("A") - F.col("B")).alias("d"))
+    r = bootstrap_sums(scores.where(F.col("score").isNotNull()), ["test", *id_columns], ["test", "arm"], ["score"], replicates, seed)
+    mean = lambda k: div(F.sum(F.when(F.col("arm") == k, F.col("score"))), F.sum(F.when(F.col("arm") == k, F.col("n"))))
+    d = r.groupBy("test", "rep").agg((mean("A") - mean("B")).alias("d"))
     p = F.percentile("d", F.array(F.lit(.025), F.lit(.975)))
     return d.groupBy("test").agg(F.avg("d").alias("difference"), p.alias("_p")).select("test", "difference", F.col("_p")[0].alias("low"), F.col("_p")[1].alias("high"))
 

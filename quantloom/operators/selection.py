@@ -3,13 +3,15 @@ to do on the driver has the size of the column list."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pandas as pd
 from pyspark.ml.feature import PCA, Imputer, StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
 from quantloom.functions.scalar import corr_of, div
 from quantloom.operators.metrics import column_moments
-from quantloom.operators.stress import uniform
 
 
 def explode_columns(row: DataFrame, columns: list[str], value: str) -> DataFrame:
@@ -60,31 +62,58 @@ def mutual_information(df: DataFrame, features: list[str], target: str, bins: in
     return j.groupBy("feature").agg(F.sum(p * F.ln(F.col("n") * F.col("total") / (F.col("nx") * F.col("ny")))).alias("mi"))
 
 
-def poisson_weight(u, most: int = 20):
-    """Poisson(1) draw from a uniform number, as nested thresholds of its distribution function.  Beyond 20 the tail is below 2 ** -53, so no draw is cut."""
-    total, term, out = 0.0, np.exp(-1.0), F.lit(most)
-    steps = []
-    for k in range(most):
-        total += term
-        steps.append(total)
-        term /= k + 1
-    for k in reversed(range(most)):
-        out = F.when(u < steps[k], F.lit(k)).otherwise(out)
-    return out
+def poisson_weights(row_keys: np.ndarray, replicates: np.ndarray, seed: int) -> np.ndarray:
+    """Poisson(1) draws, one row per key and one column per replicate, from a 64-bit mix of key, replicate and seed.
+
+    A draw depends on nothing else, so a retried task or another partitioning draws the same.  Thresholds end where the tail is below 2^-53.
+    """
+    with np.errstate(over="ignore"):
+        z = row_keys.astype(np.uint64)[:, None] + (replicates.astype(np.uint64) * np.uint64(2) + np.uint64(2 * seed + 1))[None, :] * np.uint64(0x9E3779B97F4A7C15)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+        z ^= z >> np.uint64(31)
+    u = (z >> np.uint64(11)) * 2.0 ** -53
+    steps = np.cumsum(np.exp(-1.0) / np.array([float(math.factorial(k)) for k in range(20)]))
+    return np.searchsorted(steps, u, side="right").astype(float)
 
 
-def stability_selection(df: DataFrame, features: list[str], target: str, key, k: int, replicates: int = 100, seed=42) -> DataFrame:
-    """How often each feature is among the k best by weighted correlation over Poisson bootstraps.
+def bootstrap_sums(rows: DataFrame, key: list[str], group: list[str], values: list[str], replicates: int, seed: int) -> DataFrame:
+    """(group, rep, n, one weighted sum per value) of Poisson bootstraps, without a row per replicate.
 
-    A row is repeated once per replicate with a weight drawn from a hash of its key, then aggregated at once.
+    A task adds up weights x values of its rows for all replicates (one matrix product per group and batch) and puts out its sums only:
+    partitions x groups x replicates rows meet in the shuffle, whatever the number of rows.
     """
-    rows = df.dropna(subset=[*features, target]).select(*key, *features, target, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
-    w = rows.withColumn("_w", poisson_weight(uniform(F.lit(seed), F.col("rep"), *[F.col(c) for c in key])).cast("double")).where("_w > 0")
-    sums = [F.sum("_w").alias("_n"), F.sum(F.col("_w") * F.col(target)).alias("_y"), F.sum(F.col("_w") * F.col(target) ** 2).alias("_yy")]
+    d = rows.select(F.xxhash64(*key).alias("_key"), *group, *[F.col(v).cast("double").alias(v) for v in values])
+    types = dict(d.dtypes)
+    schema = ", ".join([*[f"`{g}` {types[g]}" for g in group], "rep int", "n double", *[f"`{v}` double" for v in values]])
+    chunk = np.array_split(np.arange(1, replicates + 1), max(1, replicates // 50))
+
+    def run(batches):
+        total = {}
+        for b in batches:
+            for name, g in (b.groupby(group, sort=False, dropna=False) if group else [((), b)]):
+                x = np.column_stack([np.ones(len(g)), g[values].to_numpy(float)])
+                part = np.vstack([poisson_weights(g["_key"].to_numpy(), c, seed).T @ x for c in chunk])
+                total[name] = total[name] + part if name in total else part
+        for name, m in total.items():
+            out = pd.DataFrame(m, columns=["n", *values])
+            out.insert(0, "rep", np.arange(1, replicates + 1, dtype=np.int32))
+            for at, g in enumerate(group):
+                out.insert(at, g, name[at])
+            yield out
+    sums = d.mapInPandas(run, schema)
+    return sums.groupBy(*group, "rep").agg(F.sum("n").alias("n"), *[F.sum(v).alias(v) for v in values])
+
+
+def stability_selection(df: DataFrame, features: list[str], target: str, key, k: int, replicates: int = 100, seed=42) -> DataFrame:
+    """How often each feature is among the k best by weighted correlation over Poisson bootstraps."""
+    y = F.col(target)
+    products = {"_y": y, "_yy": y * y}
     for c in features:
-        sums += [F.sum(F.col("_w") * F.col(c)).alias(f"_x_{c}"), F.sum(F.col("_w") * F.col(c) ** 2).alias(f"_xx_{c}"), F.sum(F.col("_w") * F.col(c) * F.col(target)).alias(f"_xy_{c}")]
-    a = w.groupBy("rep").agg(*sums)
-    n = F.col("_n")
+        products |= {f"_x_{c}": F.col(c), f"_xx_{c}": F.col(c) ** 2, f"_xy_{c}": F.col(c) * y}
+    rows = df.dropna(subset=[*features, target]).select(*key, *[v.alias(n) for n, v in products.items()])
+    a = bootstrap_sums(rows, list(key), [], list(products), replicates, seed)
+    n = F.col("n")
     r2 = {}
     for c in features:
         cov = F.col(f"_xy_{c}") / n - F.col(f"_x_{c}") / n * F.col("_y") / n

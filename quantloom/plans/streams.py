@@ -98,7 +98,16 @@ def alert_states(spark, sf_dir):
     return SM.alert_states_batch(actions(T.table(spark, sf_dir, "events")))
 
 
-@query("stream_model_weights")
+WEIGHTS = """WITH e AS (SELECT event_type AS ensemble, value, row_number() OVER w AS i, count(*) OVER (PARTITION BY event_type) AS n,
+  1 / (avg(pow(value - 20, 2)) OVER r + 1e-8) AS a, 1 / (avg(pow(value - 50, 2)) OVER r + 1e-8) AS b, 1 / (avg(pow(value - 120, 2)) OVER r + 1e-8) AS c FROM events
+  WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id), r AS (PARTITION BY event_type ORDER BY ts, event_id ROWS 99 PRECEDING)),
+f AS (SELECT ensemble, i, n, greatest(a / (a + b + c), 0.01) AS a, greatest(b / (a + b + c), 0.01) AS b, greatest(c / (a + b + c), 0.01) AS c FROM e),
+m AS (SELECT ensemble, n, i, unnest(['low', 'mid', 'high']) AS model, unnest([a, b, c]) / (a + b + c) AS x FROM f),
+s AS (SELECT ensemble, model, any_value(n) AS updates, pow(0.9, any_value(n)) / 3 + 0.1 * sum(pow(0.9, n - i) * x) AS w FROM m GROUP BY 1, 2)
+SELECT ensemble, model, updates, """ + rnd("w", 6, "w") + " FROM s"
+
+
+@query("stream_model_weights", WEIGHTS)
 def stream_model_weights(spark, sf_dir):
     e = lambda c: F.pow(F.col("value") - c, 2)
     errors = SB.event_stream(spark, sf_dir).select(F.col("event_type").alias("ensemble"), "ts", F.col("event_id").alias("seq"), e(20.0).alias("low"), e(50.0).alias("mid"), e(120.0).alias("high"))

@@ -13,10 +13,13 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 def limit_breaches(metrics: DataFrame, limits: DataFrame) -> DataFrame:
     """(portfolio, limit_type, value, threshold, severity) where a metric exceeds an enabled limit.
 
-    `limits` is a rule table, a few rows per limit type, so it is the broadcast side; the metrics may be a stream.
+    A limit with a `portfolio` column holds for that portfolio, one without or with a null for all.  The metrics may be a stream; the planner
+    broadcasts the limits where their size allows.
     """
     on = [metrics["limit_type"] == limits["limit_type"], metrics["value"] > limits["threshold"]]
-    j = metrics.join(F.broadcast(limits.where("enabled")), on)
+    if "portfolio" in limits.columns:
+        on.append(limits["portfolio"].isNull() | (limits["portfolio"] == metrics["portfolio"]))
+    j = metrics.join(limits.where("enabled"), on)
     return j.select(metrics["portfolio"], metrics["limit_type"], metrics["ts"], metrics["value"], limits["threshold"], limits["severity"])
 
 
@@ -67,32 +70,36 @@ def alert_states_batch(actions: DataFrame) -> DataFrame:
     return last.join(after, "alert", "left").select("alert", state.alias("state"), "actions")
 
 
-def adapt(weights, errors, rate=0.1, floor=0.01):
-    """One step towards the inverse mean error of each model."""
-    new = 1.0 / (np.array([np.mean(e) for e in errors]) + 1e-8)
-    new = np.maximum(new / new.sum(), floor)
-    return (1 - rate) * np.asarray(weights) + rate * new / new.sum()
+def adapt(weights, errors: np.ndarray, before: int = 0, keep: int = 100, rate=0.1, floor=0.01) -> np.ndarray:
+    """Weights after one step per row of `errors` (rows x models) from row `before` on, each towards the inverse mean of the last `keep` errors.
+
+    Means come from running sums; the steps are a fading sum of the targets, so no row is handled on its own.
+    """
+    n, k = errors.shape
+    total = np.vstack([np.zeros(k), np.cumsum(errors, axis=0)])
+    end = np.arange(before + 1, n + 1)
+    start = np.maximum(end - keep, 0)
+    new = 1.0 / ((total[end] - total[start]) / (end - start)[:, None] + 1e-8)
+    new = np.maximum(new / new.sum(1, keepdims=True), floor)
+    new /= new.sum(1, keepdims=True)
+    fade = (1 - rate) ** np.arange(len(end) - 1, -1, -1)
+    return (1 - rate) ** len(end) * np.asarray(weights) + rate * (fade[:, None] * new).sum(0)
 
 
 def online_weights(errors: DataFrame, models: list[str], keep: int = 100, rate=0.1, floor=0.01) -> DataFrame:
-    """(ensemble, ts, seq, one squared error column per model) to weights per ensemble, stepped row by row.
+    """(ensemble, ts, seq, one squared error column per model) to weights per ensemble, one step per row.
 
     State is the last `keep` errors of each model and the current weights: of fixed size, however long the stream.
     """
     k = len(models)
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            weights, flat, n = state.get
-            recent = [list(v) for v in np.array(flat).reshape(k, -1)]
-        else:
-            weights, recent, n = [1.0 / k] * k, [[] for _ in range(k)], 0
-        rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
-        for row in rows[models].to_numpy(float):
-            for m in range(k):
-                recent[m] = (recent[m] + [row[m]])[-keep:]
-            weights, n = adapt(weights, recent, rate, floor), n + 1
-        state.update(([float(w) for w in weights], [float(v) for r in recent for v in r], n))
+        weights, flat, n = state.get if state.exists else ([1.0 / k] * k, [], 0)
+        old = np.array(flat, float).reshape(-1, k)
+        rows = pd.concat(list(batches)).sort_values(["ts", "seq"])[models].to_numpy(float)
+        every = np.vstack([old, rows])
+        weights, n = adapt(weights, every, len(old), keep, rate, floor), n + len(rows)
+        state.update(([float(w) for w in weights], [float(v) for v in every[-keep:].ravel()], n))
         yield pd.DataFrame({"ensemble": [key[0]] * k, "model": models, "w": list(weights), "updates": [n] * k})
     return errors.groupBy("ensemble").applyInPandasWithState(
         run, "ensemble string, model string, w double, updates long", "weights array<double>, errors array<double>, n long", "update",

@@ -23,6 +23,16 @@ def test_ewm_matches_pandas(spark, span):
     np.testing.assert_allclose(got, want, rtol=1e-11)
 
 
+@pytest.mark.parametrize("span", [2, 3, 10])
+def test_ewm_carries_its_mean_over_a_long_gap(spark, span):
+    pdf = make_bars(2500, symbols=(1,))
+    pdf.loc[3:1900, "close"] = np.nan
+    s = Series(spark.createDataFrame(pdf).withColumn("close", F.nanvl("close", F.lit(None).cast("double"))))
+    got = ordered(s.frame({"e": s.ewm(F.col("close"), span)}, keep=["symbol", "ts"]))["e"].to_numpy(float)
+    want = pdf["close"].ewm(span=span).mean().ffill().to_numpy()
+    np.testing.assert_allclose(got, want, rtol=1e-11)
+
+
 SLOW_DECAY = {"KAMA": 10_000}          # memory of the slowest gain, in rows
 
 

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quantloom.operators import accounting as A, backtest as BT, clean as C, joins as J, learning as L, rolling as R, signals as SG
+from quantloom.operators import accounting as A, backtest as BT, clean as C, joins as J, learning as L, metrics as M, risk as RK, rolling as R, selection as SL, signals as SG
 from quantloom.sources import datasets as DS, files
 from quantloom.streaming import bars as SB, monitor as SM
 
@@ -103,9 +103,84 @@ def test_alert_states_against_a_loop(spark):
     assert {r.alert: r.state for r in SM.alert_states_batch(df).collect()} == want
 
 
-def test_online_weights_step():
-    w = SM.adapt([.5, .5], [[1.0, 3.0], [4.0]], rate=.1)
-    np.testing.assert_allclose(w, [.9 * .5 + .1 * (1 / 2) / (1 / 2 + 1 / 4), .9 * .5 + .1 * (1 / 4) / (1 / 2 + 1 / 4)], rtol=1e-6)
+def test_online_weights_against_a_loop():
+    rng = np.random.default_rng(2)
+    errors = rng.exponential(1, (250, 3))
+    w = np.full(3, 1 / 3)
+    for i in range(len(errors)):
+        new = 1 / (errors[max(0, i - 99):i + 1].mean(0) + 1e-8)
+        new = np.maximum(new / new.sum(), .01)
+        w = .9 * w + .1 * new / new.sum()
+    np.testing.assert_allclose(SM.adapt([1 / 3] * 3, errors), w, rtol=1e-9)
+    half = SM.adapt([1 / 3] * 3, errors[:120])              # a restart with the last hundred errors goes on alike
+    np.testing.assert_allclose(SM.adapt(half, errors[20:], before=100), w, rtol=1e-9)
+
+
+def test_limits_of_one_portfolio(spark):
+    m = spark.createDataFrame([("a", "x", 5.0), ("b", "x", 5.0)], "portfolio string, limit_type string, value double").withColumn("ts", F.lit(None).cast("timestamp"))
+    limits = spark.createDataFrame([("a", "x", 4.0, "low", True), (None, "x", 6.0, "high", True), (None, "x", 1.0, "all", True), (None, "x", 1.0, "off", False)],
+                                   "portfolio string, limit_type string, threshold double, severity string, enabled boolean")
+    assert sorted((r.portfolio, r.severity) for r in SM.limit_breaches(m, limits).collect()) == [("a", "all"), ("a", "low"), ("b", "all")]
+
+
+def test_bootstrap_sums_against_the_draws(spark):
+    pdf = pd.DataFrame({"id": np.arange(3000), "g": np.arange(3000) % 2, "v": np.random.default_rng(1).normal(0, 1, 3000)})
+    df = spark.createDataFrame(pdf)
+    got = SL.bootstrap_sums(df.repartition(5), ["id"], ["g"], ["v"], 120, 7).toPandas().set_index(["g", "rep"])
+    keys = df.select("id", F.xxhash64("id").alias("k")).toPandas().sort_values("id").k.to_numpy()
+    w = SL.poisson_weights(keys, np.arange(1, 121), 7)
+    assert abs(w.mean() - 1) < .01 and abs(w.var() - 1) < .02 and abs(np.corrcoef(w[:, 0], w[:, 1])[0, 1]) < .06
+    for g in (0, 1):
+        mine = (pdf.g == g).to_numpy()
+        np.testing.assert_allclose(got.loc[g].sort_index()["n"], w[mine].sum(0))
+        np.testing.assert_allclose(got.loc[g].sort_index()["v"], w[mine].T @ pdf.v[mine], atol=1e-9)
+
+
+def test_covariance_of_held_pairs(spark):
+    rng = np.random.default_rng(3)
+    wide = pd.DataFrame(rng.normal(0, 1, (60, 4)), columns=[1, 2, 3, 4], index=pd.date_range("2020-01-01", periods=60))
+    wide.loc[wide.index[5], 2] = np.nan
+    long = wide.rename_axis("ts").reset_index().melt("ts", var_name="symbol", value_name="ret").dropna().astype({"symbol": int})
+    weights = spark.createDataFrame([("p", 1), ("p", 2), ("q", 3), ("q", 3)], "portfolio string, symbol long")
+    pairs = M.held_pairs(weights)
+    cov = M.asset_covariance(spark.createDataFrame(long), pairs)
+    want = wide.cov()
+    got = {(r.i, r.j): r for r in cov.collect()}
+    assert set(got) == {(1, 1), (1, 2), (2, 2), (3, 3)} and got[1, 2].n == 59
+    for (i, j), r in got.items():
+        assert r["cov"] == pytest.approx(want.loc[i, j])
+    shrunk = {(r.i, r.j): r["cov"] for r in M.shrunk_asset_covariance(cov, pairs).where("portfolio = 'p'").collect()}
+    mean = (want.loc[1, 1] + want.loc[2, 2]) / 2
+    assert shrunk[1, 1] == pytest.approx(.9 * want.loc[1, 1] + .1 * mean) and shrunk[1, 2] == pytest.approx(.9 * want.loc[1, 2])
+
+
+def test_student_var_has_a_normal_limit(spark):
+    flat = np.tile([-1.0, 1.0], 60)                          # negative excess kurtosis
+    wild = np.random.default_rng(5).standard_t(5, 250)
+    rows = pd.concat([pd.DataFrame({"symbol": k, "ts": pd.date_range("2020-01-01", periods=len(v)), "ret": v}) for k, v in ((1, flat), (2, wild))])
+    df = spark.createDataFrame(rows)
+    s, n = ({r.symbol: r for r in f(df).collect()} for f in (RK.student_var, RK.normal_var))
+    assert s[1].dof is None and s[1].var_95 == pytest.approx(n[1].var_95) and s[1].cvar_99 == pytest.approx(n[1].cvar_99)
+    assert s[2].dof > 4 and s[2].cvar_99 > n[2].cvar_99
+    q = spark.createDataFrame([(4.5,), (999.0,), (1001.0,), (1e9,), (None,)], "d double").select(RK.student_quantile(.05, F.col("d")).alias("q")).collect()
+    assert q[0].q < q[1].q < q[2].q < q[3].q <= q[4].q + 1e-9 and q[4].q == pytest.approx(-1.6448536269514722)
+
+
+def test_needed_columns(spark):
+    df = spark.createDataFrame([(1, None), (2, 3.0)], "a long, b double")
+    assert list(map(tuple, C.column_report(df, ["a", "b", "c"]).collect())) == [("a", True, 2), ("b", True, 1), ("c", False, 0)]
+    assert list(map(tuple, C.column_report(df.limit(0), ["a"]).collect())) == [("a", True, 0)]
+
+
+def test_robust_scaling_with_ties_and_nulls(spark):
+    v = [1.0, 1.0, 1.0, 2.0, 3.0, 4.0, 5.0, None, 900.0]
+    got = sorted(((r.v, r.v_scaled) for r in L.scaled(spark.createDataFrame([(x,) for x in v], "v double"), "v", "robust").collect()), key=str)
+    x = pd.Series(v)
+    mad = (x - x.median()).abs().median()
+    kept = x.where((x - x.median()).abs() <= 3 * mad)
+    want = (kept - kept.median()) / (kept.quantile(.75) - kept.quantile(.25))
+    assert [b for _, b in got] == pytest.approx([b for _, b in sorted(zip(v, [None if pd.isna(w) else w for w in want]), key=str)])
+    assert L.scaled(spark.createDataFrame([], "v double"), "v", "robust").count() == 0
 
 
 def test_names_that_leak(spark):
