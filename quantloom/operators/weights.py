@@ -180,9 +180,8 @@ def black_litterman(problems: DataFrame, views: list[dict], delta=2.5, tau=0.05,
                 row[at[name]] = size
             value.append(v.get("expected_return", v.get("expected_outperformance")))
             doubt.append(v.get("confidence", 0.01))
-        precision = np.linalg.inv(tau * sigma)
-        weighted = pick.T / np.asarray(doubt)
-        posterior = np.linalg.solve(precision + weighted @ pick, precision @ prior + weighted @ np.asarray(value))
+        spread = tau * sigma @ pick.T                    # updates by view, so a singular covariance needs no inverse
+        posterior = prior + spread @ np.linalg.solve(pick @ spread + np.diag(doubt), np.asarray(value) - pick @ prior)
         return pd.DataFrame({key: pdf[key].iloc[0], "symbol": names, "prior": prior, "posterior": posterior})
     return problems.groupBy(key).applyInPandas(run, f"{key} {kind}, symbol string, prior double, posterior double")
 

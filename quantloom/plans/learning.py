@@ -259,7 +259,8 @@ def scores(spark, sf_dir):
 
 AB = ("sc AS (SELECT l_returnflag AS test, l_orderkey % 2 = 0 AS a, l_extendedprice / 1000 + CASE WHEN l_orderkey % 2 = 0 THEN 2 ELSE 0 END AS score FROM lineitem)",
       "mo AS (SELECT test, count(*) FILTER (a) AS n_a, count(*) FILTER (NOT a) AS n_b, avg(score) FILTER (a) - avg(score) FILTER (NOT a) AS difference, sqrt(((count(*) FILTER (a) - 1) * var_samp(score) FILTER (a) + (count(*) FILTER (NOT a) - 1) * var_samp(score) FILTER (NOT a)) / (count(*) - 2)) AS pooled FROM sc GROUP BY 1)")
-simple("ab_test", with_(*AB, "f AS (SELECT test, n_a, n_b, difference, difference / (pooled * sqrt(1 / n_a + 1 / n_b)) AS statistic, difference / pooled AS effect, CASE WHEN difference > 0 THEN 'A' ELSE 'B' END AS winner FROM mo)", body=pick(["difference", "statistic", "effect"], 4, keys=("test", "n_a", "n_b", "winner"), ts=None, source="f")),
+simple("ab_test", with_(*AB, "st AS (SELECT *, difference / (pooled * sqrt(1 / n_a + 1 / n_b)) AS statistic, difference / pooled AS effect, (n_a + n_b - 2)::DOUBLE AS d FROM mo)",
+    f"f AS (SELECT *, CASE WHEN {student('statistic', 'd')} < 0.05 AND abs(effect) >= 0.01 AND least(n_a, n_b) >= 30 THEN CASE WHEN difference > 0 THEN 'A' ELSE 'B' END END AS winner FROM st)", body=pick(["difference", "statistic", "effect"], 4, keys=("test", "n_a", "n_b", "winner"), ts=None, source="f")),
     ["difference", "statistic", "effect"], 4, lambda s, d: D.ab_test(scores(s, d), minimum_effect=0.01), ("test", "n_a", "n_b", "winner"))
 # critical value by its expansion in 1/dof, exact to 1e-9 from a thousand rows on
 CRIT = "(z + (z**3 + z) / (4 * d) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * d**2) + (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / (384 * d**3))"

@@ -238,7 +238,7 @@ CF = ASOF_F.replace("daily", "vfinal").replace("d.close AS fc", "d.vol AS fc")
 CC = ["commission", "spread_cost", "impact_cost", "slippage", "total_cost"]
 
 
-@query("fill_costs", with_(DAILY, TRADES, ORD, VOLS, CB, CF, f"nv AS (SELECT *, {NEAR.format(f='fc', b='bc')} AS near_vol FROM f)", f"j AS (SELECT o.k, o.n, o.p, o.symbol, o.side, o.qty / 2000 AS q, o.price * 20 / (o.qty / 2000) AS px, coalesce(near_vol, 0.2) AS v FROM ord o JOIN nv f ON f.k = o.k AND f.n = o.n AND f.p = o.p AND f.symbol = o.symbol)",
+@query("fill_costs", with_(DAILY, TRADES, ORD, VOLS, CB, CF, f"nv AS (SELECT *, {NEAR.format(f='fc', b='bc')} AS near_vol FROM f)", f"j AS (SELECT o.k, o.n, o.p, o.symbol, o.side, o.qty / 2000 AS q, o.price * 20 / (o.qty / 2000) AS px, coalesce(near_vol, 0.2) AS v FROM ord o JOIN (SELECT DISTINCT k, n, p, symbol, near_vol FROM nv) f ON f.k = o.k AND f.n = o.n AND f.p = o.p AND f.symbol = o.symbol)",
     """c AS (SELECT *, least(greatest(q * 0.005, q * px * 0.001, 1), 50) AS commission, q * px * floor(5 * (1 + v)) / 10000 * 0.5 AS spread_cost,
   q * px * 0.1 * pow(q / 1e6, 0.6) * (1 + 0.5 * v) * CASE WHEN side = 'SELL' THEN 1.1 ELSE 1 END / 100 AS impact_cost, q * px * 2 * (1 + v) / 10000 AS slippage FROM j)""",
     "e AS (SELECT *, commission + spread_cost + impact_cost + slippage AS total_cost FROM c)", body=pick(CC, 3, keys=OK3, ts=None, source="e")))
