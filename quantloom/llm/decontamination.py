@@ -15,7 +15,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -133,16 +133,31 @@ def randomised_svd(rows: DataFrame, rank: int = RANK, extra: int = EXTRA, power:
     return place, basis
 
 
-def lcs(a: list[bytes], b: list[bytes]) -> int:
-    """Length of the longest common subsequence, bit-parallel in the words of `a`."""
+def positions(words: list[bytes]) -> dict[bytes, int]:
+    """The places of each word as the bits of a number."""
     where: dict[bytes, int] = {}
-    for i, w in enumerate(a):
+    for i, w in enumerate(words):
         where[w] = where.get(w, 0) | 1 << i
-    full, s = (1 << len(a)) - 1, (1 << len(a)) - 1
-    for w in b:
-        u = s & where.get(w, 0)
+    return where
+
+
+def shared_places(where: dict[bytes, int], words: list[bytes]) -> list[int]:
+    """The places of those `words` that occur at all, in their order; a common subsequence is no longer than this list."""
+    return [m for m in map(where.get, words) if m]
+
+
+def common_length(n: int, places: list[int]) -> int:
+    """Length of the longest common subsequence of a text of n words with the words at `places`, bit-parallel in the text."""
+    full = s = (1 << n) - 1
+    for m in places:
+        u = s & m
         s = ((s + u) | (s - u)) & full
-    return len(a) - s.bit_count()
+    return n - s.bit_count()
+
+
+def lcs(a: list[bytes], b: list[bytes]) -> int:
+    """Length of the longest common subsequence of words."""
+    return common_length(len(a), shared_places(positions(a), b))
 
 
 def answer(text: str) -> list[bytes]:
@@ -162,6 +177,7 @@ class Index:
     words: list[list[bytes]]
     answers: list[list[bytes]]
     latent: np.ndarray          # items x rank, unit length
+    where: dict = field(default_factory=dict)       # positions of the words of the items met so far, filled in each worker
 
     def search(self, words: list[bytes], hashes: Hashes, coverage: float, cosine: float, least: float, paraphrase: float) -> list[tuple]:
         n = len(words)
@@ -186,7 +202,12 @@ class Index:
                 item = self.words[i]
                 lo, hi = max(0, at - len(item) // 2), min(n, max(end, at + len(item)) + len(item) // 2)
                 part = words[lo:hi]
-                share = lcs(item, part) / len(item)
+                if i not in self.where:
+                    self.where[i] = positions(item)
+                places = shared_places(self.where[i], part)
+                if len(places) / len(item) < paraphrase:        # the subsequence can't be longer
+                    continue
+                share = common_length(len(item), places) / len(item)
                 if share < paraphrase or (i in best and best[i][3] >= share):
                     continue
                 said = lcs(self.answers[i], part) / len(self.answers[i])
