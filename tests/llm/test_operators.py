@@ -11,6 +11,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quantloom.llm import decontamination as D, exact_dedup, html_extraction, licenses, line_dedup, queries as Q, quality, sentencepiece_bpe as S, sharding, simhash, toxicity
@@ -211,6 +212,16 @@ def test_boilerplate_brute_force(spark, odd, empty):
     assert line_dedup.drop_boilerplate(empty).count() == 0
 
 
+def test_pipeline_drops_boilerplate_on_every_host(spark):
+    """The commonest line of sf0.1 stands in 8.6 to 13.2 % of the pages of all 20 sources."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    line = "The and attion to thanedble the, anea. Eriner thanea."
+    pages = lambda df: {r.source: r["count"] for r in df.where(F.array_contains(F.split("text", "\n"), line)).groupBy("source").count().collect()}
+    before = pages(docs)
+    assert len(before) == 20 and sum(before.values()) == 1061 and min(before.values()) < 50
+    assert pages(corpus_pipeline.line_dedup(spark, docs, SF)) == {}
+
+
 # shards
 
 def test_shards(docs, odd, empty, spark):
