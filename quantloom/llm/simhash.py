@@ -119,7 +119,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radi
 def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 2, shingle: int = 3) -> DataFrame:
     """The rows of `df` that stay: of each component the one with the smallest key, all columns.  Of rows that repeat a kept key one stays;
     of null keys, which no component id names, all stay."""
-    found = near_duplicates(df, key, text, radius, shingle)
+    return keep_least(df, near_duplicates(df, key, text, radius, shingle), key)
+
+
+def keep_least(df: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """The rows of `df` whose key is the component_id that `found` gives it, each key once, and all rows with a null key."""
     kept = found.where(F.col(key) == F.col("component_id")).groupBy(key).agg(F.count("*").alias("__n"))
     kept = checkpointed(kept.select(F.col(key).alias("__key"), "__n"))
     rows = df.join(kept, df[key] == kept["__key"]).drop("__key")

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quantloom.llm import decontamination as D, exact_dedup, html_extraction, licenses, line_dedup, queries as Q, quality, sentencepiece_bpe as S, sharding, simhash, toxicity
+from quantloom.llm import decontamination as D, exact_dedup, html_extraction, licenses, line_dedup, queries as Q, quality, sentencepiece_bpe as S, sharding, shingle_dedup, simhash, toxicity
 from quantloom.llm.components import connected_components
 from quantloom.llm.labelled_pages import labelled_pages
 
@@ -130,6 +130,44 @@ def test_drop_near_duplicates(odd):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in got.collect()) == [(False, 1), (False, 4), (False, 7), (False, 9), (True, 0), (True, 0)]
 
 
+def brute_jaccard(rows, least=0.8, shingle=5):
+    """{key: smallest key reachable} over (key, text), all pairs of shingle sets."""
+    sets = []
+    for _, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w[i:i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set())
+    root = {k: k for k, _ in rows}
+    for i, (k, _) in enumerate(rows):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= least * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((root[k], root[rows[j][0]]))
+                root = {x: a if y == b else y for x, y in root.items()}
+    return root
+
+
+def test_pipeline_near_dedup_is_jaccard(spark, docs, odd, empty):
+    """5-word shingles at 0.8: finds the pairs that 2 bits of a fingerprint let pass, and nothing else."""
+    rng = random.Random(8)
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    base = [f"w{rng.randrange(400)}" for _ in range(200)]
+    for k in range(400):                              # a group of near copies, some beyond 0.8 of each other, over several tiles
+        w = list(base)
+        for at in rng.sample(range(200), k % 7):
+            w[at] = f"x{rng.randrange(9)}"
+        rows.append((10000 + k, " ".join(w)))
+    want = brute_jaccard(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in shingle_dedup.shingle_duplicates(df, tile=16).collect()}
+    assert got == want
+    out = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()}
+    assert out == {d for d, c in want.items() if d == c and d < 10000} and not {145, 177} & out
+    kept = corpus_pipeline.near_dedup(spark, odd, SF)
+    assert kept.columns == odd.columns
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 1), (False, 4), (False, 7), (False, 9), (True, 0), (True, 0)]
+    assert corpus_pipeline.near_dedup(spark, empty, SF).count() == 0
+
+
 # tokens
 
 def test_tokens_round_trip(docs, odd, empty):
