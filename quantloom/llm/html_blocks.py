@@ -7,10 +7,11 @@ import re
 
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
                   "header hgroup hr html legend li main menu nav noscript ol optgroup option p pre search section select summary table tbody td tfoot th thead tr "
-                  "ul label iframe object video audio canvas textarea svg math template head title".split())
+                  "ul label iframe object video audio canvas textarea svg template head title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())       # their content is no markup
-GONE = frozenset("script style title noscript iframe template svg math head textarea select option object video audio canvas datalist xmp noembed noframes".split())
+GONE = frozenset("script style title noscript iframe template svg annotation annotation-xml head textarea select option object video audio canvas datalist xmp noembed noframes".split())
+HEAD = frozenset("base basefont bgsound link meta title style script noscript noframes template head".split())      # all else ends a head that is open
 CLOSES_P = BLOCK - frozenset("button label option optgroup body html noscript iframe object video audio canvas textarea svg math template head title select".split())
 OWN = {"li": ("li", "ul ol menu"), "dd": ("dd dt", "dl"), "dt": ("dd dt", "dl"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "tr": ("tr", "table"),
        "option": ("option", "select"), "thead": ("thead tbody tfoot", "table"), "tbody": ("thead tbody tfoot", "table"), "tfoot": ("thead tbody tfoot", "table")}
@@ -70,6 +71,8 @@ def leaf_blocks(page: str | None) -> list[Block]:
     while at < len(page):
         m = TAG.search(page, at)
         end = m.start() if m else len(page)
+        if stack and stack[-1].tag == "head" and page[at:end].strip():
+            close(len(stack) - 1)
         if end > at and (not stack or stack[-1].shown):
             held.append(page[at:end])
             if any(x.tag == "a" for x in stack):
@@ -88,6 +91,8 @@ def leaf_blocks(page: str | None) -> list[Block]:
             continue
         if not m[4]:
             break                                   # a tag that the page's end cuts off
+        if stack and stack[-1].tag == "head" and tag not in HEAD:
+            close(len(stack) - 1)
         if tag == "br":
             held.append(" ")
         if tag in BLOCK:

@@ -425,6 +425,15 @@ def test_pages_with_odd_markup(spark):
     assert html_extraction.extract(df.limit(0)).count() == 0
 
 
+def test_open_head_and_math():
+    blocks = lambda h: [b.text for b in html_extraction.leaf_blocks(h)]
+    story = "<p>Some words of the story</p>"
+    for head in ("<head><title>T</title><body>", "<head><meta charset=utf-8><style>p{}</style>", "<head><title>T</title></head><body>", "<head><template><p>no</p></template><body>"):
+        assert blocks(f"<html>{head}{story}") == ["Some words of the story"]
+    assert blocks(f"<head><title>T</title>Bare words{story}") == ["Bare words", "Some words of the story"]
+    assert blocks("<p>Take <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> here</p>") == ["Take x=1 here"]
+
+
 # pipeline
 
 def test_pipeline_stage_by_stage(spark, tmp_path):
