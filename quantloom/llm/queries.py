@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -12,10 +14,14 @@ from quantloom.llm.html_extraction import extract
 from quantloom.llm.licenses import BASE, TEMPLATES, scan
 from quantloom.llm.line_dedup import drop_boilerplate
 from quantloom.llm.quality import fit_quality, score_quality
+from quantloom.llm.secret_scan import BASE as SECRETS, MORE, count_of, joined, scan_secrets
 from quantloom.llm.sentencepiece_bpe import round_trip
 from quantloom.llm.sharding import assign_shards
 from quantloom.llm.simhash import near_duplicates
 from quantloom.llm.toxicity import fit_toxicity, score_toxicity
+from quantloom.llm.vector_codes import compress
+from quantloom.llm.whitening import whiten
+from quantloom.session import shared_base
 
 MODEL = "piece_bpe_32k.model"
 SHARD_BYTES = 64 << 20
@@ -81,6 +87,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(score_toxicity(docs, model), 5, 0)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The codes of all embeddings; an empty table gives no rows."""
+    return compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whitened components of all embeddings; an empty table gives no rows."""
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets of all documents, by way of a new ledger in the shared folder; null texts have none."""
+    found = scan_secrets(table(spark, sf_dir, "documents"), f"{shared_base(spark)}/ledger-{uuid.uuid4().hex}", "doc_id")
+    base = [r.name for r in SECRETS]
+    return found.select("doc_id", *(count_of("found", b).alias(f"n_{b}") for b in base), F.sha2(joined("found", *base), 256).alias("base_sha256"), joined("found").alias("spans"))
+
+
 OP2_SQL = """
 WITH lines AS (SELECT source, unnest(list_distinct(string_split(coalesce(text, ''), chr(10)))) AS line FROM documents),
 counted AS (SELECT source, line, count(*) AS pages FROM lines WHERE trim(line) <> '' GROUP BY ALL),
@@ -142,6 +165,63 @@ grouped AS (SELECT doc_id, flat, min(doc_id) OVER (PARTITION BY flat) AS keep_id
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(flat) AS text_sha256 FROM grouped
 """
 
+
+
+def _codebook_rounds(rounds: int = 6) -> str:
+    """Assignments and new codebooks of each round as common table expressions a0, c1, a1, ... """
+    out = []
+    for k in range(rounds + 1):
+        out.append(f"""a{k} AS MATERIALIZED (SELECT vec_id, part, any_value(p.x) AS x, min_by(entry, (d, entry)) AS entry, min(d) AS d FROM (
+  SELECT p.vec_id, p.part, p.x, c.entry, list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+  FROM parts p JOIN c{k} c ON c.part = p.part) p GROUP BY vec_id, part)""")
+        if k < rounds:
+            out.append(f"""c{k + 1} AS MATERIALIZED (SELECT c.part, c.entry, coalesce(m.x, c.x) AS x FROM c{k} c LEFT JOIN (
+  SELECT part, entry, list(v ORDER BY pos) AS x FROM (
+    SELECT part, entry, pos, CAST((sum(v) - ((sum(v) % count(*)) + count(*)) % count(*)) / count(*) AS BIGINT) AS v
+    FROM (SELECT part, entry, unnest(x) AS v, unnest(range(len(x))) AS pos FROM a{k}) GROUP BY part, entry, pos) GROUP BY part, entry) m
+  ON m.part = c.part AND m.entry = c.entry)""")
+    return ",\n".join(out)
+
+
+OP11_SQL = f"""
+WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(floor(4096 * CAST(v AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+              WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+parts AS MATERIALIZED (SELECT vec_id, p AS part, x[p * len(x) // 8 + 1:(p + 1) * len(x) // 8] AS x FROM kept, range(8) r(p)),
+first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept),
+c0 AS MATERIALIZED (SELECT part, entry, x FROM parts JOIN first USING (vec_id) WHERE entry < 16),
+{_codebook_rounds()},
+book AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS sha FROM c6),
+coded AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a6 GROUP BY vec_id)
+SELECT c.vec_id, c.code, c.error, CAST(sum(c.error) OVER (PARTITION BY k.label) AS BIGINT) AS label_error, book.sha AS codebooks_sha256
+FROM coded c JOIN kept k USING (vec_id), book
+"""
+
+
+def _rule_spans() -> str:
+    """Places of every rule: pieces are a gap and a match, so running lengths are the places."""
+    quote = lambda s: s.replace("'", "''")
+    out = []
+    for k, r in enumerate((*SECRETS, *MORE)):
+        out.append(f"""SELECT doc_id, {k} AS k, '{r.name}' AS rule, ends - length(regexp_extract(piece, '{quote(r.pattern)}')) AS start, ends FROM (
+  SELECT doc_id, piece, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) AS ends FROM (
+    SELECT doc_id, unnest(pieces) AS piece, unnest(range(len(pieces))) AS i
+    FROM (SELECT doc_id, regexp_extract_all(text, '(?s)(.*?)({quote(r.pattern)})') AS pieces FROM documents WHERE text IS NOT NULL)))
+  WHERE length(regexp_extract(piece, '{quote(r.pattern)}', {r.group})) >= {r.least}""")
+    return "\nUNION ALL ".join(out)
+
+
+OP13_SQL = f"""
+WITH spans AS ({_rule_spans()}),
+named AS (SELECT *, rule || ':' || CAST(start AS BIGINT) || ':' || CAST(ends AS BIGINT) AS span FROM spans),
+found AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+                 coalesce(string_agg(span, ',' ORDER BY start, k) FILTER (k < {len(SECRETS)}), '') AS base, string_agg(span, ',' ORDER BY start, k) AS spans FROM named GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN found f ON f.doc_id = d.doc_id
+"""
+
 QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_line_dedup, op3_quality_classifier, op4_license_scan, op5_sharding, op6_decontamination,
-                                   op7_simhash, op8_sentencepiece, op9_exact_dedup, op10_toxicity)}
-ORACLES = {"op2_line_dedup": OP2_SQL, "op4_license_scan": OP4_SQL, "op5_sharding": OP5_SQL, "op9_exact_dedup": OP9_SQL}
+                                   op7_simhash, op8_sentencepiece, op9_exact_dedup, op10_toxicity,
+                                   op11_vector_codes, op12_whitening, op13_secret_scan)}
+ORACLES = {"op2_line_dedup": OP2_SQL, "op4_license_scan": OP4_SQL, "op5_sharding": OP5_SQL, "op9_exact_dedup": OP9_SQL,
+           "op11_vector_codes": OP11_SQL, "op13_secret_scan": OP13_SQL}
