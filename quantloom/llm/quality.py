@@ -109,12 +109,14 @@ def train(rows: list[tuple[str | None, int | None, int]], epochs: int = 12, batc
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, columns: list[str], per_class: int, longest: int, key: str = "doc_id") -> list:
-    """Labelled rows for training: of each label the `per_class` keys with the least hash, then those of at most `longest` bytes.  Null labels and keys are left out."""
-    known = pick_columns(labels, key, label).toDF("__id", "__y").where("__id IS NOT NULL AND __y IS NOT NULL").dropDuplicates(["__id"])
+    """Labelled rows for training: of each label the `per_class` keys with the least hash, then those of at most `longest` bytes.  Null labels and keys are left out,
+    so is a key with different labels; of a key's different texts the smallest is learnt."""
+    known = pick_columns(labels, key, label).toDF("__id", "__y").where("__id IS NOT NULL AND __y IS NOT NULL")
+    known = known.groupBy("__id").agg(F.min("__y").alias("__y"), F.max("__y").alias("__most")).where("__y = __most").drop("__most")
     picked = [known.where(F.col("__y") == v).orderBy(F.xxhash64("__id"), "__id").limit(per_class) for v in (0, 1)]
     ids = picked[0].unionAll(picked[1])                          # at most 2 * per_class rows
     rows = docs.where(F.octet_length(F.coalesce("text", F.lit(""))) <= longest).join(F.broadcast(ids), docs[key] == F.col("__id"))
-    rows = rows.dropDuplicates(["__id"]).select("__id", *columns, "__y").collect()
+    rows = rows.groupBy("__id", "__y").agg(F.min(F.struct(*columns)).alias("__row")).select("__id", "__row.*", "__y").collect()
     return [tuple(r)[1:] for r in sorted(rows, key=lambda r: r[0])]
 
 

@@ -11,6 +11,7 @@ pair.  Of such pairs only the leftmost of each cluster merges in a round; cluste
 
 from __future__ import annotations
 
+import codecs
 import functools
 import re
 from collections.abc import Iterator
@@ -195,12 +196,12 @@ class Vocabulary:
         return text[1:] if text.startswith(" ") and self.ids.get(META) is not None and not self.is_byte[ids[0]] and ids[0] != self.unknown else text
 
 
+codecs.register_error("each byte", lambda e: ("\N{REPLACEMENT CHARACTER}", e.start + 1))
+
+
 def decode_bytes(raw: bytes) -> str:
     """UTF-8; each byte that belongs to no character becomes U+FFFD."""
-    try:
-        return raw.decode()
-    except UnicodeDecodeError as e:
-        return raw[:e.start].decode() + "�" + decode_bytes(raw[e.start + 1:])
+    return raw.decode("utf-8", "each byte")
 
 
 class Encoder:
