@@ -77,13 +77,30 @@ def poisson_weights(row_keys: np.ndarray, replicates: np.ndarray, seed: int) ->
     return np.searchsorted(steps, u, side="right").astype(float)
 
 
-def bootstrap_sums(rows: DataFrame, key: list[str], group: list[str], values: list[str], replicates: int, seed: int) -> DataFrame:
+def integer_weights(row_keys: np.ndarray, replicates: np.ndarray, seed: int) -> np.ndarray:
+    """Poisson(1) draws like `poisson_weights`, from products modulo the prime 2^31 - 1 that stay within 63 bits, so that SQL can state them."""
+    p = 2147483647
+    a = np.mod(row_keys.astype(np.int64), p)[:, None]
+    r = replicates.astype(np.int64)[None, :]
+    x = (a * 48271 + r * 69621 + seed) % p
+    for add in (r * 40692, a, r):
+        x = x * x % p
+        x = (x + add) % p * 16807 % p
+    return np.searchsorted(POISSON_STEPS, x, side="right").astype(float)
+
+
+#: Numbers below which fall 1, 2, ... of 2^31 - 1 equally likely draws of a Poisson(1) variable; they end where the tail is below one draw.
+POISSON_STEPS = np.array([int(2147483647 * sum(math.exp(-1.0) / math.factorial(i) for i in range(k + 1))) for k in range(12)], np.int64)
+
+
+def bootstrap_sums(rows: DataFrame, key: list[str], group: list[str], values: list[str], replicates: int, seed: int, draw=poisson_weights) -> DataFrame:
     """(group, rep, n, one weighted sum per value) of Poisson bootstraps, without a row per replicate.
+    `draw` makes the weights from the hashed key; `integer_weights` takes a key of one whole-number column as it is.
 
     A task adds up weights x values of its rows for all replicates (one matrix product per group and batch) and puts out its sums only:
     partitions x groups x replicates rows meet in the shuffle, whatever the number of rows.
     """
-    d = rows.select(F.xxhash64(*key).alias("_key"), *group, *[F.col(v).cast("double").alias(v) for v in values])
+    d = rows.select((F.col(key[0]).cast("long") if draw is integer_weights else F.xxhash64(*key)).alias("_key"), *group, *[F.col(v).cast("double").alias(v) for v in values])
     types = dict(d.dtypes)
     schema = ", ".join([*[f"`{g}` {types[g]}" for g in group], "rep int", "n double", *[f"`{v}` double" for v in values]])
     chunk = np.array_split(np.arange(1, replicates + 1), max(1, replicates // 50))
@@ -93,7 +110,7 @@ def bootstrap_sums(rows: DataFrame, key: list[str], group: list[str], values: li
         for b in batches:
             for name, g in (b.groupby(group, sort=False, dropna=False) if group else [((), b)]):
                 x = np.column_stack([np.ones(len(g)), g[values].to_numpy(float)])
-                part = np.vstack([poisson_weights(g["_key"].to_numpy(), c, seed).T @ x for c in chunk])
+                part = np.vstack([draw(g["_key"].to_numpy(), c, seed).T @ x for c in chunk])
                 total[name] = total[name] + part if name in total else part
         for name, m in total.items():
             out = pd.DataFrame(m, columns=["n", *values])

@@ -139,3 +139,15 @@ def ewm(x, span=None, alpha=None, part="symbol"):
     lam = -math.log(1 - (alpha if alpha is not None else 2.0 / (span + 1)))
     w = f"exp({lam!r}::DOUBLE * rn)"
     return (f"sum({x} * {w}) OVER {U(part)} / nullif(sum(CASE WHEN {x} IS NOT NULL THEN {w} END) OVER {U(part)}, 0)")
+
+
+def integer_draws(source: str, key: str, replicates: int, seed: int, prefix: str = "d") -> str:
+    """`{prefix}w`: the rows of `source` times the replicates with `rep` and their Poisson weight `w`, as `integer_weights` draws it."""
+    p = 2147483647
+    out = [f"{prefix}0 AS (SELECT *, (({key}) % {p} + {p}) % {p} AS a FROM {source}, (SELECT unnest(range(1, {replicates + 1})) AS rep))",
+           f"{prefix}1 AS (SELECT *, (a * 48271 + rep * 69621 + {seed}) % {p} AS x1 FROM {prefix}0)"]
+    for k, add in enumerate(("rep * 40692", "a", "rep"), 2):
+        out.append(f"{prefix}{k} AS (SELECT * EXCLUDE x{k - 1}, ((x{k - 1} * x{k - 1} % {p}) + {add}) % {p} * 16807 % {p} AS x{k} FROM {prefix}{k - 1})")
+    steps = [int(p * sum(math.exp(-1.0) / math.factorial(i) for i in range(k + 1))) for k in range(12)]
+    out.append(f"{prefix}w AS (SELECT * EXCLUDE (a, x4), " + " + ".join(f"CAST(x4 >= {s} AS INTEGER)" for s in steps) + f" AS w FROM {prefix}4)")
+    return ",\n".join(out)

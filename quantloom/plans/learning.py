@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quantloom.operators import drift as D, learning as L, selection as SL
+from quantloom.operators import drift as D, learning as L, selection as SL, uncertainty as UC
 from quantloom.operators.series import Series
 from quantloom.plans import query
 from quantloom.plans.indicators import RET
-from quantloom.plans.kit import (ASSET, DAILY, MARKET, B, O, U, W, dv, lag, pct, pick, result, rnd, roll, rounded, steps, with_)
+from quantloom.plans.kit import (ASSET, DAILY, MARKET, B, O, U, W, dv, integer_draws, lag, pct, pick, result, rnd, roll, rounded, steps, with_)
 from quantloom.plans.metrics import student
 from quantloom.plans.risk import NORMAL_TAIL, simple
 from quantloom.sources import tables as T
@@ -273,3 +273,38 @@ simple("ab_bootstrap", None, ["difference", "low", "high"], 5, lambda s, d: D.bo
 def sample_size(spark, sf_dir):
     e = T.table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("test")).agg((0.1 + F.avg(F.round(F.col("l_discount") * 100)) / 100).alias("_e"))
     return e.select("test", D.sample_size(F.col("_e")).alias("rows_per_arm"))
+
+
+# ---- spread of predictions ----------------------------------------------------------------------------------------------
+ROW_KEY = 100_003       # a row's key: symbol * ROW_KEY + days since 1970
+SPREAD = ["mean", "sd", "low", "middle", "high"]
+
+
+def keyed_features(spark, sf_dir):
+    return features(spark, sf_dir).withColumn("key", F.col("symbol") * ROW_KEY + F.unix_date(F.col("ts").cast("date")))
+
+
+@query("bootstrap_intervals", with_(
+    *FQ, f"ke AS MATERIALIZED (SELECT symbol, ts, ret, l1, m5, CAST(symbol * {ROW_KEY} + date_diff('day', TIMESTAMP '1970-01-01', ts) AS BIGINT) AS key FROM fe)", integer_draws("ke", "key", 100, 42),
+    """su AS MATERIALIZED (SELECT rep, sum(w) AS n, sum(w * l1) / sum(w) AS m1, sum(w * m5) / sum(w) AS m2, sum(w * ret) / sum(w) AS my, sum(w * l1 * l1) AS q11, sum(w * l1 * m5) AS q12, sum(w * m5 * m5) AS q22,
+  sum(w * l1 * ret) AS q1, sum(w * m5 * ret) AS q2 FROM dw GROUP BY rep)""",
+    "ce AS (SELECT rep, m1, m2, my, q11 / n - m1 * m1 AS a, q12 / n - m1 * m2 AS b, q22 / n - m2 * m2 AS c, q1 / n - m1 * my AS p, q2 / n - m2 * my AS q FROM su)",
+    "mo AS MATERIALIZED (SELECT rep, (c * p - b * q) / (a * c - b * b) AS b1, (a * q - b * p) / (a * c - b * b) AS b2, my - (c * p - b * q) / (a * c - b * b) * m1 - (a * q - b * p) / (a * c - b * b) * m2 AS b0 FROM ce)",
+    "pr AS (SELECT symbol, ts, b0 + b1 * l1 + b2 * m5 AS y FROM ke, mo)",
+    "f AS (SELECT symbol, ts, avg(y) AS mean, stddev_pop(y) AS sd, quantile_cont(y, 0.025) AS low, quantile_cont(y, 0.5) AS middle, quantile_cont(y, 0.975) AS high, count(*) AS n_models FROM pr GROUP BY symbol, ts)",
+    body=pick(SPREAD, 7, keys=("symbol", "n_models"), source="f")))
+def bootstrap_intervals(spark, sf_dir):
+    """Intervals of every asset day from 100 replicates of one linear model."""
+    d = keyed_features(spark, sf_dir)
+    return result(UC.bootstrap_intervals(d, d, ["l1", "m5"], "ret", "key"), SPREAD, 7, keys=("symbol", "n_models"))
+
+
+@query("forest_intervals")
+def forest_intervals(spark, sf_dir):
+    """Spread over the trees of a forest trained on the rows before 1999, for the rows after."""
+    from pyspark.ml.feature import VectorAssembler
+    d = features(spark, sf_dir).select("symbol", "ts", "l1", "m5", F.col("ret").alias("y_true"))
+    train = VectorAssembler(inputCols=["l1", "m5"], outputCol="_x").transform(d.where(F.year("ts") < 1999))
+    model = L.regressor("random_forest", "_x", "y_true").fit(train)
+    out = ["mean", "sd", "low_68", "high_68", "low_95", "high_95", "low_99", "high_99"]
+    return result(UC.forest_intervals(model, d.where(F.year("ts") >= 1999), ["l1", "m5"]), out, 6, keys=("symbol", "n_trees"))
