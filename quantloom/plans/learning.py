@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quantloom.operators import drift as D, learning as L, selection as SL, uncertainty as UC
+from quantloom.operators import drift as D, learning as L, search as SE, selection as SL, uncertainty as UC
 from quantloom.operators.series import Series
 from quantloom.plans import query
 from quantloom.plans.indicators import RET
@@ -308,3 +308,67 @@ def forest_intervals(spark, sf_dir):
     model = L.regressor("random_forest", "_x", "y_true").fit(train)
     out = ["mean", "sd", "low_68", "high_68", "low_95", "high_95", "low_99", "high_99"]
     return result(UC.forest_intervals(model, d.where(F.year("ts") >= 1999), ["l1", "m5"]), out, 6, keys=("symbol", "n_trees"))
+
+
+# ---- search over kinds and parameters --------------------------------------------------------------------------------------
+GRID = {"linear": {}, "ridge": {"alpha": [0.1, 10.0, 1000.0]}, "lasso": {"alpha": [0.00001, 0.0001, 0.001]}, "elastic_net": {"alpha": [0.0001, 0.001], "l1_ratio": [0.3, 0.7]},
+        "tree": {"depth": [1, 2, 3], "min_rows": [20, 500], "bins": [8]}}
+#: Half a million candidates, of which 25 are drawn.
+WIDE_GRID = {"ridge": {"alpha": [k / 10 for k in range(1, 100001)]}, "lasso": {"alpha": [k / 10 ** 8 for k in range(1, 100001)]},
+             "elastic_net": {"alpha": [k / 10 ** 7 for k in range(1, 10001)], "l1_ratio": [k / 100 for k in range(1, 21)]},
+             "tree": {"depth": [1, 2], "min_rows": list(range(10, 20010)), "bins": [4, 8, 12]}}
+SEARCHED = {"all": SE.candidates(GRID), "sampled": SE.candidates(WIDE_GRID, 25, seed=11)}
+
+
+def candidate_rows(todo, kinds, values):
+    rows = ", ".join("(" + ", ".join([str(c.number), *values(c)]) + ")" for c in todo if c.kind in kinds)
+    return rows
+
+
+def search_sql(todo):
+    """Moments for the linear kinds (two regressors: the least of the objective over the points where one or both slopes are zero or of known sign), levels for the trees."""
+    penalty = lambda c: [f"{v!r}::DOUBLE" for v in (
+        c["alpha"] if c.kind == "lasso" else c["alpha"] * c["l1_ratio"] if c.kind == "elastic_net" else 0.0, c["alpha"] * (1 - c["l1_ratio"]) if c.kind == "elastic_net" else 0.0, c["alpha"] if c.kind == "ridge" else 0.0)]
+    linear = candidate_rows(todo, ("linear", "ridge", "lasso", "elastic_net"), penalty)
+    trees = [c for c in todo if c.kind == "tree"]
+    kinds = sorted({(c["min_rows"], c["bins"]) for c in trees})
+    deepest = max(c["depth"] for c in trees)
+    names = ", ".join(f"({c.number}, '{c.kind}', '{c.text}')" for c in todo)
+    out = [CVQ.split("\nft AS")[0].rstrip(","), "nr AS MATERIALIZED (SELECT fold, side, ret AS y, l1 AS u, m5 AS v FROM fo WHERE side IS NOT NULL)",
+           """mo AS (SELECT fold, side, count(*) AS n, avg(y) AS my, avg(u) AS mu, avg(v) AS mv, var_pop(y) AS yy, var_pop(u) AS uu, covar_pop(u, v) AS uv, var_pop(v) AS vv, covar_pop(u, y) AS uy, covar_pop(v, y) AS vy FROM nr GROUP BY 1, 2)""",
+           f"lc(candidate, l1, l2, summed) AS (VALUES {linear})",
+           """cf AS (SELECT candidate, t.fold, l1, uu + l2 + summed / n AS a, uv AS b, vv + l2 + summed / n AS c, uy AS p, vy AS q FROM lc, mo t WHERE side = 'train'),
+pt AS (SELECT *, CASE WHEN s = 0 THEN 0 WHEN t = 0 THEN (p - s * l1) / a ELSE (c * (p - s * l1) - b * (q - t * l1)) / (a * c - b * b) END AS x,
+  CASE WHEN t = 0 THEN 0 WHEN s = 0 THEN (q - t * l1) / c ELSE (a * (q - t * l1) - b * (p - s * l1)) / (a * c - b * b) END AS z FROM cf, (VALUES (-1), (0), (1)) o(s), (VALUES (-1), (0), (1)) r(t)),
+sl AS (SELECT candidate, fold, arg_min(x, obj) AS x, arg_min(z, obj) AS z FROM (SELECT *, (a * x * x + 2 * b * x * z + c * z * z) / 2 - p * x - q * z + l1 * (abs(x) + abs(z)) AS obj FROM pt) GROUP BY 1, 2),
+ls AS (SELECT candidate, sl.fold, e.yy - 2 * (x * e.uy + z * e.vy) + x * x * e.uu + 2 * x * z * e.uv + z * z * e.vv + pow(t.my - e.my + x * (e.mu - t.mu) + z * (e.mv - t.mv), 2) AS mse
+  FROM sl JOIN mo t ON t.fold = sl.fold AND t.side = 'train' JOIN mo e ON e.fold = sl.fold AND e.side = 'test')""",
+           f"tv(variant, min_rows, bins) AS (VALUES {', '.join(f'({i}, {m}, {b})' for i, (m, b) in enumerate(kinds))})",
+           "eg AS (SELECT min(u) AS u0, max(u) AS u1, min(v) AS v0, max(v) AS v1 FROM nr)",
+           """n0 AS MATERIALIZED (SELECT variant, fold, side = 'train' AS train, y, [CAST(least(floor((u - u0) / (u1 - u0) * bins), bins - 1) AS BIGINT), CAST(least(floor((v - v0) / (v1 - v0) * bins), bins - 1) AS BIGINT)] AS cell, CAST(1 AS BIGINT) AS node FROM nr, eg, tv)"""]
+    for k in range(deepest + 1):
+        out.append(f"""e{k} AS MATERIALIZED (SELECT variant, fold, node, feature, cell[feature + 1] AS bin, count(*) FILTER (train) AS n, coalesce(sum(y) FILTER (train), 0) AS s, count(*) FILTER (NOT train) AS tn,
+  coalesce(sum(y) FILTER (NOT train), 0) AS ts, coalesce(sum(y * y) FILTER (NOT train), 0) AS tq FROM n{k}, (VALUES (0), (1)) f(feature) GROUP BY 1, 2, 3, 4, 5),
+r{k} AS (SELECT variant, fold, {k} AS depth, sum(tq - 2 * s / n * ts + s / n * s / n * tn) / sum(tn) AS mse FROM (SELECT variant, fold, node, sum(n) AS n, sum(s) AS s, sum(tn) AS tn, sum(ts) AS ts, sum(tq) AS tq FROM e{k} WHERE feature = 0 GROUP BY 1, 2, 3) GROUP BY 1, 2)""")
+        if k < deepest:
+            out.append(f"""g{k} AS (SELECT *, round(sl * sl / nl + (s - sl) * (s - sl) / (n - nl) - s * s / n, 12) AS gain FROM (SELECT e.variant, fold, node, feature, bin, min_rows, sum(n) OVER u AS nl, sum(s) OVER u AS sl, sum(n) OVER w AS n, sum(s) OVER w AS s FROM e{k} e JOIN tv USING (variant)
+  WINDOW w AS (PARTITION BY e.variant, fold, node, feature), u AS (PARTITION BY e.variant, fold, node, feature ORDER BY bin)) WHERE nl >= min_rows AND n - nl >= min_rows AND nl > 0 AND n > nl),
+b{k} AS (SELECT * FROM g{k} WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY variant, fold, node ORDER BY gain DESC, feature, bin) = 1),
+n{k + 1} AS MATERIALIZED (SELECT r.variant, r.fold, train, y, cell, CASE WHEN b.feature IS NULL THEN r.node ELSE 2 * r.node + CAST(cell[b.feature + 1] > b.bin AS BIGINT) END AS node FROM n{k} r LEFT JOIN b{k} b ON b.variant = r.variant AND b.fold = r.fold AND b.node = r.node)""")
+    out += [f"tc(candidate, variant, depth) AS (VALUES {', '.join(f'({c.number}, {kinds.index((c['min_rows'], c['bins']))}, {c['depth']})' for c in trees)})",
+            "al AS (SELECT candidate, fold, mse FROM ls UNION ALL SELECT candidate, fold, mse FROM tc JOIN (" + " UNION ALL ".join(f"SELECT * FROM r{k}" for k in range(deepest + 1)) + ") USING (variant, depth))",
+            f"nm(candidate, kind, parameters) AS (VALUES {names})",
+            "f AS (SELECT candidate, kind, parameters, avg(mse) * 1e4 AS mse, stddev_pop(mse) * 1e4 AS deviation, count(*) AS folds FROM al JOIN nm USING (candidate) GROUP BY 1, 2, 3)"]
+    return with_(*FQ, *out, body=pick(["mse", "deviation"], 7, keys=("candidate", "kind", "parameters", "folds"), ts=None, source="f"))
+
+
+def search_query(name, todo):
+    """Errors in units of 1e-4; one line of models over all symbols in four time folds."""
+    @query(name, search_sql(todo))
+    def run(spark, sf_dir):
+        found = SE.model_search(L.time_series_folds(features(spark, sf_dir), 4), ["l1", "m5"], "ret", todo)
+        return result(found.withColumns({"mse": F.col("mse") * 1e4, "deviation": F.col("deviation") * 1e4}), ["mse", "deviation"], 7, keys=("candidate", "kind", "parameters", "folds"), ts=None)
+
+
+search_query("model_search", SEARCHED["all"])
+search_query("model_search_sampled", SEARCHED["sampled"])
