@@ -94,3 +94,43 @@ def unbiased_skewness(x) -> Column:
 def unbiased_kurtosis(x) -> Column:
     n = F.count(col(x)).cast("double")
     return F.when(n > 3, (F.kurtosis(col(x)) * (n + 1) + 6) * div(n - 1, (n - 2) * (n - 3)))
+
+
+# ---- gamma functions as column expressions, for x > 0 -----------------------------------------------------------------------
+#: Bernoulli numbers B2, B4, ... of the asymptotic series.
+BERNOULLI = (1 / 6, -1 / 30, 1 / 42, -1 / 30, 5 / 66, -691 / 2730, 7 / 6)
+_SHIFT = 8      # the series is used beyond it, smaller arguments come from the recurrence
+
+
+def log_gamma(x) -> Column:
+    x = col(x)
+    z = x + _SHIFT
+    low = F.lit(1.0)
+    for k in range(_SHIFT):
+        low = low * (x + k)
+    tail = F.lit(0.0)
+    for k, b in enumerate(BERNOULLI, 1):
+        tail = tail + b / (2 * k * (2 * k - 1)) / F.pow(z, 2 * k - 1)
+    return (z - 0.5) * F.ln(z) - z + 0.5 * math.log(2 * math.pi) + tail - F.ln(low)
+
+
+def digamma(x) -> Column:
+    x = col(x)
+    z = x + _SHIFT
+    low, tail = F.lit(0.0), F.lit(0.0)
+    for k in range(_SHIFT):
+        low = low + 1 / (x + k)
+    for k, b in enumerate(BERNOULLI, 1):
+        tail = tail + b / (2 * k) / F.pow(z, 2 * k)
+    return F.ln(z) - 1 / (2 * z) - tail - low
+
+
+def trigamma(x) -> Column:
+    x = col(x)
+    z = x + _SHIFT
+    low, tail = F.lit(0.0), F.lit(0.0)
+    for k in range(_SHIFT):
+        low = low + 1 / ((x + k) * (x + k))
+    for k, b in enumerate(BERNOULLI, 1):
+        tail = tail + b / F.pow(z, 2 * k + 1)
+    return 1 / z + 1 / (2 * z * z) + tail + low

@@ -13,6 +13,7 @@ from quantloom.functions.scalar import TRADING_DAYS, div
 from quantloom.functions.stats import Z_ONE_SIDED, normal_density, normal_tail
 from quantloom.operators.series import Series
 from quantloom.operators.sets import top_per_key
+from quantloom.operators.student import student_fit
 
 LEVELS = (0.95, 0.99)
 
@@ -76,19 +77,29 @@ def student_quantile(p: float, dof: Column) -> Column:
     return f(dof)
 
 
-def student_var(returns: DataFrame, value: float = 1.0, keys=("symbol",), rows=252, levels=LEVELS) -> DataFrame:
-    """Student-t with the degrees of freedom matched to the kurtosis (4 + 6/excess); the normal limit (null dof) where there is no excess."""
-    m = recent(returns, keys, rows).groupBy(*keys).agg(
-        F.avg("ret").alias("_m"), F.stddev_samp("ret").alias("_s"), F.kurtosis("ret").alias("_k"))
-    m = m.withColumn("dof", F.when(F.col("_k") > 0, 4 + 6 / F.col("_k")))
-    m = m.withColumn("_scale", F.col("_s") * F.coalesce(F.sqrt(1 - 2 / F.col("dof")), F.lit(1.0)))
+def student_var(returns: DataFrame, value: float = 1.0, keys=("symbol",), rows=252, levels=LEVELS, fit: str = "likelihood") -> DataFrame:
+    """Value at risk of a Student-t fitted by maximum likelihood, or with `fit="moments"` by the kurtosis (4 + 6/excess).
+
+    dof is null where the fit has its normal limit: no finite maximum, or no excess kurtosis.  The limit takes the sample deviation.
+    """
+    last = recent(returns, keys, rows)
+    if fit == "likelihood":
+        m = student_fit(last, keys, "ret")
+        own = F.when(F.col("dof").isNotNull(), F.col("scale")).otherwise(F.col("scale") * F.sqrt(F.col("n") / (F.col("n") - 1)))
+        m = m.select(*keys, "dof", F.col("location").alias("_m"), own.alias("_scale"))
+    elif fit == "moments":
+        m = last.groupBy(*keys).agg(F.avg("ret").alias("_m"), F.stddev_samp("ret").alias("_s"), F.kurtosis("ret").alias("_k"))
+        m = m.withColumn("dof", F.when(F.col("_k") > 0, 4 + 6 / F.col("_k")))
+        m = m.withColumn("_scale", F.col("_s") * F.coalesce(F.sqrt(1 - 2 / F.col("dof")), F.lit(1.0)))
+    else:
+        raise ValueError(f"unknown fit {fit}")
     out = m
     for c in levels:
         q = f"_q{tag(c)}"
         out = out.withColumn(q, student_quantile(1 - c, F.col("dof")))
         density = F.pow(1 + F.col(q) ** 2 / F.col("dof"), -(F.col("dof") + 1) / 2) * _student_scale("dof")
         normal = F.exp(-F.col(q) ** 2 / 2) / math.sqrt(2 * math.pi) / (1 - c)
-        tail = F.coalesce(density / (1 - c) * (F.col("dof") + F.col(q) ** 2) / (F.col("dof") - 1), normal)
+        tail = F.when(F.col("dof").isNull(), normal).when(F.col("dof") > 1, density / (1 - c) * (F.col("dof") + F.col(q) ** 2) / (F.col("dof") - 1))     # no mean, no tail mean
         out = out.withColumns({f"var_{tag(c)}": -(F.col("_m") + F.col("_scale") * F.col(q)) * value,
                                f"cvar_{tag(c)}": -(F.col("_m") - F.col("_scale") * tail) * value})
     return out.select(*keys, "dof", *[f"{k}_{tag(c)}" for c in levels for k in ("var", "cvar")])

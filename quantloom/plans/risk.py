@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.stats import normal_density
 from quantloom.operators import concentration as C, factor_risk as FR, joins as J, liquidity as L, metrics as M, risk as R, stress as S
+from quantloom.operators.student import student_fit
 from quantloom.plans import query
 from quantloom.plans.joins import NAMES
 from quantloom.plans.kit import (ASSET, DAILY, FACTORS, HOLDINGS, MARKET, META, B, W, dv, lag, pct, pick, result, rnd, roll, rounded, steps, with_)
@@ -32,6 +33,7 @@ Z95, Z99 = 1.6448536269514722, 2.3263478740408408
 simple("normal_var", with_(ASSET, TAIL, "m AS (SELECT symbol, avg(ret) AS m, stddev_samp(ret) AS s FROM tl GROUP BY symbol)",
     f"f AS (SELECT symbol, -(m - {Z95} * s) * 1e6 AS var_95, -(m - s * {normal_density(Z95)!r} / 0.05) * 1e6 AS cvar_95, -(m - {Z99} * s) * 1e6 AS var_99, -(m - s * {normal_density(Z99)!r} / 0.01) * 1e6 AS cvar_99 FROM m)",
     body=pick(VC, 3, ts=None, source="f")), VC, 3, lambda s, d: R.normal_var(T.asset_returns(s, d), VALUE))
+simple("student_fit", None, ["dof", "location", "scale", "log_likelihood"], 5, lambda s, d: student_fit(T.asset_returns(s, d)), ("symbol", "n"))
 simple("student_var", None, ["dof", *VC], 3, lambda s, d: R.student_var(T.asset_returns(s, d), VALUE))
 simple("bootstrap_var", None, ["low", "high"], 4, lambda s, d: R.bootstrap_var(T.asset_returns(s, d), value=VALUE))
 
