@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -36,28 +35,58 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(FOLD).split()
 
 
-class Hashes(dict):
-    """Bucket of each word, worked out once; starts anew when large."""
+FOLDED = np.frombuffer(FOLD, np.uint8)
+FACTOR, INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)      # odd, so powers can be divided out modulo 2^64
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = zlib.crc32(word) & (BUCKETS - 1)
-        return h
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+def _powers(n: int) -> list[np.ndarray]:
+    """FACTOR^i and FACTOR^-i modulo 2^64 for i < n at least."""
+    if len(_POWERS[0]) < n:
+        for k, f in enumerate((FACTOR, INVERSE)):
+            _POWERS[k] = np.cumprod(np.array([1] + [f] * (2 * n), np.uint64), dtype=np.uint64)
+    return _POWERS
+
+
+def buckets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of every word of the texts, one after the other, and the number of words of each text; words are those of `tokens`.
+
+    A word's hash is the difference of two running sums of bytes x powers, divided by the power at its start.
+    """
+    folded = FOLDED[np.frombuffer(b" ".join(texts) + b" ", np.uint8)]
+    power, back = _powers(len(folded))
+    edge = np.flatnonzero(np.diff((folded != 32).astype(np.int8), prepend=np.int8(0)))
+    first, last = edge[::2], edge[1::2]
+    total = np.zeros(len(folded) + 1, np.uint64)
+    np.cumsum(folded * power[:len(folded)], out=total[1:])
+    code = (total[last] - total[first]) * back[first]
+    code = (code ^ (code >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    starts = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
+    return (code >> np.uint64(48)).astype(np.int64), np.diff(np.searchsorted(first, starts))
+
+
+def in_chunks(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+    """Texts of about `size` bytes at a time (one text at least), their words' buckets and their numbers of words."""
+    part, held = [], 0
+    for t in column.cast(pa.binary()).to_pylist():
+        part.append(t or b"")
+        held += len(part[-1])
+        if held >= size:
+            yield part, *buckets(part)
+            part, held = [], 0
+    if part:
+        yield part, *buckets(part)
 
 
 def inverse_frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
     """log((1 + N) / (1 + documents with the bucket)) over all documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, total, hashes = np.zeros(BUCKETS + 1, np.int64), 0, Hashes()
+        seen = np.zeros(BUCKETS + 1, np.int64)
         for b in batches:
-            for t in b.column(0).to_pylist():
-                seen[list({hashes[w] for w in set(tokens(t))})] += 1
-                total += 1
-        seen[BUCKETS] = total
+            for texts, words, count in in_chunks(b.column(0)):
+                once = np.unique(np.repeat(np.arange(len(texts)) * BUCKETS, count) + words)
+                seen[:BUCKETS] += np.bincount(once & (BUCKETS - 1), minlength=BUCKETS)
+                seen[BUCKETS] += len(texts)
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["bucket", "n"])
 
@@ -76,7 +105,7 @@ def vectors(items: DataFrame, idf: np.ndarray) -> DataFrame:
         for f in frames:
             out = []
             for i, t in zip(f["item_id"], f["text"]):
-                b, n = np.unique(Hashes().of(tokens(t)), return_counts=True)
+                b, n = np.unique(buckets([(t or "").encode()])[0], return_counts=True)
                 x = n * shared.value[b]
                 if len(b):
                     out.append((i, t, b, x / np.sqrt((x * x).sum())))
@@ -179,11 +208,11 @@ class Index:
     latent: np.ndarray          # items x rank, unit length
     where: dict = field(default_factory=dict)       # positions of the words of the items met so far, filled in each worker
 
-    def search(self, words: list[bytes], hashes: Hashes, coverage: float, cosine: float, least: float, paraphrase: float) -> list[tuple]:
-        n = len(words)
+    def search(self, text: bytes, b: np.ndarray, coverage: float, cosine: float, least: float, paraphrase: float) -> list[tuple]:
+        """(id, start, cosine, lcs, answer) of the items that the text, whose words have the buckets b, holds."""
+        n = len(b)
         if not n or not self.ids:
             return []
-        b = hashes.of(words)
         w = self.idf[b]
         mass = np.concatenate(([0.0], np.cumsum(w * w)))
         known = np.concatenate(([0.0], np.cumsum(w * w * self.known[b])))
@@ -197,32 +226,50 @@ class Index:
                 break
         spans = np.concatenate(spans)
         best: dict[int, tuple] = {}
-        for k in range(0, len(spans), 256):
-            for i, at, end, c in self._near(spans[k:k + 256], b, w, cosine):
-                item = self.words[i]
-                lo, hi = max(0, at - len(item) // 2), min(n, max(end, at + len(item)) + len(item) // 2)
-                part = words[lo:hi]
-                if i not in self.where:
-                    self.where[i] = positions(item)
-                places = shared_places(self.where[i], part)
-                if len(places) / len(item) < paraphrase:        # the subsequence can't be longer
-                    continue
-                share = common_length(len(item), places) / len(item)
-                if share < paraphrase or (i in best and best[i][3] >= share):
-                    continue
-                said = lcs(self.answers[i], part) / len(self.answers[i])
-                if share >= least or said >= least:
-                    best[i] = (self.ids[i], lo, float(c), share, said)
+        words = None                # cut out where a window is near an item
+        tried = set()               # windows of three sizes lead to the same stretch of text again and again
+        for i, at, end, c in self._near(spans, b, w, cosine):
+            item = self.words[i]
+            lo, hi = max(0, at - len(item) // 2), min(n, max(end, at + len(item)) + len(item) // 2)
+            floor = best[i][3] if i in best else 0.0
+            if floor >= 1 or (i, lo, hi) in tried:
+                continue
+            tried.add((i, lo, hi))
+            words = words or text.translate(FOLD).split()
+            part = words[lo:hi]
+            if i not in self.where:
+                self.where[i] = positions(item)
+            places = shared_places(self.where[i], part)
+            most = len(places) / len(item)
+            if most < paraphrase or most <= floor:              # the subsequence can't be longer
+                continue
+            share = common_length(len(item), places) / len(item)
+            if share < paraphrase or share <= floor:
+                continue
+            said = lcs(self.answers[i], part) / len(self.answers[i])
+            if share >= least or said >= least:
+                best[i] = (self.ids[i], lo, float(c), share, said)
         return [best[i] for i in sorted(best)]
 
     def _near(self, spans, b, w, cosine) -> Iterator[tuple]:
-        lens = spans[:, 1] - spans[:, 0]
-        at = np.repeat(spans[:, 0] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
-        x = np.add.reduceat(self.basis[self.place[b[at]]] * w[at, None].astype(np.float32), np.cumsum(lens) - lens)
-        x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-12
-        c = x @ self.latent.T
-        for r, i in zip(*np.nonzero(c >= cosine)):
-            yield i, int(spans[r, 0]), int(spans[r, 1]), c[r, i]
+        """(item, start, end, cosine) of the windows near an item.  The words of all windows are projected once, windows are differences of running sums."""
+        if not len(spans):
+            return
+        edge = np.zeros(len(b) + 1, np.int64)
+        np.add.at(edge, spans[:, 0], 1)
+        np.add.at(edge, spans[:, 1], -1)
+        inside = np.cumsum(edge)[:-1] > 0
+        place = np.concatenate(([0], np.cumsum(inside)))        # a window's words follow each other among those inside
+        rows = self.basis[self.place[b[inside]]] * w[inside, None]
+        total = np.zeros((len(rows) + 1, self.basis.shape[1]))
+        np.cumsum(rows, axis=0, out=total[1:])
+        first, last = place[spans[:, 0]], place[spans[:, 1]]
+        for k in range(0, len(spans), 256):
+            x = total[last[k:k + 256]] - total[first[k:k + 256]]
+            x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-12
+            c = x.astype(np.float32) @ self.latent.T
+            for r, i in zip(*np.nonzero(c >= cosine)):
+                yield int(i), int(spans[k + r, 0]), int(spans[k + r, 1]), c[r, i]
 
 
 def indexes(benchmark: DataFrame, idf: np.ndarray, block: int = BLOCK) -> Iterator[Index]:
@@ -247,14 +294,14 @@ def indexes(benchmark: DataFrame, idf: np.ndarray, block: int = BLOCK) -> Iterat
 
 
 def mark_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", matches: str = "leaks", coverage: float = 0.5, cosine: float = 0.5,
-               least: float = 0.8, paraphrase: float = 0.6) -> DataFrame:
+               least: float = 0.8, paraphrase: float = 0.6, block: int = BLOCK) -> DataFrame:
     """All rows and columns of `docs` and the array `matches` of (item_id, start, cosine, lcs, answer), one for each benchmark item that the whole text holds.
 
     Null and empty texts and an empty benchmark give empty arrays; an item with a null id is reported under null; equal rows get equal arrays; a column of that name is replaced.
     """
     kind = benchmark.schema["item_id"].dataType.simpleString()
     out = docs.drop(matches).withColumn(matches, F.array().cast(MATCH.format(kind=kind)))
-    for index in indexes(benchmark, inverse_frequencies(docs, text)):
+    for index in indexes(benchmark, inverse_frequencies(docs, text), block):
         out = _search(out, index, text, matches, kind, (coverage, cosine, least, paraphrase))
     return out
 
@@ -267,10 +314,11 @@ def _search(docs: DataFrame, index: Index, text: str, matches: str, kind: str, l
     fields = ("item_id", "start", "cosine", "lcs", "answer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
         for b in batches:
-            found = [old + [dict(zip(fields, m)) for m in shared.value.search(tokens(t), hashes, *limits)]
-                     for t, old in zip(b.column(at).to_pylist(), b.column(put).to_pylist())]
+            new = []
+            for texts, words, count in in_chunks(b.column(at)):
+                new += [shared.value.search(t, words[z - n:z], *limits) for t, n, z in zip(texts, count, np.cumsum(count))]
+            found = [old + [dict(zip(fields, m)) for m in more] for old, more in zip(b.column(put).to_pylist(), new)]
             rest = [c for k, c in enumerate(b.columns) if k != put]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(found, b.column(put).type)], [*(c for c in names if c != matches), matches])
 

@@ -377,6 +377,30 @@ def test_leaks_in_blocks_and_odd_tables(spark, docs, odd, empty):
     assert out.count() == len(ODD) and D.mark_leaks(empty, bench).count() == 0 and D.mark_leaks(docs, nulls.limit(0)).where("size(leaks) > 0").count() == 0
 
 
+@pytest.mark.parametrize("block", [D.BLOCK, 40])
+def test_leaks_above_the_rank_and_in_blocks(spark, docs, block):
+    """200 items, three times the rank of the index: with a tenth and a sixth of their words exchanged, and as paraphrases that keep the answer."""
+    items = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").collect()]
+    rng = random.Random(16)
+    hosts = [r.text or "" for r in docs.select("text").collect()]
+    rows, kinds = [], {}
+    for k, (i, t) in enumerate(items):
+        for n, share in enumerate((0.0, 0.1, 0.18, None)):
+            w, said = t.split(), len(D.answer(t))
+            body = len(w) - said if share is None else len(w)
+            for at in rng.sample(range(body), int(body * (0.3 if share is None else share))):
+                w[at] = f"other{rng.randrange(10 ** 6)}"
+            rows.append((4 * k + n, hosts[(4 * k + n) % len(hosts)] + "\n" + " ".join(w) + "\n" + hosts[(7 * k + n) % len(hosts)]))
+            kinds[4 * k + n] = (i, share)
+    assert len(items) > 3 * D.RANK
+    out = D.mark_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block=block)
+    found = {r.doc_id: {x.item_id for x in r.leaks} for r in out.collect()}
+    for share in (0.0, 0.1, 0.18, None):
+        mine = [d for d, (_, s) in kinds.items() if s == share]
+        caught = sum(kinds[d][0] in found[d] for d in mine)
+        assert caught >= (0.9 if share is None else 0.95) * len(mine), (share, caught, len(mine))
+
+
 def test_longest_common_subsequence():
     rng = random.Random(5)
     for _ in range(200):
