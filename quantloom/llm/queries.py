@@ -11,7 +11,7 @@ from quantloom.llm.common import LOWER, UPPER, crc_remainder, pick_columns, tabl
 from quantloom.llm.decontamination import mark_leaks
 from quantloom.llm.exact_dedup import exact_duplicates
 from quantloom.llm.html_extraction import extract
-from quantloom.llm.licenses import BASE, TEMPLATES, scan
+from quantloom.llm.licenses import BASE, BASE_GRAM, GRAM, TEMPLATES, gram_rows, scan
 from quantloom.llm.line_dedup import drop_boilerplate
 from quantloom.llm.quality import fit_quality, score_quality
 from quantloom.llm.secret_scan import BASE as SECRETS, MORE, count_of, joined, scan_secrets
@@ -120,28 +120,24 @@ FROM judged
 """
 
 
-def _template_rows() -> str:
-    rows = []
-    for at, (label, phrase, base) in enumerate([(*b, True) for b in BASE] + [(*t, False) for t in TEMPLATES]):
-        w = phrase.split()
-        rows += [f"({at}, '{label}', {base}, {len(w) - 1}, {i}, '{w[i]}', '{w[i + 1]}')" for i in range(len(w) - 1)]
-    return ", ".join(rows)
+def _gram_values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join([str(r[0]), f"'{r[1]}'", str(r[2]), str(r[3]), *(f"'{w}'" for w in r[4:])]) + ")" for r in rows)
 
 
 OP4_SQL = rf"""
-WITH t(template, label, is_base, grams, tpos, t1, t2) AS (VALUES {_template_rows()}),
+WITH b(template, label, grams, tpos, t1, t2) AS (VALUES {_gram_values(gram_rows(BASE, BASE_GRAM))}),
+t(template, label, grams, tpos, t1, t2, t3) AS (VALUES {_gram_values(gram_rows(TEMPLATES, GRAM))}),
 docs AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'),
                                     lambda x: x <> '') AS w FROM documents),
-places AS (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 1, 0))) AS word FROM docs),
-hits AS (SELECT p.doc_id, t.*, word FROM places p JOIN t ON w[word + 1] = t1 AND w[word + 2] = t2),
-base AS (SELECT doc_id, label, word - tpos AS place FROM hits WHERE is_base GROUP BY doc_id, template, label, grams, word - tpos HAVING count(*) = any_value(grams)),
+places AS (SELECT doc_id, w[word + 1] AS w1, w[word + 2] AS w2, w[word + 3] AS w3, word FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS word FROM docs)),
+base AS (SELECT doc_id, label, word - tpos AS place FROM places JOIN b ON w1 = t1 AND w2 = t2 GROUP BY doc_id, template, label, grams, word - tpos HAVING count(*) = any_value(grams)),
 based AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list_sort(list_distinct(list(label))) AS labels FROM base GROUP BY doc_id),
-lines AS (SELECT DISTINCT doc_id, template, label, grams, word - tpos AS diagonal FROM hits WHERE NOT is_base),
-steps AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER o <= 3 THEN 0 ELSE 1 END AS fresh FROM lines WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal)),
-runs AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM steps),
-spans AS (SELECT r.doc_id, r.template, r.label, r.span, count(DISTINCT h.tpos) / any_value(r.grams) AS share
-          FROM runs r JOIN hits h ON h.doc_id = r.doc_id AND h.template = r.template AND h.word - h.tpos = r.diagonal GROUP BY ALL),
-owned AS (SELECT doc_id, list_distinct(list(label) FILTER (share >= 0.75)) AS labels, max(share) AS share FROM spans GROUP BY doc_id)
+hits AS (SELECT doc_id, template, label, grams, tpos, word, word - tpos AS diagonal FROM places JOIN t ON w1 = t1 AND w2 = t2 AND w3 = t3),
+bands AS (SELECT a.doc_id, a.template, a.label, a.grams, a.diagonal, list([h.tpos] ORDER BY h.word, h.tpos DESC) AS points
+          FROM (SELECT DISTINCT doc_id, template, label, grams, diagonal FROM hits) a
+          JOIN hits h ON h.doc_id = a.doc_id AND h.template = a.template AND h.diagonal BETWEEN a.diagonal AND a.diagonal + 8 GROUP BY ALL),
+chains AS (SELECT doc_id, label, len(list_reduce(points, lambda ends, p: list_concat(list_concat(list_filter(ends, lambda e: e < p[1]), p), ends[len(list_filter(ends, lambda e: e < p[1])) + 2:]))) / grams AS share FROM bands),
+owned AS (SELECT doc_id, list_distinct(list(label) FILTER (share >= 0.75)) AS labels, max(share) AS share FROM chains GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(b.n_base, 0) AS n_base, b.first_word, b.last_word,
        coalesce(array_to_string(b.labels, ','), '') AS base_labels,
        coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(o.labels, [])))), ','), '') AS labels,

@@ -221,10 +221,65 @@ def test_licenses_brute_force(docs, odd, empty, spark):
         got = licenses.scan(df).collect()
         assert sorted((tuple(r)[:6] for r in got), key=repr) == sorted(want, key=repr)
         assert all(set(r.base_labels.split(",")) - {""} <= set(r.labels.split(",")) and 0 <= r.score <= 1 for r in got)
+        found = {r.doc_id: r for r in got}
+        for r in rows:
+            score, labels = brute_templates(r.text)
+            mine = found[r.doc_id]
+            assert mine.score == (1.0 if mine.n_base else pytest.approx(score)) and set(mine.labels.split(",")) - {""} == labels | set(mine.base_labels.split(",")) - {""}
     assert "mit" in licenses.scan(more).first().labels.split(",")
     assert licenses.scan(empty).count() == 0
 
 
+def brute_templates(text, drift=8, least=0.75):
+    """(largest share, labels) of the templates by trying every start of a span."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    best, labels = 0.0, set()
+    for label, phrase in licenses.TEMPLATES:
+        t = phrase.split()
+        grams = {}
+        for i in range(len(t) - 2):
+            grams.setdefault(tuple(t[i:i + 3]), []).append(i)
+        hits = [(i, p) for i in range(len(w) - 2) for p in grams.get(tuple(w[i:i + 3]), ())]
+        for start in {i - p for i, p in hits}:
+            chain = {}                              # longest rising chain that ends at (word, tpos)
+            for i, p in sorted(h for h in hits if 0 <= h[0] - h[1] - start <= drift):
+                chain[i, p] = 1 + max((n for (a, b), n in chain.items() if a < i and b < p), default=0)
+            share = max(chain.values()) / (len(t) - 2)
+            best = max(best, share)
+            labels |= {label} if share >= least else set()
+    return best, labels
+
+
+def test_license_spans_are_verified(spark):
+    """Templates whole, changed, shifted, reversed, shuffled and scattered: shares and labels as by brute force, and no label without the words in order."""
+    rng = random.Random(12)
+    texts = []
+    for label, phrase in licenses.TEMPLATES:
+        w = phrase.split()
+        grams = [w[i:i + 3] for i in range(len(w) - 2)]
+        texts += [("whole", label, phrase.upper()), ("reversed", label, " ".join(x for g in reversed(grams) for x in g)), ("backwards", label, " ".join(reversed(w)))]
+        mixed = grams[:]
+        rng.shuffle(mixed)
+        texts.append(("shuffled", label, " ".join(x for g in mixed for x in g)))
+        texts.append(("scattered", label, " ".join(" ".join(g) + " pad" * 12 for g in grams)))
+        if len(w) > 15:
+            changed = w[:]
+            changed[len(w) // 2:len(w) // 2] = ["really", "and", "truly"]
+            texts.append(("inserted", label, "some lead " + " ".join(changed) + " some tail"))
+            texts.append(("copied twice", label, phrase + " and then " * 30 + phrase))
+    rows = [(k, t) for k, (_, _, t) in enumerate(texts)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id int, text string"), base=[("none", "no such phrase here")]).collect()}
+    for k, (kind, label, text) in enumerate(texts):
+        share, labels = brute_templates(text)
+        assert got[k].score == pytest.approx(share) and got[k].labels == ",".join(sorted(labels)), (kind, label)
+        if kind in ("whole", "copied twice", "inserted"):
+            assert label in labels
+        elif len(text.split()) > 60:
+            assert got[k].score < 0.75, (kind, label)
+    with pytest.raises(ValueError):
+        licenses.scan(spark.createDataFrame(rows, "doc_id int, text string"), templates=[("x", "two words")])
+
+
 # lines
 
 def brute_lines(rows, ratio, least):
