@@ -116,6 +116,7 @@ class Series(Layers):
             df = df.withColumn(ROW, F.row_number().over(self.order).cast("long"))
         super().__init__(df)
         self.source_columns = source
+        self._dense: set[str] = set()
 
     def _finish(self, df: DataFrame) -> DataFrame:
         """Rows of the look-back margin are gone."""
@@ -255,7 +256,40 @@ class Series(Layers):
         top = F.coalesce(num * here, zero) + F.coalesce(num0 * there, zero)
         bottom = F.coalesce(den * here, zero) + F.coalesce(den0 * there, zero)
         mean = self.let(F.when(has, div(top, bottom)))
-        return self.let(F.last(mean, ignorenulls=True).over(self.order.rowsBetween(Window.unboundedPreceding, 0)))
+        return self._carried(mean, seg, self._is_dense(x))
+
+    def _is_dense(self, x: Column) -> bool:
+        """Whether x is a carried mean or a sum, difference or product of such: once it has a value, it has one on every row."""
+        text = str(x)
+        return bool(self._dense) and set(_TMP.findall(text)) <= self._dense and not re.search(r"[A-Za-z/%]", _TMP.sub("", text.removeprefix("Column<'")))
+
+    def _carried(self, x: Column, seg: Column, dense: bool) -> Column:
+        """The last value of x so far.  Rows stay in the order of segments in which their running sums left them, so nothing is sorted again.
+
+        In blocked mode a block starts from the last value of all rows through the first cell of its margin, a table of one row per (key, cell).
+        A mean of a dense column needs no table: the margin has its value.
+        """
+        upto = Window.partitionBy(*self.part).orderBy(seg, ROW).rowsBetween(Window.unboundedPreceding, 0)
+        local = F.last(x, ignorenulls=True).over(upto)
+        if not self.blocked or dense:
+            return self._remember(self.let(local))
+        df = self._flush()
+        mark = f"_c{len(df.columns)}_last"
+        cell = F.floor((F.col(ROW) - 1) / self.cell)
+        last = df.where(OWN).groupBy(*self.keys, cell.alias("_cell")).agg(F.max_by(x, F.when(x.isNotNull(), F.col(ROW))).alias(mark))
+        through = Window.partitionBy(*self.keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
+        first = self.margin if self.margin else 1           # as for running totals: exact values begin after the first cell of the margin
+        at = F.col("_cell") + first
+        carry = last.select(*self.keys, "_cell", F.last(mark, ignorenulls=True).over(through).alias(mark)).where(
+            at % self.cells == 0).select(*self.keys, (at / self.cells).cast("long").alias(BLOCK), mark)
+        self._df = df.join(carry, self.part, "left")
+        settled = F.col(ROW) - 1 >= (F.col(BLOCK) * self.cells - (first - 1)) * self.cell
+        exact = F.last(F.when(settled, x), ignorenulls=True).over(upto)
+        return self._remember(self.let(F.when(settled, F.coalesce(exact, F.col(mark))).otherwise(F.coalesce(local, F.col(mark)))))
+
+    def _remember(self, x: Column) -> Column:
+        self._dense |= set(_TMP.findall(str(x)))
+        return x
 
     @staticmethod
     def ewm_lookback(span: float | None = None, alpha: float | None = None) -> int:

@@ -33,6 +33,27 @@ def test_ewm_carries_its_mean_over_a_long_gap(spark, span):
     np.testing.assert_allclose(got, want, rtol=1e-11)
 
 
+@pytest.mark.parametrize("span", [3, 20])
+def test_ewm_of_blocks_carries_its_mean_over_empty_blocks(spark, span):
+    """Gaps longer than a block and its margin, at the start, in the middle and at the end; a mean of the mean, and one of a difference of means."""
+    pdf = make_bars(3010, symbols=(1, 2))
+    gap = pdf.groupby("symbol").cumcount()
+    pdf.loc[(pdf.symbol == 1) & (gap > 4) & (gap < 3001), "close"] = np.nan
+    pdf.loc[(pdf.symbol == 2) & ((gap < 700) | (gap > 2000)), "close"] = np.nan
+    df = spark.createDataFrame(pdf).withColumn("close", F.nanvl("close", F.lit(None).cast("double"))).repartition(3)
+    got = []
+    for form in ({}, {"block_rows": 256, "lookback": Series.ewm_lookback(span)}):
+        s = Series(df, **form)
+        e = s.ewm(F.col("close"), span)
+        fast = s.ewm(F.col("close"), 2)
+        got.append(ordered(s.frame({"e": e, "twice": s.ewm(e, span), "line": s.ewm(s.let(fast - e), span)}, keep=["symbol", "ts"])))
+    for k, g in pdf.groupby("symbol"):
+        mine = got[1][got[1].symbol == k]
+        np.testing.assert_allclose(mine["e"], g["close"].ewm(span=span).mean().ffill(), rtol=1e-9)
+        assert mine["e"].isna().sum() == (700 if k == 2 else 0)
+    pd.testing.assert_frame_equal(*got, rtol=1e-9, atol=1e-9)
+
+
 SLOW_DECAY = {"KAMA": 10_000}          # memory of the slowest gain, in rows
 
 
