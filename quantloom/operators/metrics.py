@@ -305,6 +305,26 @@ def shrunk_asset_covariance(cov: DataFrame, pairs: DataFrame, share=0.1, portfol
     return c.join(own, portfolio).select(portfolio, "i", "j", s.alias("cov"))
 
 
+def robust_asset_covariance(returns: DataFrame, weights: DataFrame, pairs: DataFrame | None = None, threshold: float = 2.0, portfolio="portfolio") -> DataFrame:
+    """(portfolio, i, j, n, cov) of the held (or the requested) pairs i <= j: sum(w x_i x_j) / sum(w) over the days that both have.
+
+    x is the return around the asset's lower median.  A day's weight w in a portfolio is min(1, threshold / norm) with the norm of all its assets' x of that day; an asset
+    without a return adds nothing to a day's norm, so gaps are the portfolio's own.  Where no day is missing, this is the Huber-weighted estimate of the whole matrix.
+    Everything is long: a median per asset, a weight per portfolio and day, sums per pair; nothing is pivoted.  Null returns are left out, repeated holdings count once.
+    """
+    held = weights.select(F.col(portfolio).alias("_p"), "symbol").distinct()
+    r = returns.where(F.col(R).isNotNull()).join(held.select("symbol").distinct(), "symbol", "left_semi").select("symbol", "ts", F.col(R).alias("_r"))
+    middle = r.groupBy("symbol").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY _r)").alias("_m"))
+    x = r.join(middle, "symbol").select("symbol", "ts", (F.col("_r") - F.col("_m")).alias("_x"))
+    norm = F.sqrt(F.sum(F.col("_x") * F.col("_x")))
+    days = held.join(x, "symbol").groupBy("_p", "ts").agg(F.when(norm > threshold, threshold / norm).otherwise(1.0).alias("_w"))
+    asked = (held_pairs(weights, portfolio) if pairs is None else pairs.select(portfolio, "i", "j").distinct()).withColumnRenamed(portfolio, "_p")
+    a, b = (x.select(F.col("symbol").alias(s), "ts", F.col("_x").alias(f"_{s}")) for s in ("i", "j"))
+    d = asked.join(a, "i").join(b, ["j", "ts"]).join(days, ["_p", "ts"])
+    w = F.col("_w")
+    return d.groupBy("_p", "i", "j").agg(F.count(F.lit(1)).alias("n"), div(F.sum(w * F.col("_i") * F.col("_j")), F.sum(w)).alias("cov")).withColumnRenamed("_p", portfolio)
+
+
 def shrunk_covariance(cov: DataFrame, share=0.1) -> DataFrame:
     """(1-share) S + share (trace S / n) I over rows (i, j, cov)."""
     diag = cov.where("i = j").agg(F.avg("cov").alias("_t"))            # one row

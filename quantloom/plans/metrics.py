@@ -9,6 +9,7 @@ from quantloom.plans import query
 from quantloom.plans.kit import (ASSET, FACTORS, MARKET, META, B, O, U, W, dv, lag, pick, result, rnd, roll, rounded,
                                  steps, with_)
 from quantloom.plans.rolling import ASSET_MARKET, asset_market
+from quantloom.session import checkpointed
 from quantloom.sources import tables as T
 
 SYM = ("symbol",)
@@ -149,9 +150,15 @@ AC = ("hp AS (SELECT a.portfolio, a.symbol AS i, b.symbol AS j FROM sw a JOIN sw
       "ac AS (SELECT i, j, count(*) AS n, covar_samp(x.ret, y.ret) AS cov, corr(x.ret, y.ret) AS corr FROM (SELECT DISTINCT i, j FROM hp) JOIN asset x ON x.symbol = i JOIN asset y ON y.symbol = j AND y.ts = x.ts GROUP BY 1, 2)")
 
 
+def stored_held(spark, sf_dir):
+    """Returns and weights, stored once: every step of the covariances reads both."""
+    return checkpointed(T.asset_returns(spark, sf_dir)), checkpointed(sector_portfolios(spark, sf_dir))
+
+
 def covariance_of_held(spark, sf_dir):
-    pairs = M.held_pairs(sector_portfolios(spark, sf_dir))
-    return M.asset_covariance(T.asset_returns(spark, sf_dir), pairs), pairs
+    returns, weights = stored_held(spark, sf_dir)
+    pairs = M.held_pairs(weights)
+    return M.asset_covariance(returns, pairs), pairs
 
 
 simple("asset_covariance", with_(META, ASSET, SECTOR_W, *AC, body=pick(["cov", "corr"], 7, keys=("i", "j", "n"), ts=None, source="ac")), ["cov", "corr"], 7,
@@ -162,6 +169,13 @@ simple("shrunk_asset_covariance", with_(META, ASSET, SECTOR_W, *AC, """f AS (SEL
     body=pick(["cov"], 7, keys=("portfolio", "i", "j"), ts=None, source="f")), ["cov"], 7, lambda s, d: M.shrunk_asset_covariance(*covariance_of_held(s, d)), ("portfolio", "i", "j"))
 
 
+THRESHOLD = 0.08        # some days of every sector lie beyond it
+simple("robust_asset_covariance", with_(META, ASSET, SECTOR_W, AC[0], "cx AS (SELECT symbol, ts, ret - quantile_disc(ret, 0.5) OVER (PARTITION BY symbol) AS x FROM asset)",
+    f"dw AS (SELECT portfolio, ts, CASE WHEN sqrt(sum(x * x)) > {THRESHOLD} THEN {THRESHOLD} / sqrt(sum(x * x)) ELSE 1 END AS w FROM cx JOIN (SELECT DISTINCT portfolio, symbol FROM sw) USING (symbol) GROUP BY 1, 2)",
+    "f AS (SELECT hp.portfolio, i, j, count(*) AS n, sum(w * a.x * b.x) / sum(w) AS cov FROM hp JOIN cx a ON a.symbol = i JOIN cx b ON b.symbol = j AND b.ts = a.ts JOIN dw ON dw.portfolio = hp.portfolio AND dw.ts = a.ts GROUP BY 1, 2, 3)",
+    body=pick(["cov"], 8, keys=("portfolio", "i", "j", "n"), ts=None, source="f")), ["cov"], 8, lambda s, d: M.robust_asset_covariance(*stored_held(s, d), threshold=THRESHOLD), ("portfolio", "i", "j", "n"))
+
+
 @query("weighted_portfolio_returns", with_(ASSET, META, SECTOR_W, "f AS (SELECT portfolio, ts, sum(w * ret) / nullif(sum(w), 0) AS ret FROM asset JOIN sw USING (symbol) GROUP BY 1, 2)",
     body=pick(["ret"], keys=("portfolio",), source="f")))
 def weighted_portfolio_returns(spark, sf_dir):

@@ -154,6 +154,30 @@ def test_covariance_of_held_pairs(spark):
     assert shrunk[1, 1] == pytest.approx(.9 * want.loc[1, 1] + .1 * mean) and shrunk[1, 2] == pytest.approx(.9 * want.loc[1, 2])
 
 
+def test_robust_covariance_over_assets(spark):
+    """The whole matrix where no day is missing, gaps counted by portfolio otherwise."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_t(2, (60, 4)) * [1, 2, .5, 1]
+    long = [(k, d, float(x[d, k])) for k in range(4) for d in range(60)]
+    weights = spark.createDataFrame([("p", 0, .2), ("p", 1, .3), ("p", 2, .5), ("p", 2, .5), ("q", 3, 1.0)], "portfolio string, symbol int, w double")
+    df = spark.createDataFrame(long + [(0, 99, None), (7, 1, 5.0)], "symbol int, ts int, ret double").repartition(4)
+    got = {(r.portfolio, r.i, r.j): r for r in M.robust_asset_covariance(df, weights).collect()}
+    assert sorted(got) == [("p", i, j) for i in range(3) for j in range(i, 3)] + [("q", 3, 3)]
+    for name, held in (("p", [0, 1, 2]), ("q", [3])):
+        c = x[:, held] - np.sort(x[:, held], axis=0)[29]                          # the lower median of 60
+        w = np.minimum(1, 2 / np.linalg.norm(c, axis=1))
+        want = (c * w[:, None]).T @ c / w.sum()
+        for a, i in enumerate(held):
+            for b, j in enumerate(held[a:], a):
+                assert got[name, i, j]["cov"] == pytest.approx(want[a, b]) and got[name, i, j].n == 60
+    gaps = {(r.i, r.j): r for r in M.robust_asset_covariance(df.where("NOT (symbol = 1 AND ts >= 40)"), weights, spark.createDataFrame([("p", 0, 1), ("p", 0, 1)], "portfolio string, i int, j int")).collect()}
+    c0, c1 = x[:, 0] - np.sort(x[:, 0])[29], x[:40, 1] - np.sort(x[:40, 1])[19]
+    c2 = x[:, 2] - np.sort(x[:, 2])[29]
+    w = np.minimum(1, 2 / np.sqrt(c0[:40] ** 2 + c1 ** 2 + c2[:40] ** 2))
+    assert list(gaps) == [(0, 1)] and gaps[0, 1].n == 40 and gaps[0, 1]["cov"] == pytest.approx((w * c0[:40] * c1).sum() / w.sum())
+    assert M.robust_asset_covariance(df.limit(0), weights).collect() == []
+
+
 def test_student_var_has_a_normal_limit(spark):
     flat = np.tile([-1.0, 1.0], 60)                          # negative excess kurtosis
     wild = np.random.default_rng(5).standard_t(5, 250)
