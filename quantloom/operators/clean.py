@@ -164,24 +164,103 @@ def nearest_rows_fill(df: DataFrame, columns, k: int = 5, key="symbol", ts="ts")
     return filled.select(*[F.nanvl(c, F.lit(None).cast("double")).alias(c) if c in columns else c for c in df.columns])
 
 
-def regression_fill(df: DataFrame, columns, rounds: int = 10, ridge: float = 1e-3) -> DataFrame:
-    """Round-robin: each column is predicted from the others, starting from column means (approximate)."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
+def pattern_grams(df: DataFrame, columns: list[str], means: list[float]) -> DataFrame:
+    """(pattern, gram): for each pattern of gaps the products of (1, values around the means) summed over its rows, gaps as zeros, row by row in one array.
+
+    `pattern` has bit k set where column k is missing.  One pass, combined map-side: as many rows as there are patterns, at most 2^columns.
+    """
+    z = [F.lit(1.0)] + [F.coalesce(F.col(c).cast("double") - m, F.lit(0.0)) for c, m in zip(columns, means)]
+    pattern = F.lit(0).cast("long")
+    for k, c in enumerate(columns):
+        pattern = pattern + F.when(F.col(c).isNull(), 1 << k).otherwise(0)
+    d = len(z)
+    rows = df.select(pattern.alias("pattern"), *[e.alias(f"_z{i}") for i, e in enumerate(z)])
+    sums = rows.groupBy("pattern").agg(*[F.sum(F.col(f"_z{i}") * F.col(f"_z{j}")).alias(f"_g{i}_{j}") for i in range(d) for j in range(i, d)])
+    return sums.select("pattern", F.array(*[f"_g{min(i, j)}_{max(i, j)}" for i in range(d) for j in range(d)]).alias("gram"))
+
+
+def completion(pattern: int, d: int, steps: list[tuple[int, np.ndarray]]) -> np.ndarray:
+    """What a row of the pattern is after the steps, as a matrix on its known (1, values): a step sets column k, if missing, to its coefficients times the row."""
+    a = np.eye(d + 1)
+    for k in range(d):
+        if pattern >> k & 1:
+            a[k + 1] = 0                                    # the start: the column's mean, around which values are taken
+    for k, coefficients in steps:
+        if pattern >> k & 1:
+            a[k + 1] = coefficients @ a
+    return a
+
+
+def regression_fill(df: DataFrame, columns, rounds: int = 10, ridge: float = 1e-3, tolerance: float = 0.0) -> DataFrame:
+    """Round-robin imputation: starting from column means, each column's gaps are predicted by a linear fit on the others as they stand, over the rows that have it.
+
+    A fit takes (C + ridge diag C) b = q of the others' covariances C, so units don't matter.  As every fill is linear, a row's filled columns are a fixed matrix of its known ones
+    for each pattern of gaps.  So the rows are read once for the products of each pattern and once to be filled; what the rounds work on are these products, and the result is that of
+    fitting row by row, column after column.  A round that moves no coefficient by more than `tolerance` ends the rounds.  A column without any value stays null and helps nowhere; a
+    row without any value gets what the means lead to.  Up to 12 columns the products (4,096 patterns at most) are worked on by the driver, beyond by a job for each fit.
+    """
     columns = list(columns)
-    means = df.agg(*[F.avg(c).alias(c) for c in columns]).first()
-    work = df.select("*", *[F.col(c).isNull().alias(f"_gap_{c}") for c in columns]).fillna(
-        {c: means[c] for c in columns if means[c] is not None})
+    found = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{k}") for k, c in enumerate(columns)]).first()       # one row
+    columns = [c for k, c in enumerate(columns) if found[k] is not None]
+    means = [m for m in found if m is not None]
+    d = len(columns)
+    if d < 2:
+        return df.fillna(dict(zip(columns, means)))
+    table = checkpointed(pattern_grams(df, columns, means))
+    local = [(r.pattern, np.array(r.gram).reshape(d + 1, d + 1)) for r in table.collect()] if d <= 12 else None
+
+    def total(rows, k, steps):
+        g = np.zeros((d + 1, d + 1))
+        for pattern, gram in rows:
+            if not pattern >> k & 1:
+                a = completion(pattern, d, steps)
+                g += a @ gram @ a.T
+        return g
+
+    def gram_of(k, steps):
+        """Products of the completed rows that have column k."""
+        if local is not None:
+            return total(local, k, steps)
+
+        def run(frames):
+            for f in frames:
+                yield pd.DataFrame({"at": np.arange((d + 1) ** 2), "v": total(((p, np.array(g).reshape(d + 1, d + 1)) for p, g in zip(f["pattern"], f["gram"])), k, steps).ravel()})
+        sums = table.mapInPandas(run, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toPandas()      # (columns + 1)^2 numbers
+        g = np.zeros((d + 1) ** 2)
+        g[sums["at"]] = sums["v"]
+        return g.reshape(d + 1, d + 1)
+
+    steps, before = [], None
     for _ in range(rounds):
-        for c in columns:
-            others = [o for o in columns if o != c]
-            va = VectorAssembler(inputCols=others, outputCol="_x")
-            lr = LinearRegression(featuresCol="_x", labelCol=c, predictionCol="_p", regParam=ridge, solver="normal")
-            model = lr.fit(va.transform(work.where(~F.col(f"_gap_{c}"))))
-            work = (model.transform(va.transform(work))
-                    .withColumn(c, F.when(F.col(f"_gap_{c}"), F.col("_p")).otherwise(F.col(c))).drop("_x", "_p"))
-        work = checkpointed(work)
-    return work.select(*df.columns)
+        now = []
+        for k in range(d):
+            g = gram_of(k, steps)
+            others = [i for i in range(1, d + 1) if i != k + 1]
+            n, mean = g[0, 0], g[0] / g[0, 0]
+            cov = g / n - np.outer(mean, mean)
+            c, q = cov[np.ix_(others, others)], cov[others, k + 1]
+            slopes = np.linalg.lstsq(c + ridge * np.diag(np.diag(c)), q, rcond=1e-12)[0]
+            coefficients = np.zeros(d + 1)
+            coefficients[others] = slopes
+            coefficients[0] = mean[k + 1] - mean[others] @ slopes
+            steps.append((k, coefficients))
+            now.append(coefficients)
+        if before is not None and np.abs(np.array(now) - np.array(before)).max() <= tolerance:
+            break
+        before = now
+
+    def compose(frames):
+        for f in frames:
+            yield pd.DataFrame({"pattern": f["pattern"], "fill": [completion(p, d, steps)[1:].tolist() for p in f["pattern"]]})
+    fills = table.select("pattern").mapInPandas(compose, "pattern long, fill array<array<double>>").withColumnRenamed("pattern", "_pattern")
+    pattern = F.lit(0).cast("long")
+    for k, c in enumerate(columns):
+        pattern = pattern + F.when(F.col(c).isNull(), 1 << k).otherwise(0)
+    known = F.array(F.lit(1.0), *[F.coalesce(F.col(c).cast("double") - m, F.lit(0.0)) for c, m in zip(columns, means)])
+    out = df.withColumns({"_gaps": pattern, "_known": known}).join(fills, F.col("_gaps") == F.col("_pattern"))
+    value = lambda k: F.aggregate(F.zip_with(F.get("fill", k), "_known", lambda u, v: u * v), F.lit(means[k]), lambda s, v: s + v)
+    filled = {c: F.when(F.col(c).isNull(), value(k).cast(df.schema[c].dataType)).otherwise(F.col(c)) for k, c in enumerate(columns)}
+    return out.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in df.columns])
 
 
 def quantile_trim(df: DataFrame, columns, low=0.01, high=0.99, keys=("symbol",)) -> DataFrame:

@@ -93,11 +93,41 @@ def fill_nearest_rows(spark, sf_dir):
     return result(CL.nearest_rows_fill(gappy(spark, sf_dir), ["open", "x", "volume"]), ["x"], 4)
 
 
-@query("fill_regression")
+RIDGE = 0.001
+
+
+@query("fill_regression", with_(DAILY, GAPPY, f"""m AS (SELECT var_pop(open) * {1 + RIDGE} AS a, covar_pop(open, volume) AS b, var_pop(volume) * {1 + RIDGE} AS c, covar_pop(open, x) AS p, covar_pop(volume, x) AS q,
+  avg(x) AS mx, avg(open) AS mo, avg(volume) AS mv FROM gappy WHERE x IS NOT NULL)""",
+    "f AS (SELECT symbol, ts, coalesce(x, mx + (c * p - b * q) / (a * c - b * b) * (open - mo) + (a * q - b * p) / (a * c - b * b) * (volume - mv)) AS x FROM gappy, m)", body=pick(["x"], 4, source="f")))
 def fill_regression(spark, sf_dir):
     return result(CL.regression_fill(gappy(spark, sf_dir), ["open", "x", "volume"], rounds=2), ["x"], 4)
 
 
+def two_gaps(spark, sf_dir):
+    """Opens and their logarithms, either or both missing by day and volume."""
+    d = T.daily_bars(spark, sf_dir)
+    day = F.unix_date(F.col("ts").cast("date"))
+    return d.select("symbol", "ts", F.when((day + F.col("symbol")) % 5 != 0, F.col("open") / 100).alias("u"), F.when((day + 2 * F.col("volume").cast("long")) % 7 != 0, F.ln("open")).alias("v"))
+
+
+def alternating(rounds: int) -> str:
+    """Fills of u from v and of v from u, in turn, from the columns' means."""
+    day = "date_diff('day', TIMESTAMP '1970-01-01', ts)"
+    out = [f"g AS (SELECT symbol, ts, CASE WHEN ({day} + symbol) % 5 <> 0 THEN open / 100 END AS u, CASE WHEN ({day} + 2 * CAST(volume AS BIGINT)) % 7 <> 0 THEN ln(open) END AS v FROM daily)",
+           "w0 AS MATERIALIZED (SELECT *, coalesce(u, avg(u) OVER ()) AS fu, coalesce(v, avg(v) OVER ()) AS fv FROM g)"]
+    for k in range(rounds):
+        for at, (y, x) in enumerate((("u", "v"), ("v", "u"))):
+            n = 2 * k + at
+            out.append(f"k{n} AS (SELECT covar_pop(f{x}, {y}) / (var_pop(f{x}) * {1 + RIDGE}) AS b, avg({y}) AS my, avg(f{x}) AS mx FROM w{n} WHERE {y} IS NOT NULL)")
+            out.append(f"w{n + 1} AS MATERIALIZED (SELECT symbol, ts, u, v, {f'coalesce(u, my + b * (fv - mx)) AS fu, fv' if y == 'u' else 'fu, coalesce(v, my + b * (fu - mx)) AS fv'} FROM w{n}, k{n})")
+    return ",\n".join([*out, f"f AS (SELECT symbol, ts, fu AS u, fv AS v FROM w{2 * rounds})"])
+
+
+@query("fill_regression_rounds", with_(DAILY, alternating(3), body=pick(["u", "v"], 6, source="f")))
+def fill_regression_rounds(spark, sf_dir):
+    return result(CL.regression_fill(two_gaps(spark, sf_dir), ["u", "v"], rounds=3), ["u", "v"], 6)
+
+
 @query("clean_prices", with_(DAILY, GAPPY,
     f"f AS (SELECT symbol, ts, open, coalesce(last_value(x IGNORE NULLS) OVER {PREV}, first_value(x IGNORE NULLS) OVER {NEXT}) AS x FROM gappy)",
     "b1 AS (SELECT symbol, quantile_cont(x, 0.01) AS lo, quantile_cont(x, 0.99) AS hi FROM f GROUP BY symbol)",
