@@ -147,6 +147,36 @@ def user_aggregate(spark, sf_dir):
     return result(T.asset_returns(spark, sf_dir).groupBy("symbol").agg(rms("ret").alias("rms")), ["rms"], 6, ts=None)
 
 
+class TickSpread(US.Aggregate):
+    """Deviation of prices weighted by quantity, from mergeable weights, means and squared deviations."""
+
+    def start(self):
+        return 0.0, 0.0, 0.0
+
+    def add(self, state, rows):
+        w, x = rows["quantity"].to_numpy(float), rows["price"].to_numpy(float)
+        total = w.sum()
+        mean = (w * x).sum() / total
+        return self.merge(state, (total, mean, (w * (x - mean) ** 2).sum()))
+
+    def merge(self, a, b):
+        total = a[0] + b[0]
+        if not total:
+            return a
+        return total, (a[0] * a[1] + b[0] * b[1]) / total, a[2] + b[2] + (a[1] - b[1]) ** 2 * a[0] * b[0] / total
+
+    def finish(self, state):
+        return (state[2] / state[0]) ** 0.5 if state[0] else None
+
+
+@query("user_partial_aggregate", with_("t AS (SELECT l_suppkey AS symbol, l_returnflag AS flag, l_quantity AS q, l_extendedprice / l_quantity AS p FROM lineitem)",
+    "m AS (SELECT *, sum(q * p) OVER (PARTITION BY symbol, flag) / sum(q) OVER (PARTITION BY symbol, flag) AS m FROM t)", "f AS (SELECT symbol, flag, sqrt(sum(q * (p - m) * (p - m)) / sum(q)) AS spread FROM m GROUP BY 1, 2)",
+    body=pick(["spread"], 4, keys=("symbol", "flag"), ts=None, source="f")))
+def user_partial_aggregate(spark, sf_dir):
+    ticks = T.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("symbol"), F.col("l_returnflag").alias("flag"), F.col("l_quantity").alias("quantity"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
+    return result(US.partial_aggregate(ticks, ["symbol", "flag"], ["quantity", "price"], TickSpread(), "spread"), ["spread"], 4, keys=("symbol", "flag"), ts=None)
+
+
 @query("parameter_search", with_(ASSET, "f AS (SELECT unnest([0.0, 0.01, 0.02]) AS level, symbol, ret FROM asset)", "g AS (SELECT level, symbol, CASE WHEN level = 0.02 THEN NULL ELSE avg(ret) - level END AS score FROM f GROUP BY 1, 2)", "h AS (SELECT level::DOUBLE AS level, symbol, coalesce(score, -1e9) AS score FROM g)",
     body=pick(["level", "score"], 6, ts=None, source="h")))
 def parameter_search(spark, sf_dir):
