@@ -16,7 +16,7 @@ from quantloom.llm.line_dedup import drop_boilerplate
 from quantloom.llm.quality import fit_quality, score_quality
 from quantloom.llm.secret_scan import BASE as SECRETS, MORE, count_of, joined, scan_secrets
 from quantloom.llm.sentencepiece_bpe import round_trip
-from quantloom.llm.sharding import assign_shards
+from quantloom.llm.sharding import assign_shards, limit_for
 from quantloom.llm.simhash import near_duplicates
 from quantloom.llm.toxicity import fit_toxicity, score_toxicity
 from quantloom.llm.vector_codes import compress
@@ -24,7 +24,7 @@ from quantloom.llm.whitening import whiten
 from quantloom.session import shared_base
 
 MODEL = "piece_bpe_32k.model"
-SHARD_BYTES = 64 << 20
+SHARDS = 64
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,9 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assign_shards(table(spark, sf_dir, "documents"), limit=SHARD_BYTES)
+    """The shard of every document, at the limit that cuts the table into some `SHARDS` of them."""
+    docs = table(spark, sf_dir, "documents")
+    return assign_shards(docs, limit=limit_for(docs, SHARDS))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,12 +148,13 @@ FROM docs d LEFT JOIN based b ON b.doc_id = d.doc_id LEFT JOIN owned o ON o.doc_
 """
 
 OP5_SQL = f"""
-WITH docs AS (SELECT doc_id, strlen(coalesce(text, '')) AS n,
+WITH most AS (SELECT greatest(1, sum(strlen(coalesce(text, ''))) // {SHARDS}) AS bytes FROM documents),
+docs AS (SELECT doc_id, strlen(coalesce(text, '')) AS n,
                      lpad(bin(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT)), 60, '0') AS bits FROM documents),
 levels AS (SELECT *, unnest(range(0, 41)) AS depth FROM docs),
 sums AS (SELECT depth, substr(bits, 1, depth) AS shard, sum(n) AS bytes, count(*) AS members FROM levels GROUP BY ALL),
 leaf AS (SELECT l.doc_id, l.n, s.*, row_number() OVER (PARTITION BY l.doc_id ORDER BY s.depth) AS k
-         FROM levels l JOIN sums s ON s.depth = l.depth AND s.shard = substr(l.bits, 1, l.depth) WHERE s.bytes <= {SHARD_BYTES} OR s.members = 1)
+         FROM levels l JOIN sums s ON s.depth = l.depth AND s.shard = substr(l.bits, 1, l.depth) CROSS JOIN most m WHERE s.bytes <= m.bytes OR s.members = 1)
 SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, shard, CAST(depth AS INTEGER) AS depth, members AS shard_docs, CAST(bytes AS BIGINT) AS shard_bytes FROM leaf WHERE k = 1
 """
 

@@ -338,6 +338,38 @@ def test_shards(docs, odd, empty, spark):
     assert sharding.assign_shards(empty).count() == 0
 
 
+def test_query_cuts_the_table_into_shards(spark, docs):
+    rows = Q.op5_sharding(spark, SF).collect()
+    limit = sharding.limit_for(docs, Q.SHARDS)
+    assert len({r.shard for r in rows}) > Q.SHARDS / 2 and len(rows) == docs.count()
+    assert all(r.shard_bytes <= limit or r.shard_docs == 1 for r in rows)
+
+
+def test_written_shards_hold_every_row_once(spark, docs, odd, tmp_path):
+    for n, (df, counted, limit) in enumerate(((docs, None, 40_000), (docs, ["text", "source"], 30_000), (odd, ["text"], 60_000), (odd.limit(0), None, 10))):
+        folder = str(tmp_path / str(n))
+        shards = {r.shard: r for r in sharding.write_shards(df, folder, counted=counted, limit=limit).collect()}
+        if not shards:
+            assert df.count() == 0
+            continue
+        back = spark.read.parquet(folder)
+        assert back.drop("shard").columns == df.columns
+        key = lambda r: repr(tuple(r))
+        assert sorted(map(key, back.drop("shard").collect())) == sorted(map(key, df.collect()))
+        sizes = {}
+        for r in back.collect():
+            bytes_ = sum(len((json.dumps(v, separators=(",", ":")) if isinstance(v, list) else str(v)).encode()) for c, v in r.asDict().items() if c != "shard" and v is not None and c in (counted or ["doc_id", "text", "lang", "source", "n_chars"]))
+            sizes.setdefault(r.shard, []).append(bytes_)
+        assert {k: len(v) for k, v in sizes.items()} == {k: r.shard_docs for k, r in shards.items()}
+        if df is docs or counted:
+            assert {k: sum(v) for k, v in sizes.items()} == {k: r.shard_bytes for k, r in shards.items()}
+        assert all(r.shard_bytes <= limit or r.shard_docs == 1 for r in shards.values()) and len(shards) > 1
+        files = [f for f in tmp_path.glob(f"{n}/shard=*/*.parquet")]
+        assert len(files) == len(shards)
+    with pytest.raises(ValueError):
+        sharding.write_shards(docs.withColumnRenamed("lang", "shard"), str(tmp_path / "x"))
+
+
 # classifiers
 
 def held_out_accuracy(spark, query, label, modulus, rest):
