@@ -44,7 +44,9 @@ def _powers(n: int) -> list[np.ndarray]:
     """FACTOR^i and FACTOR^-i modulo 2^64 for i < n at least."""
     if len(_POWERS[0]) < n:
         for k, f in enumerate((FACTOR, INVERSE)):
-            _POWERS[k] = np.cumprod(np.array([1] + [f] * (2 * n), np.uint64), dtype=np.uint64)
+            _POWERS[k] = np.full(1 << (n - 1).bit_length(), f, np.uint64)
+            _POWERS[k][0] = 1
+            np.cumprod(_POWERS[k], out=_POWERS[k])
     return _POWERS
 
 
@@ -65,7 +67,7 @@ def buckets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (code >> np.uint64(48)).astype(np.int64), np.diff(np.searchsorted(first, starts))
 
 
-def in_chunks(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+def in_chunks(column: pa.Array, size: int = 1 << 18) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
     """Texts of about `size` bytes at a time (one text at least), their words' buckets and their numbers of words."""
     part, held = [], 0
     for t in column.cast(pa.binary()).to_pylist():
