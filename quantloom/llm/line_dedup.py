@@ -12,8 +12,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from quantloom.llm.common import pick_columns
 
+#: Share of a host's pages beyond which a line is boilerplate: in the gap of the line shares of sf0.1 and check_s (nothing from 0.05 to 0.08).
+RATIO = 0.065
 
-def boilerplate_lines(df: DataFrame, host: str = "source", text: str = "text", ratio: float = 0.1, least_pages: int = 5) -> DataFrame:
+
+def boilerplate_lines(df: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least_pages: int = 5) -> DataFrame:
     """(host, line, pages, ratio) of every boilerplate line.  A line counts once a page; blank lines never count.  A null host is a host of its own,
     written as null.  Below `least_pages` pages a line is no boilerplate: a share of very few pages says nothing."""
     pages = pick_columns(df, host, text).toDF("host", "raw").withColumn("host", F.struct(F.col("host").alias("name")))
@@ -28,7 +31,7 @@ def boilerplate_lines(df: DataFrame, host: str = "source", text: str = "text", r
     return counted.select(F.col("host.name").alias("host"), "line", "pages", (F.col("pages") / F.col("total")).alias("ratio"))
 
 
-def drop_boilerplate(df: DataFrame, host: str = "source", text: str = "text", ratio: float = 0.1, least_pages: int = 5,
+def drop_boilerplate(df: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least_pages: int = 5,
                      dropped: str | None = None) -> DataFrame:
     """All rows and columns of `df`, the text without the boilerplate lines of its host; `dropped` names a column for their number.
 

@@ -12,7 +12,7 @@ from quantloom.llm.decontamination import mark_leaks
 from quantloom.llm.exact_dedup import exact_duplicates
 from quantloom.llm.html_extraction import extract
 from quantloom.llm.licenses import BASE, BASE_GRAM, GRAM, TEMPLATES, gram_rows, scan
-from quantloom.llm.line_dedup import drop_boilerplate
+from quantloom.llm.line_dedup import RATIO, drop_boilerplate
 from quantloom.llm.quality import fit_quality, score_quality
 from quantloom.llm.secret_scan import BASE as SECRETS, MORE, count_of, joined, scan_secrets
 from quantloom.llm.sentencepiece_bpe import round_trip
@@ -28,11 +28,13 @@ SHARDS = 64
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page; null and broken pages give the empty text, repeated rows stay, an empty table gives no rows."""
     pages = pick_columns(table(spark, sf_dir, "pages"), "page_id", "url", "html")
     return extract(pages).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the boilerplate lines of its source; null texts count as empty, repeated rows as pages of their own."""
     docs = pick_columns(table(spark, sf_dir, "documents"), "doc_id", "source", "text")
     out = drop_boilerplate(docs, dropped="n_dropped")
     return out.select("doc_id", "source", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
@@ -48,12 +50,14 @@ def scored(df: DataFrame, modulus: int, held_out: int) -> DataFrame:
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document, null and empty ones too; conflicting labels are not learnt from."""
     docs = pick_columns(table(spark, sf_dir, "documents"), "doc_id", "text", "n_chars")
     model = fit_quality(docs, learnable(table(spark, sf_dir, "labels"), 3, 1))
     return scored(score_quality(docs, model), 3, 1)
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The license labels of every document; null texts have no words, repeated rows stay."""
     return scan(table(spark, sf_dir, "documents"))
 
 
@@ -64,15 +68,18 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that the documents hold, a row for each; null texts and items hold nothing."""
     docs = pick_columns(table(spark, sf_dir, "documents"), "doc_id", "text")
     return mark_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id", F.inline("leaks"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint and component of every document; texts without words have fingerprint zero."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every document and what they decode to, as digests; null texts are empty."""
     docs = pick_columns(table(spark, sf_dir, "documents"), "doc_id", "text")
     out = round_trip(docs, public_tokenizers.path(MODEL))
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
@@ -80,10 +87,12 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of equal texts of every document; null texts are empty, of equal keys all stay that bear the smallest."""
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of every document, null and empty ones too; conflicting labels are not learnt from."""
     docs = pick_columns(table(spark, sf_dir, "documents"), "doc_id", "text")
     model = fit_toxicity(docs, learnable(table(spark, sf_dir, "labels"), 5, 0))
     return scored(score_toxicity(docs, model), 5, 0)
@@ -106,12 +115,12 @@ def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(count_of("found", b).alias(f"n_{b}") for b in base), F.sha2(joined("found", *base), 256).alias("base_sha256"), joined("found").alias("spans"))
 
 
-OP2_SQL = """
+OP2_SQL = f"""
 WITH lines AS (SELECT source, unnest(list_distinct(string_split(coalesce(text, ''), chr(10)))) AS line FROM documents),
 counted AS (SELECT source, line, count(*) AS pages FROM lines WHERE trim(line) <> '' GROUP BY ALL),
 totals AS (SELECT source, count(*) AS total FROM documents GROUP BY source),
 lists AS (SELECT c.source, list(line) AS bad FROM counted c JOIN totals t ON c.source = t.source
-          WHERE pages >= 5 AND pages > total * CAST(0.1 AS DOUBLE) GROUP BY c.source),
+          WHERE pages >= 5 AND pages > total * CAST({RATIO} AS DOUBLE) GROUP BY c.source),
 cut AS (SELECT d.doc_id, d.source, d.text, string_split(d.text, chr(10)) AS parts,
                list_filter(string_split(d.text, chr(10)), lambda x: NOT list_contains(coalesce(l.bad, []), x)) AS kept
         FROM documents d LEFT JOIN lists l ON d.source = l.source),
