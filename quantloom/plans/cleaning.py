@@ -47,13 +47,15 @@ def lagrange(n):
 
 
 def poly_sql(n):
-    """Values by their ordinal: gap after the k-th value uses ordinals k-1, k, k+1 (and k+2)."""
-    joins = " ".join(f"LEFT JOIN v v{i} ON v{i}.symbol = b.symbol AND v{i}.vn = b.k + {i - 1}" for i in range(n))
-    cols = ", ".join(f"v{i}.x AS x{i}, v{i}.rn AS r{i}" for i in range(n))
-    return with_(DAILY, GAPPY, steps("gappy", BEYOND).replace("final AS (", "final AS MATERIALIZED ("),
-                 "v AS MATERIALIZED (SELECT symbol, vn, x, rn FROM final WHERE x IS NOT NULL)",
-                 f"j AS (SELECT b.symbol, b.ts, b.x, b.rn, {cols} FROM final b {joins})",
-                 body=f"SELECT symbol, strftime(ts, '%Y-%m-%d') AS day, {rnd(f'coalesce(x, {lagrange(n)})', 3, 'x')} FROM j")
+    """Each value knows its neighbours, the one before it and the n - 2 after; a gap takes those of the last value before it."""
+    near = ", ".join(f"lag(x) OVER o AS x{i}, lag(rn) OVER o AS r{i}" if i == 0 else f"lead(x, {i - 1}) OVER o AS x{i}, lead(rn, {i - 1}) OVER o AS r{i}" for i in range(n))
+    last = ", ".join(f"last_value(p{k}) OVER u AS {k}" for k in [f"{c}{i}" for i in range(n) for c in "xr"])
+    cols = ", ".join(f"v.{c}{i} AS p{c}{i}" for i in range(n) for c in "xr")
+    return with_(DAILY, GAPPY, "g AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn, count(x) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM gappy)",
+                 f"v AS MATERIALIZED (SELECT symbol, rn, {near} FROM g WHERE x IS NOT NULL WINDOW o AS (PARTITION BY symbol ORDER BY rn))",
+                 f"h AS MATERIALIZED (SELECT g.symbol, g.ts, g.x, g.rn, g.k, {cols} FROM g LEFT JOIN v ON v.symbol = g.symbol AND v.rn = g.rn)",
+                 "j AS MATERIALIZED (SELECT symbol, ts, x, rn, " + last.replace("last_value(", "first_value(") + " FROM h WINDOW u AS (PARTITION BY symbol, k ORDER BY rn))",
+                 f"f AS MATERIALIZED (SELECT symbol, ts, coalesce(x, {lagrange(n)}) AS x FROM j)", body=pick(["x"], 3, source="f"))
 
 
 for _order in (2, 3):

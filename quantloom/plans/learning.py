@@ -162,10 +162,10 @@ def cramer(k):
 
 
 @query("stacked_predictions", with_(*FQ, "fd AS (SELECT *, (symbol + date_diff('day', TIMESTAMP '1970-01-01', ts)) % 5 AS fold FROM fe)",
-    "mo AS (SELECT f, avg(ret) AS my, " + ", ".join([f"avg({x}) AS m{i}, covar_pop({x}, ret) AS y{i}" for i, x in enumerate(THREE, 1)]
+    "mo AS MATERIALIZED (SELECT f, avg(ret) AS my, " + ", ".join([f"avg({x}) AS m{i}, covar_pop({x}, ret) AS y{i}" for i, x in enumerate(THREE, 1)]
         + [f"covar_pop({x}, {y}) AS c{i}{j}" for i, x in enumerate(THREE, 1) for j, y in enumerate(THREE, 1) if i <= j]) + " FROM fd, range(0, 5) t(f) WHERE fold <> f GROUP BY 1)",
-    f"sl AS (SELECT *, {cramer(1)} AS b1, {cramer(2)} AS b2, {cramer(3)} AS b3 FROM mo)",
-    "f AS (SELECT symbol, ts, ret AS y_true, my + " + " + ".join(f"b{i} * ({x} - m{i})" for i, x in enumerate(THREE, 1)) + " AS stacked FROM fd JOIN sl ON f = fold)", body=pick(["y_true", "stacked"], 5, source="f")))
+    f"sl AS MATERIALIZED (SELECT *, {cramer(1)} AS b1, {cramer(2)} AS b2, {cramer(3)} AS b3 FROM mo)",
+    "f AS MATERIALIZED (SELECT symbol, ts, ret AS y_true, my + " + " + ".join(f"b{i} * ({x} - m{i})" for i, x in enumerate(THREE, 1)) + " AS stacked FROM fd JOIN sl ON f = fold)", body=pick(["y_true", "stacked"], 5, source="f")))
 def stacked_predictions(spark, sf_dir):
     fold = (F.col("symbol") + F.datediff("ts", F.lit("1970-01-01").cast("date"))) % 5
     return result(L.stacked_predictions(predictions(spark, sf_dir), ["symbol", "ts"], list(THREE), fold=fold), ["y_true", "stacked"], 5)
