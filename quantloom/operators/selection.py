@@ -122,14 +122,14 @@ def bootstrap_sums(rows: DataFrame, key: list[str], group: list[str], values: li
     return sums.groupBy(*group, "rep").agg(F.sum("n").alias("n"), *[F.sum(v).alias(v) for v in values])
 
 
-def stability_selection(df: DataFrame, features: list[str], target: str, key, k: int, replicates: int = 100, seed=42) -> DataFrame:
-    """How often each feature is among the k best by weighted correlation over Poisson bootstraps."""
+def stability_selection(df: DataFrame, features: list[str], target: str, key, k: int, replicates: int = 100, seed=42, draw=poisson_weights) -> DataFrame:
+    """How often each feature is among the k best by weighted correlation over Poisson bootstraps; `draw` as in `bootstrap_sums`."""
     y = F.col(target)
     products = {"_y": y, "_yy": y * y}
     for c in features:
         products |= {f"_x_{c}": F.col(c), f"_xx_{c}": F.col(c) ** 2, f"_xy_{c}": F.col(c) * y}
     rows = df.dropna(subset=[*features, target]).select(*key, *[v.alias(n) for n, v in products.items()])
-    a = bootstrap_sums(rows, list(key), [], list(products), replicates, seed)
+    a = bootstrap_sums(rows, list(key), [], list(products), replicates, seed, draw)
     n = F.col("n")
     r2 = {}
     for c in features:

@@ -40,7 +40,6 @@ def correlation_filter(spark, sf_dir):
     return SL.correlation_filter(features(spark, sf_dir), FEAT, 0.42)
 
 
-simple("stability_selection", None, ["frequency"], 4, lambda s, d: SL.stability_selection(features(s, d), FEAT, "ret", ["symbol", "ts"], 2), KF)
 simple("forest_importance", None, ["importance"], 6, lambda s, d: SL.forest_importance(features(s, d), FEAT, "ret"), KF)
 simple("correlation_importance", with_(*FQ, "f AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, abs(corr({c}, ret)) AS importance FROM fe" for c in FEAT) + ")", body=pick(["importance"], 6, keys=KF, ts=None, source="f")), ["importance"], 6, lambda s, d: SL.correlation_importance(features(s, d), FEAT, "ret"), KF)
 
@@ -129,7 +128,15 @@ def model_sql(reg):
 
 simple("model_linear", model_sql("0"), CV, 6, lambda s, d: scores_of(s, d, "linear"), ("n",))
 simple("model_ridge", model_sql("20.0 / count(*)"), CV, 6, lambda s, d: scores_of(s, d, "ridge", alpha=20.0), ("n",))
-for _k in ("lasso", "random_forest", "gradient_boosting"):
+LASSO = 0.001       # MLlib's penalty of the absolute slopes
+simple("model_lasso", with_(*FQ, f"ft AS (SELECT avg(ret) AS m, avg(l1) AS m1, avg(m5) AS m2, var_pop(l1) AS a, covar_pop(l1, m5) AS b, var_pop(m5) AS c, covar_pop(l1, ret) AS p, covar_pop(m5, ret) AS q, {LASSO} AS pen FROM fe WHERE year(ts) < 1999)",
+    """pt AS (SELECT *, CASE WHEN s = 0 THEN 0 WHEN t = 0 THEN (p - s * pen) / a ELSE (c * (p - s * pen) - b * (q - t * pen)) / (a * c - b * b) END AS x,
+  CASE WHEN t = 0 THEN 0 WHEN s = 0 THEN (q - t * pen) / c ELSE (a * (q - t * pen) - b * (p - s * pen)) / (a * c - b * b) END AS z FROM ft, (VALUES (-1), (0), (1)) o(s), (VALUES (-1), (0), (1)) r(t))""",
+    "sl AS (SELECT any_value(m) AS m, any_value(m1) AS m1, any_value(m2) AS m2, arg_min(x, obj) AS x, arg_min(z, obj) AS z FROM (SELECT *, (a * x * x + 2 * b * x * z + c * z * z) / 2 - p * x - q * z + pen * (abs(x) + abs(z)) AS obj FROM pt))",
+    "pr AS (SELECT ret AS y, m + x * (l1 - m1) + z * (m5 - m2) AS e FROM fe, sl WHERE year(ts) >= 1999)",
+    "f AS (SELECT count(*) AS n, avg(pow(y - e, 2)) AS mse, avg(abs(y - e)) AS mae, sqrt(avg(pow(y - e, 2))) AS rmse, 1 - avg(pow(y - e, 2)) / var_pop(y) AS r2 FROM pr)", body=pick(CV, 6, keys=("n",), ts=None, source="f")),
+    CV, 6, lambda s, d: scores_of(s, d, "lasso"), ("n",))
+for _k in ("random_forest", "gradient_boosting"):
     simple(f"model_{_k}", None, CV, 6, lambda s, d, k=_k: scores_of(s, d, k), ("n",))
 
 # ---- ensembles --------------------------------------------------------------------------------------------------------------
@@ -299,6 +306,14 @@ def bootstrap_intervals(spark, sf_dir):
     return result(UC.bootstrap_intervals(d, d, ["l1", "m5"], "ret", "key"), SPREAD, 7, keys=("symbol", "n_models"))
 
 
+simple("stability_selection", with_(
+    *FQ, f"ke AS MATERIALIZED (SELECT ret AS y, {', '.join(FEAT)}, CAST(symbol * {ROW_KEY} + date_diff('day', TIMESTAMP '1970-01-01', ts) AS BIGINT) AS key FROM fe)", integer_draws("ke", "key", 100, 42),
+    "su AS MATERIALIZED (SELECT rep, sum(w) AS n, sum(w * y) / sum(w) AS my, sum(w * y * y) / sum(w) AS yy, " + ", ".join(f"sum(w * {c}) / sum(w) AS m{i}, sum(w * {c} * {c}) / sum(w) AS q{i}, sum(w * {c} * y) / sum(w) AS p{i}" for i, c in enumerate(FEAT)) + " FROM dw GROUP BY rep)",
+    "r AS (" + " UNION ALL ".join(f"SELECT rep, '{c}' AS feature, pow(p{i} - m{i} * my, 2) / ((q{i} - m{i} * m{i}) * (yy - my * my)) AS r2 FROM su" for i, c in enumerate(FEAT)) + ")",
+    "f AS (SELECT feature, count(*) / 100.0::DOUBLE AS frequency FROM (SELECT *, row_number() OVER (PARTITION BY rep ORDER BY r2 DESC, feature DESC) AS k FROM r) WHERE k <= 2 GROUP BY 1)",
+    body=pick(["frequency"], 4, keys=KF, ts=None, source="f")), ["frequency"], 4, lambda s, d: SL.stability_selection(keyed_features(s, d), FEAT, "ret", ["key"], 2, draw=SL.integer_weights), KF)
+
+
 @query("forest_intervals")
 def forest_intervals(spark, sf_dir):
     """Spread over the trees of a forest trained on the rows before 1999, for the rows after."""
