@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quantloom.operators import drift as D, learning as L, search as SE, selection as SL, uncertainty as UC
+from quantloom.operators import drift as D, learning as L, neighbours as NE, search as SE, selection as SL, uncertainty as UC
 from quantloom.operators.series import Series
 from quantloom.plans import query
 from quantloom.plans.indicators import RET
@@ -35,6 +35,28 @@ simple("variance_filter", with_(*FQ, "f AS (" + " UNION ALL ".join(f"SELECT '{c}
     ["variance"], 5, lambda s, d: SL.variance_filter(features(s, d).select(*[(F.col(c) * 100).alias(c) for c in FEAT]), FEAT, 3), KF)
 
 
+MARKET_FEAT = ["l1", "l2", "m5"]
+
+
+def market_features(spark, sf_dir):
+    """The market's day and what came before it; a row for each day."""
+    d = T.market_returns(spark, sf_dir).withColumn("symbol", F.lit(0))
+    s = Series(d)
+    return s.frame({"l1": s.lag("bench"), "l2": s.lag("bench", 2), "m5": F.when(s.row > 5, F.round(s.over(F.avg("bench"), -5, -1), 10))}).where("m5 is not null")
+
+
+simple("neighbour_information", with_(MARKET, f"mk AS (SELECT *, 0 AS symbol FROM market)", steps("mk", [("l1", lag("bench")), ("l2", lag("bench", 2)), ("m5", f"CASE WHEN rn > 5 THEN round(avg(bench) OVER {B(-5, -1)}, 10) END")], prefix="x"),
+    "lg AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, rn, {c} AS x, bench AS y FROM xfinal WHERE m5 IS NOT NULL" for c in MARKET_FEAT) + ")",
+    "un AS MATERIALIZED (SELECT feature, rn, (x - avg(x) OVER w) / stddev_pop(x) OVER w AS x, (y - avg(y) OVER w) / stddev_pop(y) OVER w AS y FROM lg WINDOW w AS (PARTITION BY feature))",
+    "kd AS MATERIALIZED (SELECT a.feature, a.rn, min(greatest(abs(a.x - b.x), abs(a.y - b.y)), 3)[3] AS r FROM un a JOIN un b ON a.feature = b.feature AND a.rn <> b.rn GROUP BY 1, 2)",
+    """nn AS (SELECT a.feature, a.rn, count(*) FILTER (CASE WHEN r > 0 THEN abs(a.x - b.x) < r * (1 - 1e-10) ELSE a.x = b.x END) AS nx, count(*) FILTER (CASE WHEN r > 0 THEN abs(a.y - b.y) < r * (1 - 1e-10) ELSE a.y = b.y END) AS ny
+  FROM un a JOIN kd ON kd.feature = a.feature AND kd.rn = a.rn JOIN un b ON a.feature = b.feature AND a.rn <> b.rn GROUP BY 1, 2)""",
+    "hm AS (SELECT 0 AS i, 0.0::DOUBLE AS h UNION ALL SELECT i, sum(1.0::DOUBLE / i) OVER (ORDER BY i) FROM range(1, (SELECT count(*) + 2 FROM market)) t(i))",
+    "f AS (SELECT feature, greatest(0, any_value(hn.h) + 1.5 - 0.5772156649015329 * 2 - avg(hx.h + hy.h - 2 * 0.5772156649015329)) AS mi, count(*) AS n FROM nn JOIN hm hx ON hx.i = nx JOIN hm hy ON hy.i = ny JOIN (SELECT feature AS g, count(*) - 1 AS m FROM un GROUP BY 1) c ON g = feature JOIN hm hn ON hn.i = m GROUP BY 1)",
+    body=pick(["mi"], 6, keys=("feature", "n"), ts=None, source="f")), ["mi"], 6, lambda s, d: NE.neighbour_information(market_features(s, d), MARKET_FEAT, "bench"), ("feature", "n"))
+simple("neighbour_information_assets", None, ["mi"], 6, lambda s, d: NE.neighbour_information(features(s, d), FEAT, "ret"), ("feature", "n"))
+
+
 @query("correlation_filter", with_(*FQ, body="SELECT feature FROM (VALUES ('l1', 1.0::DOUBLE), ('l2', 1.0), ('m5', (SELECT greatest(abs(corr(l1, m5)), abs(corr(l2, m5))) FROM fe)), ('m20', (SELECT greatest(abs(corr(l1, m20)), abs(corr(l2, m20)), abs(corr(m5, m20))) FROM fe))) t(feature, c) WHERE feature IN ('l1', 'l2') OR c <= 0.42"))
 def correlation_filter(spark, sf_dir):
     return SL.correlation_filter(features(spark, sf_dir), FEAT, 0.42)
