@@ -109,22 +109,29 @@ def fill_costs(fills: DataFrame, bars: DataFrame, adv: DataFrame | None = None,
 def daily_values(fills: DataFrame, prices: DataFrame, capital: float) -> DataFrame:
     """(portfolio, ts, cash, holdings, total) on every calendar day from the first to the last fill of a portfolio.
 
-    Fills are netted per day first, so a (portfolio, symbol) series has at most one row per day.
+    A position's value changes on days with a fill or a price; only these days are rows, of which each gives the change to the position's day before.  The changes are added
+    up per portfolio and day, and the calendar is laid out over the portfolios alone.  Prices count from a position's first fill on; until the first one it is worth nothing.
     """
     flow = F.col("qty") * F.col("price") + F.coalesce("cost", F.lit(0.0))       # signed quantity: buying pays
     net = fills.groupBy("portfolio", "symbol", "ts").agg(F.sum("qty").alias("_q"), F.sum(flow).alias("_f"))
-    span = net.groupBy("portfolio").agg(F.max("ts").alias("_to"))
-    first = net.groupBy("portfolio", "symbol").agg(F.min("ts").alias("_from")).join(span, "portfolio")
-    days = first.select("portfolio", "symbol", F.explode(F.sequence(F.col("_from"), F.col("_to"), F.expr("INTERVAL 1 DAY"))).alias("ts"))
-    d = days.join(net, ["portfolio", "symbol", "ts"], "left").join(prices.select("symbol", "ts", "close"), ["symbol", "ts"], "left")
-    s = Series(d, ["portfolio", "symbol"])
-    held = s.running_sum(F.coalesce("_q", F.lit(0.0)))
-    price = F.last("close", ignorenulls=True).over(s.order.rowsBetween(Window.unboundedPreceding, 0))
-    rows = s.frame({"_v": F.coalesce(s.let(held) * s.let(price), F.lit(0.0))})
-    per = rows.groupBy("portfolio", "ts").agg(F.sum("_v").alias("holdings"), F.coalesce(F.sum("_f"), F.lit(0.0)).alias("_f"))
-    p = Series(per, ["portfolio"])
-    cash = p.let(capital - p.running_sum(F.col("_f")))
-    return p.frame({"cash": cash, "total": cash + F.col("holdings")}, keep=["portfolio", "ts", "holdings"])
+    first = net.groupBy("portfolio", "symbol").agg(F.min("ts").alias("_from"), F.max("ts").alias("_last"))
+    span = first.groupBy("portfolio").agg(F.min("_from").alias("_start"), F.max("_last").alias("_to"))
+    bars = first.join(span, "portfolio").join(prices.select("symbol", "ts", "close"), "symbol").where("ts BETWEEN _from AND _to")
+    none = F.lit(None).cast("double")
+    rows = bars.select("portfolio", "symbol", "ts", "close", none.alias("_q"), none.alias("_f")).unionByName(
+        net.select("portfolio", "symbol", "ts", none.alias("close"), F.col("_q").cast("double").alias("_q"), F.col("_f").cast("double").alias("_f")))
+    rows = rows.groupBy("portfolio", "symbol", "ts").agg(F.max("close").alias("close"), F.sum("_q").alias("_q"), F.sum("_f").alias("_f"))
+    s = Series(rows, ["portfolio", "symbol"])
+    held = s.let(s.running_sum(F.coalesce("_q", F.lit(0.0))))
+    price = s.let(F.last("close", ignorenulls=True).over(s.order.rowsBetween(Window.unboundedPreceding, 0)))
+    worth = s.let(F.coalesce(held * price, F.lit(0.0)))
+    change = s.frame({"_d": worth - F.coalesce(s.lag(worth), F.lit(0.0))}, keep=["portfolio", "ts", "_f"])
+    change = change.groupBy("portfolio", "ts").agg(F.sum("_d").alias("_d"), F.sum("_f").alias("_f"))
+    days = span.select("portfolio", F.explode(F.sequence(F.col("_start"), F.col("_to"), F.expr("INTERVAL 1 DAY"))).alias("ts"))
+    p = Series(days.join(change, ["portfolio", "ts"], "left"), ["portfolio"])
+    holdings = p.let(p.running_sum(F.coalesce("_d", F.lit(0.0))))
+    cash = p.let(capital - p.running_sum(F.coalesce("_f", F.lit(0.0))))
+    return p.frame({"holdings": holdings, "cash": cash, "total": cash + holdings}, keep=["portfolio", "ts"]).select("portfolio", "ts", "holdings", "cash", "total")
 
 
 def result_summary(values: DataFrame, trades: DataFrame, capital: float) -> DataFrame:

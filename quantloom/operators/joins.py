@@ -28,34 +28,44 @@ def asof_join(left: DataFrame, right: DataFrame, keys, ts: str, values, directio
               bucket: str = "month") -> DataFrame:
     """Each left row with the right row of its key at the same time, or the nearest one in the given direction.
 
-    `direction` is backward, forward or nearest (ties go forward).  Both sides are reduced to one row per
-    (key, time), then cut into time buckets: inside a bucket a window carries the value, across buckets a table of one
-    row per (key, bucket) does.  A hot key is spread over its buckets, and many left rows at one time cost one row.
+    `direction` is backward, forward or nearest (ties go forward).  Right rows are reduced to one per (key, time), the largest; left rows travel with all their columns, so nothing
+    is joined back.  Rows are cut into time buckets: inside a bucket a window carries the value, across buckets a table of one row per (key, bucket) does, so a hot key is
+    spread over its buckets.  Rows with a null key or time match nothing.  Both sides are read twice.
     """
+    if direction not in ("backward", "forward", "nearest"):
+        raise ValueError(f"unknown direction {direction}")
     keys, values = list(keys), list(values)
+    named = [f"_k{i}" for i in range(len(keys))]
+    head = [*(F.col(k).alias(n) for k, n in zip(keys, named)), F.col(ts).alias("_t")]
     seen = F.struct(F.col(ts).alias("at"), *values)
-    none = F.lit(None).cast(right.select(seen.alias("v")).schema["v"].dataType)
-    both = left.select(*keys, ts, none.alias("_v"), F.lit(True).alias("_point")).unionByName(
-        right.select(*keys, ts, seen.alias("_v"), F.lit(False).alias("_point")))
-    points = both.groupBy(*keys, ts).agg(F.max("_v").alias("_v"), F.max("_point").alias("_point")).withColumn(
-        "_b", F.date_trunc(bucket, F.col(ts)))
-    per = points.groupBy(*keys, "_b").agg(F.min("_v").alias("_first"), F.max("_v").alias("_last"))
-    across = Window.partitionBy(*keys).orderBy("_b")
-    carry = per.select(
-        *keys, "_b", F.last("_last", True).over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_past"),
-        F.first("_first", True).over(across.rowsBetween(1, Window.unboundedFollowing)).alias("_next"))
-    inside = Window.partitionBy(*keys, "_b").orderBy(ts)
-    local = points.select(
-        *keys, ts, "_b", "_point", F.last("_v", True).over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("_back"),
-        F.first("_v", True).over(inside.rowsBetween(0, Window.unboundedFollowing)).alias("_fwd"))
-    j = local.where("_point").join(carry, [*keys, "_b"])
-    back, fwd = F.coalesce("_back", "_past"), F.coalesce("_fwd", "_next")
-    gap = lambda v: F.abs(F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(v["at"].cast("timestamp")))
-    nearest = F.when(back.isNull(), fwd).when(fwd.isNull(), back).when(gap(fwd) <= gap(back), fwd).otherwise(back)
-    hit = {"backward": back, "forward": fwd, "nearest": nearest}[direction]
-    found = j.select(*keys, ts, hit.alias("_hit")).where(F.col("_hit").isNotNull())
-    return left.join(found, [*keys, ts], "left").select(
-        *left.columns, F.col("_hit.at").alias("matched_ts"), *[F.col(f"_hit.{v}").alias(v) for v in values])
+    kind, row = right.select(seen.alias("v")).schema["v"].dataType, F.struct(*left.columns)
+    row_kind = left.select(row.alias("l")).schema["l"].dataType
+    marks = right.where(F.col(ts).isNotNull()).groupBy(*head).agg(F.max(seen).alias("_v"))
+    both = left.select(*head, row.alias("_l"), F.lit(None).cast(kind).alias("_v")).unionByName(marks.withColumn("_l", F.lit(None).cast(row_kind)))
+    both = both.withColumn("_b", F.date_trunc(bucket, F.col("_t")))
+    per = both.groupBy(*named, "_b").agg(F.min("_v").alias("_first"), F.max("_v").alias("_last"))
+    across, upto = Window.partitionBy(*named).orderBy("_b"), (Window.unboundedPreceding, Window.currentRow)
+    found = {}          # each direction is a running value, forward in falling order of time; rows of one time see each other
+    if direction != "forward":
+        found["back"] = (F.last("_last", True).over(across.rowsBetween(Window.unboundedPreceding, -1)),
+                         F.last("_v", True).over(Window.partitionBy(*named, "_b").orderBy("_t").rangeBetween(*upto)))
+    if direction != "backward":
+        found["fwd"] = (F.last("_first", True).over(Window.partitionBy(*named).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)),
+                        F.last("_v", True).over(Window.partitionBy(*named, "_b").orderBy(F.desc("_t")).rangeBetween(*upto)))
+    carry = per.select(*named, "_b", *[far.alias(f"_far_{n}") for n, (far, _) in found.items()])
+    j = both.withColumns({f"_near_{n}": near for n, (_, near) in found.items()}).where("_l IS NOT NULL").join(carry, [*named, "_b"], "left")
+    value = {n: F.coalesce(f"_near_{n}", f"_far_{n}") for n in found}
+    if direction == "nearest":
+        back, fwd = value["back"], value["fwd"]
+        gap = lambda v: F.abs(F.unix_micros(F.col("_t").cast("timestamp")) - F.unix_micros(v["at"].cast("timestamp")))
+        hit = F.when(back.isNull(), fwd).when(fwd.isNull(), back).when(gap(fwd) <= gap(back), fwd).otherwise(back)
+    else:
+        hit, = value.values()
+    known = F.col("_t").isNotNull()
+    for n in named:
+        known = known & F.col(n).isNotNull()
+    return j.select("_l", F.when(known, hit).alias("_hit")).select(
+        *[F.col("_l")[c].alias(c) for c in left.columns], F.col("_hit.at").alias("matched_ts"), *[F.col(f"_hit.{v}").alias(v) for v in values])
 
 
 def adjust_for_actions(bars: DataFrame, actions: DataFrame, inclusive: bool = True, end=None,

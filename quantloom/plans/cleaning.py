@@ -197,9 +197,12 @@ def rule_price_outliers(spark, sf_dir):
     return findings(Q.price_outliers(T.daily_bars(spark, sf_dir)))
 
 
-@query("rule_volume_outliers", outlier_sql("volume_outliers", [("volume", "ln(1 + volume)")], 4.0))
+# every 97th day of a symbol's calendar trades a million times its volume: the given volumes alone have no outlier
+@query("rule_volume_outliers", outlier_sql("volume_outliers", [("volume", "ln(1 + volume)")], 4.0).replace(
+    " FROM daily WINDOW", " FROM (SELECT symbol, CASE WHEN (date_diff('day', TIMESTAMP '1970-01-01', ts) + symbol) % 97 = 0 THEN volume * 1e6 ELSE volume END AS volume FROM daily) WINDOW"))
 def rule_volume_outliers(spark, sf_dir):
-    return findings(Q.volume_outliers(T.daily_bars(spark, sf_dir)))
+    spike = (F.unix_date(F.col("ts").cast("date")) + F.col("symbol")) % 97 == 0
+    return findings(Q.volume_outliers(T.daily_bars(spark, sf_dir).withColumn("volume", F.when(spike, F.col("volume") * 1e6).otherwise(F.col("volume")))))
 
 
 SHAKEN = """sh AS (SELECT symbol, ts, open, CASE WHEN volume % 11 = 0 THEN low ELSE high END AS high,

@@ -107,7 +107,7 @@ simple("stress_sector_impacts", with_(*POS, SCEN_SQL, f"f AS (SELECT portfolio,
 FS = ["pnl", "pnl_percent", "var_95", "var_99"]
 simple("stress_factor_shock", with_(*POS, """f0 AS (SELECT portfolio, 'factor_shock' AS scenario, sum(value) AS b, sum(value * duration) * 0.02 * -0.05 + coalesce(sum(value * CASE sector WHEN 'Technology' THEN -0.15 WHEN 'Energy' THEN 0.05 END), 0) AS pnl FROM pos GROUP BY 1)""",
     "f AS (SELECT portfolio, scenario, pnl, 100 * pnl / b AS pnl_percent, pnl * 1.2 AS var_95, pnl * 1.5 AS var_99 FROM f0)", body=pick(FS, 2, keys=PS, ts=None, source="f")), FS, 2,
-    lambda s, d: (lambda p: S.factor_shock(p, S.sector_exposures(p), 0.02, sector_shocks={"Technology": -0.15, "Energy": 0.05}))(positions(s, d)), PS)
+    lambda s, d: (lambda p: S.factor_shock(p, S.sector_exposures(p), 0.02, sector_shocks={"Technology": -0.15, "Energy": 0.05}))(checkpointed(positions(s, d))), PS)
 SD = ["mean", "sd", "worst", "var_95", "var_99"]
 simple("scenario_distribution", with_(META, ASSET, SECTOR_W, "pr AS (SELECT portfolio, ts, sum(w * ret) / sum(w) AS ret FROM asset JOIN sw USING (symbol) GROUP BY 1, 2)",
     steps("pr", [("h", "CASE WHEN rn >= 10 THEN sum(ret) OVER " + W(10, "portfolio") + " END")], part="portfolio"),

@@ -9,6 +9,7 @@ from quantloom.plans.kit import ASSET, HOLDINGS, META, pick, result, rnd, rounde
 from quantloom.plans.metrics import SECTOR_W, sector_portfolios
 from quantloom.plans.risk import SP, risk_rows, simple
 from quantloom.streaming import bars as SB, monitor as SM
+from quantloom.session import checkpointed
 from quantloom.sources import tables as T
 
 
@@ -69,11 +70,11 @@ def stream_limit_breaches(spark, sf_dir):
     return SB.run_available(SM.limit_breaches(m, limit_table(spark))).select("portfolio", "limit_type", "value", "threshold", "severity")
 
 
-RULES = [("max_weight", 0.25, "medium", True), ("max_sector", 0.9, "high", True), ("leverage", 1.5, "high", True), ("var_95", 0.04, "high", True), ("volatility", 0.3, "medium", True), ("max_drawdown", 0.3, "high", True)]
-VALS = {"max_weight": "mw", "max_sector": "1.0", "leverage": "lv", "var_95": "-var_95", "volatility": "volatility", "max_drawdown": "abs(max_drawdown)"}
-simple("limit_breaches", with_(*SP, "mm AS (SELECT portfolio, max(w) AS mw, sum(abs(w)) AS lv FROM sw GROUP BY 1)", "j AS (SELECT * FROM mm JOIN rk0 USING (portfolio))",
+RULES = [("max_weight", 0.25, "medium", True), ("max_sector", 0.6, "high", True), ("leverage", 1.5, "high", True), ("var_95", 0.04, "high", True), ("volatility", 0.3, "medium", True), ("max_drawdown", 0.3, "high", True)]
+VALS = {"max_weight": "mw", "max_sector": "ms", "leverage": "lv", "var_95": "-var_95", "volatility": "volatility", "max_drawdown": "abs(max_drawdown)"}
+simple("limit_breaches", with_(*SP, "mm AS (SELECT portfolio, max(w) AS mw, sum(abs(w)) AS lv FROM sw GROUP BY 1)", "ms AS (SELECT portfolio, max(s) AS ms FROM (SELECT portfolio, symbol % 3 AS g, sum(w) AS s FROM sw GROUP BY 1, 2) GROUP BY 1)", "j AS (SELECT * FROM mm JOIN ms USING (portfolio) JOIN rk0 USING (portfolio))",
     "f AS (" + " UNION ALL ".join(f"SELECT portfolio, '{n}' AS limit_type, '{s}' AS severity, {VALS[n]} AS value FROM j WHERE {VALS[n]} > {t}" for n, t, s, _ in RULES) + ")", body=pick(["value"], 5, keys=("portfolio", "limit_type", "severity"), ts=None, source="f")), ["value"], 5,
-    lambda s, d: SM.limit_breaches(SM.portfolio_metrics(sector_portfolios(s, d).withColumn("sector", F.col("portfolio")), risk_rows(s, d).withColumn("var_95", -F.col("var_95"))).withColumn("ts", F.lit(None).cast("timestamp")), limit_table(s, RULES)), ("portfolio", "limit_type", "severity"))
+    lambda s, d: SM.limit_breaches(SM.portfolio_metrics(checkpointed(sector_portfolios(s, d)).withColumn("sector", F.col("symbol") % 3), risk_rows(s, d).withColumn("var_95", -F.col("var_95"))).withColumn("ts", F.lit(None).cast("timestamp")), limit_table(s, RULES)), ("portfolio", "limit_type", "severity"))
 
 
 def actions(df):

@@ -32,9 +32,6 @@ def portfolio_metrics(weights: DataFrame, risk: DataFrame) -> DataFrame:
     return j.select("portfolio", F.inline(F.array(*[F.struct(F.lit(n).alias("limit_type"), F.col(n).alias("value")) for n in names])))
 
 
-STATES = {"open": "active", "ack": "acknowledged", "clear": "cleared"}
-
-
 def next_state(state: str, action: str) -> str:
     """open activates, ack marks an active alert, clear ends one; anything else leaves the state."""
     if action == "open":
@@ -44,13 +41,22 @@ def next_state(state: str, action: str) -> str:
     return "cleared" if state in ("active", "acknowledged") else state
 
 
+def state_after(state: str, actions: np.ndarray) -> str:
+    """`next_state` of all actions in turn.  Only what follows the last open counts, so none is replayed: a clear after it decides, else an ack does."""
+    opens = np.flatnonzero(actions == "open")
+    if len(opens):
+        state, actions = "active", actions[opens[-1] + 1:]
+    if state in ("active", "acknowledged") and (actions == "clear").any():
+        return "cleared"
+    return "acknowledged" if state == "active" and (actions == "ack").any() else state
+
+
 def alert_states(actions: DataFrame) -> DataFrame:
     """Streaming state per alert id from (alert, ts, seq, action) rows; emits the state after each batch."""
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         current, seen = state.get if state.exists else ("none", 0)
         rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
-        for action in rows["action"]:
-            current, seen = next_state(current, action), seen + 1
+        current, seen = state_after(current, rows["action"].to_numpy()), seen + len(rows)
         state.update((current, seen))
         yield pd.DataFrame({"alert": [key[0]], "state": [current], "actions": [seen]})
     return actions.groupBy("alert").applyInPandasWithState(

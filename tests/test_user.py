@@ -72,3 +72,16 @@ def test_search_says_why_a_run_failed(spark):
     df = spark.createDataFrame([(1, 2.0), (1, 4.0)], "symbol long, x double")
     got = {r.level: r for r in US.search_parameters(df, "symbol", "level", [1, 2], objective).collect()}
     assert got[1.0].score == 3.0 and got[1.0].error is None and got[2.0].score == float("-inf") and got[2.0].error == "ValueError: too high"
+
+
+def test_state_after_many_actions_is_that_of_each_in_turn():
+    from itertools import product
+
+    from quantloom.streaming.monitor import next_state, state_after
+    for start in ("none", "active", "acknowledged", "cleared"):
+        for n in range(5):
+            for some in product(("open", "ack", "clear"), repeat=n):
+                want = start
+                for a in some:
+                    want = next_state(want, a)
+                assert state_after(start, np.array(some, dtype=object)) == want
