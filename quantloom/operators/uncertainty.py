@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quantloom.functions.linear import dot, solve_symmetric
 from quantloom.functions.scalar import div
@@ -92,13 +92,12 @@ def bootstrap_intervals(train: DataFrame, rows: DataFrame, features: list[str],
 NODE = "struct<id:int,feature:int,threshold:double,left:int,right:int,value:double>"
 
 
-def forest_table(model) -> DataFrame:
+def forest_table(model, spark: SparkSession | None = None) -> DataFrame:
     """(tree, nodes): the trees of a fitted forest of regression trees as sorted arrays of (id, feature, threshold, left, right, value); a leaf has left -1.
 
     The model is written to the shared folder in its public format and read back as a table, so nothing of it passes the driver.
     """
-    from pyspark.sql import SparkSession
-    spark = SparkSession.getActiveSession()
+    spark = spark or SparkSession.builder.getOrCreate()
     folder = f"{shared_base(spark)}/forest-{uuid.uuid4().hex}"
     model.write().overwrite().save(folder)
     n, split = "nodeData", "nodeData.split"
@@ -131,7 +130,7 @@ def forest_intervals(model, rows: DataFrame, features: list[str]) -> DataFrame:
     """
     if not hasattr(model, "trees") or any(w != 1.0 for w in model.treeWeights):
         raise ValueError("a forest that averages its trees is needed")
-    d = tree_outputs(rows, forest_table(model), features, max(t.depth for t in model.trees), "_t").withColumn("_mean", array_mean(F.col("_t")))
+    d = tree_outputs(rows, forest_table(model, rows.sparkSession), features, max(t.depth for t in model.trees), "_t").withColumn("_mean", array_mean(F.col("_t")))
     d = d.withColumn("_sd", array_deviation(F.col("_t"), F.col("_mean")))
     ends = [c for lv, z in Z_LEVELS.items() for c in ((F.col("_mean") - z * F.col("_sd")).alias(f"low_{int(lv * 100)}"), (F.col("_mean") + z * F.col("_sd")).alias(f"high_{int(lv * 100)}"))]
     return d.select(*rows.columns, F.col("_mean").alias("mean"), F.col("_sd").alias("sd"), F.size("_t").alias("n_trees"), *ends)
