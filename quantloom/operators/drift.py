@@ -38,7 +38,7 @@ def ks_test(samples: DataFrame, key="feature", minimum=30, level=0.05) -> DataFr
 def mann_whitney(samples: DataFrame, key="feature", level=0.05) -> DataFrame:
     """U of the baseline, normal approximation with tie and continuity correction, effect 1 - 2U/(nm)."""
     r = average_ranks(samples.dropna(subset=["x"]), [key], "x", _side_counts())
-    t = F.col("a") + F.col("b")
+    t = (F.col("a") + F.col("b")).cast("double")        # the cube of some 2 million ties is beyond a long
     s = r.groupBy(key).agg(F.sum("a").alias("_n"), F.sum("b").alias("_m"), F.sum(F.col("a") * F.col("rank")).alias("_r"), F.sum(t * t * t - t).alias("_t"))
     n, m = F.col("_n").cast("double"), F.col("_m").cast("double")
     u = F.col("_r") - n * (n + 1) / 2

@@ -96,3 +96,28 @@ def test_factor_analysis_reproduces_correlations(spark):
     pdf = pd.DataFrame({c: w * f + math.sqrt(1 - w * w) * rng.normal(size=4000) for c, w in (("a", .9), ("b", .7), ("c", .5))})
     got = factor_analysis(spark.createDataFrame(pdf), ["a", "b", "c"], 1).toPandas().set_index("feature")
     np.testing.assert_allclose(abs(got["loading"].loc[["a", "b", "c"]]), [.9, .7, .5], atol=.05)
+
+
+def test_mann_whitney_of_millions_of_ties(spark):
+    rows = spark.range(2_200_000).select(F.lit("x").alias("feature"), F.when(F.col("id") % 2 == 0, "baseline").otherwise("current").alias("side"),
+                                         F.when(F.col("id") < 10, 2.0).otherwise(1.0).alias("x"))
+    r = drift.mann_whitney(rows).first()
+    assert r.statistic == 1_100_000 ** 2 / 2 and r.effect == 0 and r.p_value == 1
+
+
+def test_ranges_down_to_a_price_of_zero(spark):
+    from quantloom.operators.indicators import compute
+    from quantloom.plans.kit import rounded
+    days = pd.date_range("2020-01-01", periods=40)
+    df = pd.DataFrame({"symbol": 1, "ts": days, "open": 2.0, "high": 4.0, "low": 1.0, "close": 3.0, "volume": 1.0})
+    df.loc[35, "low"] = 0.0
+    for name in ("GarmanKlass", "RogersSatchell", "GarmanKlassTextbook"):
+        out = compute(spark.createDataFrame(df), name).orderBy("ts")
+        last = out.select(rounded(out.columns[-1])).collect()
+        assert [r[0] for r in last[:29]] == [None] * 29 and 0 < last[34][0] < 100 and all(r[0] == math.inf for r in last[35:])
+
+
+def test_rounding_of_numbers_beyond_a_long(spark):
+    from quantloom.plans.kit import rounded
+    df = spark.createDataFrame([(1e20,), (-1e20,), (float("-inf"),), (1.23456789,), (float("nan"),), (None,)], "x double")
+    assert [r[0] for r in df.select(rounded("x")).collect()] == [1e20, -1e20, -math.inf, 1.234568, None, None]
