@@ -20,6 +20,13 @@ def div(a, b) -> Column:
     return F.try_divide(col(a), col(b))
 
 
+def log_ratio(a, b) -> Column:
+    """ln(a / b) that is infinite where one of the two is zero; null where both are or the ratio is negative."""
+    a, b = col(a), col(b)
+    infinite = F.when((a > 0) & (b == 0), float("inf")).when((a == 0) & (b > 0), float("-inf"))
+    return F.coalesce(infinite, F.ln(div(a, b)))
+
+
 def corr_of(x, y, over=None) -> Column:
     """Correlation of complete pairs, null when one side does not vary (`corr` raises an error there)."""
     x, y = col(x), col(y)

@@ -4,7 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from quantloom.functions.scalar import TRADING_DAYS, div
+from quantloom.functions.scalar import TRADING_DAYS, div, log_ratio
 from quantloom.operators.indicators import indicator
 from quantloom.operators.indicators.momentum import HLC, HLCV
 
@@ -60,7 +60,8 @@ def range_volatility(s, term, period, trading_days):
 
 
 def open_close_term(s):
-    return F.ln(div(s.high, s.close)) * F.ln(div(s.high, s.open)) + F.ln(div(s.low, s.close)) * F.ln(div(s.low, s.open))
+    """Infinite where the lowest price is zero: the range of the logarithms has no bound then."""
+    return log_ratio(s.high, s.close) * log_ratio(s.high, s.open) + log_ratio(s.low, s.close) * log_ratio(s.low, s.open)
 
 
 @indicator("GarmanKlass", needs=OHLC, period=30, trading_days=TRADING_DAYS)
@@ -71,7 +72,7 @@ def garman_klass(s, period, trading_days):
 
 @indicator("GarmanKlassTextbook", needs=OHLC, period=30, trading_days=TRADING_DAYS)
 def garman_klass_textbook(s, period, trading_days):
-    term = 0.5 * F.pow(F.ln(div(s.high, s.low)), 2) - (2 * math.log(2) - 1) * F.pow(F.ln(div(s.close, s.open)), 2)
+    term = 0.5 * F.pow(log_ratio(s.high, s.low), 2) - (2 * math.log(2) - 1) * F.pow(log_ratio(s.close, s.open), 2)
     mean = s.roll(F.avg, period, s.let(term))
     return {"garman_klass_textbook": F.sqrt(F.greatest(mean, F.when(mean.isNotNull(), 0.0)) * trading_days)}
 

@@ -19,7 +19,8 @@ GUARD = 0.50071234567
 def rounded(c, digits: int = 6):
     c = F.col(c) if isinstance(c, str) else c
     scale = float(10 ** digits)
-    return F.when(~F.isnan(c), F.floor(c.cast("double") * scale + GUARD) / scale)
+    x = c.cast("double") * scale
+    return F.when(~F.isnan(c), F.when(F.abs(x) < 2.0 ** 53, F.floor(x + GUARD)).otherwise(x) / scale)      # whole from there on, and floor() ends at the largest long
 
 
 def result(df: DataFrame, values, digits=6, keys=("symbol",), ts="ts", base="daily") -> DataFrame:
