@@ -258,8 +258,9 @@ def directional_accuracy(pred: DataFrame, method: str = "returns", keys=("symbol
     elif method == "levels":
         d = pred.select(*keys, F.signum(y).alias("a"), F.signum(p).alias("b"))
     elif method == "changes":
-        m = pred.groupBy(*keys).agg(F.avg(y).alias("_y"), F.avg(p).alias("_p"))
-        d = pred.join(m, list(keys)).select(*keys, F.signum(y - F.col("_y")).alias("a"), F.signum(p - F.col("_p")).alias("b"))
+        # added up in the order of time: the last bit of a mean that a value equals must not depend on the order in which rows arrive
+        whole = Window.partitionBy(*keys).orderBy(ts).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        d = pred.select(*keys, F.signum(y - F.avg(y).over(whole)).alias("a"), F.signum(p - F.avg(p).over(whole)).alias("b"))
     else:
         raise ValueError(f"unknown method {method}")
     hit = F.when(F.col("a") == F.col("b"), 1.0).otherwise(0.0)

@@ -121,3 +121,11 @@ def test_rounding_of_numbers_beyond_a_long(spark):
     from quantloom.plans.kit import rounded
     df = spark.createDataFrame([(1e20,), (-1e20,), (float("-inf"),), (1.23456789,), (float("nan"),), (None,)], "x double")
     assert [r[0] for r in df.select(rounded("x")).collect()] == [1e20, -1e20, -math.inf, 1.234568, None, None]
+
+
+def test_a_value_at_the_mean_does_not_hang_on_the_order_of_rows(spark):
+    from quantloom.operators import learning as L
+    rows = [(1, k, 0.1 * k if k != 3 else 0.3, float(k)) for k in (1, 2, 3)]           # 0.1 + 0.2 + 0.3 is above 0.6 in this order only
+    for r in (rows, rows[::-1]):
+        got = L.directional_accuracy(spark.createDataFrame(r, "symbol int, ts int, y_true double, y_pred double").coalesce(1), "changes").first()
+        assert (got.up_accuracy, got.down_accuracy) == (1.0, 0.5)
