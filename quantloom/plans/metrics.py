@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quantloom.operators import metrics as M
+from quantloom.operators import held as HE, metrics as M
 from quantloom.plans import query
 from quantloom.plans.kit import (ASSET, FACTORS, MARKET, META, B, O, U, W, dv, lag, pick, result, rnd, roll, rounded,
                                  steps, with_)
@@ -151,29 +151,23 @@ AC = ("hp AS (SELECT a.portfolio, a.symbol AS i, b.symbol AS j FROM sw a JOIN sw
 
 
 def stored_held(spark, sf_dir):
-    """Returns and weights, stored once: every step of the covariances reads both."""
-    return checkpointed(T.asset_returns(spark, sf_dir)), checkpointed(sector_portfolios(spark, sf_dir))
-
-
-def covariance_of_held(spark, sf_dir):
-    returns, weights = stored_held(spark, sf_dir)
-    pairs = M.held_pairs(weights)
-    return M.asset_covariance(returns, pairs), pairs
+    """Returns as lists and weights, stored once: every step of the robust covariance reads both."""
+    return checkpointed(HE.day_lists(T.asset_returns(spark, sf_dir))), checkpointed(sector_portfolios(spark, sf_dir))
 
 
 simple("asset_covariance", with_(META, ASSET, SECTOR_W, *AC, body=pick(["cov", "corr"], 7, keys=("i", "j", "n"), ts=None, source="ac")), ["cov", "corr"], 7,
-       lambda s, d: covariance_of_held(s, d)[0], ("i", "j", "n"))
+       lambda s, d: HE.held_asset_covariance(T.asset_returns(s, d), checkpointed(sector_portfolios(s, d))), ("i", "j", "n"))
 simple("asset_mean_returns", with_(ASSET, "f AS (SELECT symbol, avg(ret) AS mean, var_samp(ret) AS variance FROM asset GROUP BY 1)", body=pick(["mean", "variance"], 7, ts=None, source="f")), ["mean", "variance"], 7,
        lambda s, d: T.asset_returns(s, d).groupBy("symbol").agg(F.avg("ret").alias("mean"), F.var_samp("ret").alias("variance")))
 simple("shrunk_asset_covariance", with_(META, ASSET, SECTOR_W, *AC, """f AS (SELECT portfolio, i, j, 0.9 * cov + CASE WHEN i = j THEN 0.1 * avg(cov) FILTER (i = j) OVER (PARTITION BY portfolio) ELSE 0 END AS cov FROM hp JOIN ac USING (i, j))""",
-    body=pick(["cov"], 7, keys=("portfolio", "i", "j"), ts=None, source="f")), ["cov"], 7, lambda s, d: M.shrunk_asset_covariance(*covariance_of_held(s, d)), ("portfolio", "i", "j"))
+    body=pick(["cov"], 7, keys=("portfolio", "i", "j"), ts=None, source="f")), ["cov"], 7, lambda s, d: HE.held_shrunk_covariance(T.asset_returns(s, d), checkpointed(sector_portfolios(s, d))), ("portfolio", "i", "j"))
 
 
 THRESHOLD = 0.08        # some days of every sector lie beyond it
 simple("robust_asset_covariance", with_(META, ASSET, SECTOR_W, AC[0], "cx AS (SELECT symbol, ts, ret - quantile_disc(ret, 0.5) OVER (PARTITION BY symbol) AS x FROM asset)",
     f"dw AS (SELECT portfolio, ts, CASE WHEN sqrt(sum(x * x)) > {THRESHOLD} THEN {THRESHOLD} / sqrt(sum(x * x)) ELSE 1 END AS w FROM cx JOIN (SELECT DISTINCT portfolio, symbol FROM sw) USING (symbol) GROUP BY 1, 2)",
     "f AS (SELECT hp.portfolio, i, j, count(*) AS n, sum(w * a.x * b.x) / sum(w) AS cov FROM hp JOIN cx a ON a.symbol = i JOIN cx b ON b.symbol = j AND b.ts = a.ts JOIN dw ON dw.portfolio = hp.portfolio AND dw.ts = a.ts GROUP BY 1, 2, 3)",
-    body=pick(["cov"], 8, keys=("portfolio", "i", "j", "n"), ts=None, source="f")), ["cov"], 8, lambda s, d: M.robust_asset_covariance(*stored_held(s, d), threshold=THRESHOLD), ("portfolio", "i", "j", "n"))
+    body=pick(["cov"], 8, keys=("portfolio", "i", "j", "n"), ts=None, source="f")), ["cov"], 8, lambda s, d: HE.held_robust_covariance(*stored_held(s, d), threshold=THRESHOLD), ("portfolio", "i", "j", "n"))
 
 
 @query("weighted_portfolio_returns", with_(ASSET, META, SECTOR_W, "f AS (SELECT portfolio, ts, sum(w * ret) / nullif(sum(w), 0) AS ret FROM asset JOIN sw USING (symbol) GROUP BY 1, 2)",
