@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quantloom.functions.scalar import div
 from quantloom.operators.joins import asof_join
@@ -30,40 +33,42 @@ def trigger_band(orders: DataFrame) -> DataFrame:
     return orders.withColumns({"_low": low, "_high": high})
 
 
+SLOT, CELLS = 20_000, 1 << 22          # orders of a symbol that meet its bars at once; order x bar cells compared at once
+
+
 def first_executions(orders: DataFrame, bars: DataFrame, order_keys=("order_id",)) -> DataFrame:
-    """First bar after each order whose close lies in its band, and the execution price.
+    """First bar after each order whose close lies in its band, and the execution price; orders without one are left out, as are those with a null key.
 
-    First every order meets the bars of its own and of the next month, by symbol and month.  Those that found nothing
-    look into one (month, lowest, highest) list per symbol, bounded by the calendar, for the later months in which
-    their band can be met: with one bound the first such month holds the hit, with two bounds all of them are tried.
+    Orders and bars meet by symbol, and those of a symbol with many orders in slots, of which each gets the symbol's bars, a list bounded by the calendar.  An order travels once and is
+    compared in arrays with the bars of its symbol: no row is made per order and bar or month.
     """
-    keys = list(order_keys)
-    month = F.date_trunc("month", "ts")
-    b = bars.select("symbol", F.col("ts").alias("bar_ts"), "close").withColumn("_m", F.date_trunc("month", "bar_ts"))
-    low, high = F.col("_low"), F.col("_high")
-    todo = trigger_band(orders).select(*keys, "symbol", "ts", "_low", "_high").withColumn("_om", month)
-    next_month = F.add_months(F.to_date("_om"), 1)
-
-    def first_hit(cand):
-        ok = (F.col("bar_ts") > F.col("ts")) & (low.isNull() | (F.col("close") >= low)) & (high.isNull() | (F.col("close") <= high))
-        return cand.join(b, ["symbol", "_m"]).where(ok).groupBy(*keys).agg(
-            F.min("bar_ts").alias("_hit_ts"), F.min_by("close", "bar_ts").alias("_hit"))     # bar times are unique per symbol
-    soon = F.array(F.col("_om"), F.date_trunc("month", next_month))
-    near = first_hit(todo.withColumn("_m", F.explode(soon)))
-    months = b.groupBy("symbol", "_m").agg(F.min("close").alias("lo"), F.max("close").alias("hi"))
-    lists = months.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("_m", "lo", "hi"))).alias("_months"))
-
-    def possible(x):
-        return (x["_m"] > F.date_trunc("month", next_month)) & (high.isNull() | (x["lo"] <= high)) & (low.isNull() | (x["hi"] >= low))
-    rest = todo.join(near, keys, "left_anti").join(lists, "symbol").withColumn("_found", F.filter("_months", possible)).drop("_months")
-    two_sided = low.isNotNull() & high.isNotNull()
-    picked = F.when(two_sided, F.col("_found")).otherwise(F.slice("_found", 1, 1))
-    far = first_hit(rest.withColumn("_m", F.explode(F.transform(picked, lambda x: x["_m"]))).drop("_found"))
-    j = orders.join(near.unionByName(far), keys)
+    keys, names = list(order_keys), orders.columns
+    slots = orders.groupBy("symbol").agg(F.ceil(F.count(F.lit(1)) / SLOT).cast("int").alias("_slots"))
+    o = trigger_band(orders.dropna(subset=keys)).withColumns({"_low": F.col("_low").cast("double"), "_high": F.col("_high").cast("double")})
+    o = o.join(slots, "symbol").withColumn("_slot", F.pmod(F.xxhash64(*keys), "_slots").cast("int")).select(*names, "_low", "_high", "_slot")
+    b = bars.select("symbol", F.col("ts").alias("bar_ts"), F.col("close").cast("double").alias("close")).join(slots, "symbol")
+    b = b.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.col("_slots") - 1))).select("symbol", "_slot", "bar_ts", "close")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("bar_ts")
+        days, close = right["bar_ts"].to_numpy(), right["close"].to_numpy()
+        ts, low, high = (left[c].to_numpy()[:, None] for c in ("ts", "_low", "_high"))
+        hit = np.full(left.num_rows, -1)
+        step = max(CELLS // max(len(days), 1), 1)
+        for at in range(0, left.num_rows if len(days) else 0, step):
+            t, lo, hi = (x[at:at + step] for x in (ts, low, high))
+            ok = (days > t) & (np.isnan(lo) | (close >= lo)) & (np.isnan(hi) | (close <= hi))
+            hit[at:at + step] = np.where(ok.any(axis=1), ok.argmax(axis=1), -1)
+        found = np.flatnonzero(hit >= 0)
+        bar = right.take(hit[found])
+        out = left.take(found).select(names)
+        return out.append_column("fill_ts", bar["bar_ts"]).append_column("_hit", bar["close"])
+    schema = StructType([*orders.schema.fields, StructField("fill_ts", bars.schema["ts"].dataType), StructField("_hit", DoubleType())])
+    j = o.groupBy("symbol", "_slot").cogroup(b.groupBy("symbol", "_slot")).applyInArrow(run, schema)
     close, limit, buy = F.col("_hit"), F.col("price"), F.col("side") == "BUY"
     bounded = F.col("order_type").isin("LIMIT", "STOP_LIMIT")
     price = F.when(bounded & buy, F.least(close, limit)).when(bounded, F.greatest(close, limit)).otherwise(close)
-    return j.select(*orders.columns, F.col("_hit_ts").alias("fill_ts"), price.alias("fill_price"))
+    return j.select(*names, "fill_ts", price.alias("fill_price"))
 
 
 LARGE_ORDER = 10_000

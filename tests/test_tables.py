@@ -247,3 +247,15 @@ def test_confidence_rule_inside_a_strategy(spark):
 def test_newest_state_of_each_window(spark):
     rows = spark.createDataFrame([("a", 1, 2.0, 0, 0), ("a", 1, 5.0, 1, 1), ("a", 2, 7.0, 0, 0), ("b", 1, None, 1, 1)], "symbol string, ts int, close double, batch long, b int")
     assert sorted(map(tuple, SB.newest(rows, ["symbol", "ts"]).collect()), key=str) == [("a", 1, 5.0), ("a", 2, 7.0), ("b", 1, None)]
+
+
+def test_orders_that_never_execute_make_no_rows(spark):
+    """Orders of a hot symbol meet its bars in slots; an order whose band is never met is a row of no join."""
+    days = pd.date_range("2020-01-01", periods=900)
+    bars = spark.createDataFrame(pd.DataFrame({"symbol": 1, "ts": days, "close": np.where(np.arange(900) % 2 == 0, 10.0, 30.0)}))
+    n = 3 * BT.SLOT
+    orders = spark.range(n).select(F.col("id").alias("order_id"), F.lit(1).cast("long").alias("symbol"), F.lit("STOP_LIMIT").alias("order_type"), F.lit("BUY").alias("side"), F.lit(days[0]).alias("ts"),
+                                   F.when(F.col("id") % 1000 == 0, 30.0).otherwise(25.0).alias("price"), F.lit(15.0).alias("stop_price"))
+    out = BT.first_executions(orders, bars)
+    assert {(r.order_id % 1000, str(r.fill_ts)[:10], r.fill_price) for r in out.collect()} == {(0, "2020-01-02", 30.0)} and out.count() == n // 1000
+    assert "CoGroup" in out._jdf.queryExecution().optimizedPlan().toString()                 # was a join on (symbol, month) with 30 rows for each of these orders
