@@ -6,7 +6,6 @@ import pickle
 from itertools import islice
 
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 
@@ -58,37 +57,40 @@ class Aggregate:
         raise NotImplementedError
 
 
+SHARE = 400                 # rows of a key that are folded together
 MOST_STATES = 20_000        # held by a task before it puts them out; a key that comes again starts a new state, which is merged later
 
 
 def partial_aggregate(df: DataFrame, keys, columns, aggregate: Aggregate, out: str = "value", kind: str = "double", fan: int = 64) -> DataFrame:
     """(keys, out) of a user aggregate over `columns`, one row per key.
 
-    Tasks fold their own rows into one state per key and put it out as bytes.  States are merged in two levels: by key and `fan` slots of tasks, then by key.  A key with a third of
-    all rows is as many rows as there were tasks, and no task sees more than its share.  Null keys are a key; an empty table gives no rows.
+    Rows of a key come together in parts of some `SHARE` rows, so that `add` runs once a part and not for every few rows that a batch holds of a key; each part is folded into a state, put
+    out as bytes.  States are merged in two levels: by key and `fan` slots of parts, then by key.  A key with a third of all rows is many parts, and no task sees more than its share.  Null
+    keys are a key; an empty table gives no rows.
     """
     keys, columns = list(keys), list(columns)
     named = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
     kinds = ", ".join(f"k{i} {df.schema[k].dataType.simpleString()}" for i, k in enumerate(keys))
-    work = df.select(F.to_json(named, {"ignoreNullFields": "false"}).alias("_key"), *columns)          # one text a key: whole numbers and nulls stay what they are
+    work = df.select(F.to_json(named, {"ignoreNullFields": "false"}).alias("_key"), F.monotonically_increasing_id().alias("_id"), *columns)          # one text a key: whole numbers and nulls stay what they are
+    many = work.groupBy("_key").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("_parts")).where("_parts > 1")
+    part = F.pmod(F.xxhash64("_id"), F.coalesce("_parts", F.lit(1))).cast("int")
+    work = work.join(many, "_key", "left").select("_key", part.alias("_part"), *columns).repartition("_key", "_part").sortWithinPartitions("_key", "_part")
 
     def in_frames(pairs, names, value):
         while some := list(islice(pairs, 5000)):
             yield pd.DataFrame([[*key, value(state)] for key, state in some], columns=names, dtype=object)
 
     def fold(frames):
-        slot = TaskContext.get().partitionId() % fan
-
         def folded():
             states = {}
             for f in frames:
-                for key, part in f.groupby("_key", sort=False):
-                    states[key] = aggregate.add(states[key] if key in states else aggregate.start(), part[columns])
+                for key, part in f.groupby(["_key", "_part"], sort=False)[columns]:
+                    states[key] = aggregate.add(states[key] if key in states else aggregate.start(), part)
                 if len(states) > MOST_STATES:
                     yield from states.items()
                     states = {}
             yield from states.items()
-        yield from in_frames((((key, slot), state) for key, state in folded()), ["_key", "_slot", "_state"], pickle.dumps)
+        yield from in_frames((((key, part % fan), state) for (key, part), state in folded()), ["_key", "_slot", "_state"], pickle.dumps)
 
     def merged(frames):
         """One state for rows that follow each other with the same key (and slot)."""

@@ -85,3 +85,17 @@ def test_state_after_many_actions_is_that_of_each_in_turn():
                 for a in some:
                     want = next_state(want, a)
                 assert state_after(start, np.array(some, dtype=object)) == want
+
+
+def test_rows_of_a_key_are_folded_together(spark):
+    """Keys that come back in every batch are not added a few rows at a time."""
+    calls = spark.sparkContext.accumulator(0)
+    base = type(chunks())
+
+    class Counted(base):
+        def add(self, state, rows):
+            calls.add(1)
+            return base.add(self, state, rows)
+    df = spark.range(30000, numPartitions=6).select((F.col("id") % 300).alias("key"), F.lit(1.0).alias("x"))
+    got = US.partial_aggregate(df, ["key"], ["x"], Counted(), kind="array<double>").collect()
+    assert len(got) == 300 and all(r.value[0] == 100 for r in got) and calls.value <= 330           # was 1,800: a call for each key of each task
