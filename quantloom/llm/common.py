@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quantloom.session import checkpointed
@@ -10,7 +13,7 @@ from quantloom.session import checkpointed
 ASCII_SPACE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-__all__ = ["ASCII_SPACE", "ascii_lower", "checkpointed", "crc_remainder", "is_empty", "pick_columns", "table"]
+__all__ = ["ASCII_SPACE", "ascii_lower", "checkpointed", "crc_remainder", "is_empty", "pick_columns", "pieces", "table"]
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +34,13 @@ def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of some rows: what a task holds beside a batch, texts and hashes as Python has them, is that of a part only."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def pick_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that a caller's further columns can't clash with working ones."""
     return df.select(*[df[n] for n in names])

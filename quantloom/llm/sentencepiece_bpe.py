@@ -21,9 +21,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from quantloom.llm.common import pieces
+
 META = "▁"
 NONE = np.iinfo(np.int32).max
-CACHE_WORDS, CACHE_IDS = 400_000, 8_000_000     # per worker; then the cache starts anew
+CACHE_WORDS, CACHE_IDS = 100_000, 2_000_000     # per worker; then the cache starts anew
 
 
 class Vocabulary:
@@ -280,7 +282,7 @@ def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
-        for b in batches:
+        for b in pieces(batches):
             texts = b.column(at).to_pylist()
             for s in _slices(texts):
                 part = b.slice(s.start, s.stop - s.start)

@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from quantloom.llm.common import checkpointed, is_empty, pick_columns
+from quantloom.llm.common import checkpointed, is_empty, pick_columns, pieces
 from quantloom.llm.components import connected_components
 
 SEED = 42                # fixed by the contract
@@ -52,7 +52,7 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle
     docs = pick_columns(df, key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             fp = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], [key, "fp"])
 

@@ -601,3 +601,16 @@ def test_registered():
     numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in entry.queries() if re.match(r"op\d+_", n))
     assert numbers == list(range(1, 14)) and "pipeline" in entry.queries()
     assert json.dumps(sorted(entry.oracle_sql()))
+
+
+def test_pipeline_near_dedup_takes_its_groups_from_simhash(spark, monkeypatch):
+    """Texts of a group that SimHash names are compared though they share no band, and the exact similarity decides on them."""
+    base = [f"w{k}" for k in range(300)]
+    rows = [(5, " ".join(base)), (3, " ".join(base[:60] + [f"u{k}" for k in range(240)])), (9, " ".join(f"v{k}" for k in range(300))), (11, ""), (12, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    named = simhash.near_duplicates(df).withColumn("component_id", F.lit(1))
+    found = lambda **more: {r.doc_id: r.component_id for r in shingle_dedup.shingle_duplicates(df, similarity=0.09, **more).collect()}
+    assert found() == {5: 5, 3: 3, 9: 9, 11: 11, 12: 11} and found(candidates=named) == {5: 3, 3: 3, 9: 9, 11: 11, 12: 11}
+    asked = []
+    monkeypatch.setattr(corpus_pipeline, "near_duplicates", lambda docs: asked.append(docs) or simhash.near_duplicates(docs))
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, df, SF).collect()} == {3, 5, 9, 11} and asked
