@@ -7,6 +7,8 @@ How this holds for large tables:
 
 * Bars have one row per (symbol, time bucket): a symbol that holds a third of all *ticks* has collapsed, by map-side
   aggregation, to at most one row per bucket before any window sees it.  A century of daily bars is 36,525 rows.
+* A window holds the sorted rows of its task, once for each order.  Keys are therefore dealt over partitions whose number follows
+  the bytes of the input (`dealt`), so that a task's memory does not grow with the tables.
 * Series without such a bound (ticks, second bars) use `Series(..., block_rows=B, lookback=L)`.  Rows are numbered
   exactly without a window over the whole symbol, cut into blocks of B rows, and each block also receives the L rows
   before it.  Windows then run per (symbol, block); a hot symbol spreads over as many tasks as it has blocks.
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -24,6 +27,28 @@ from quantloom.functions.scalar import corr_of, div, strict_greatest
 
 _TMP = re.compile(r"_q\d+_")
 ROW, BLOCK, OWN = "_row", "_block", "_own"
+#: Bytes of input files per partition of a window stage.
+PART_BYTES = 4_000_000
+_BYTES: dict[tuple, int] = {}
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files that `df` reads, from the listing alone; 0 where it reads none (local rows, checkpoints)."""
+    files = tuple(sorted(df.inputFiles()))
+    if files and files not in _BYTES:
+        listed = df.sparkSession.read.format("binaryFile").load([unquote(f) for f in files])
+        _BYTES[files] = listed.agg(F.sum("length")).first()[0]
+    return _BYTES.get(files, 0)
+
+
+def dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows dealt by key over partitions whose number follows the input.
+
+    The session's own number of partitions is fixed and small ones are merged by their compressed size, of which a window's sorted rows take fifty times as much.
+    A small input is left to the session.
+    """
+    n = math.ceil(input_bytes(df) / PART_BYTES) if keys else 0
+    return df.repartition(n, *keys) if n > df.sparkSession.sparkContext.defaultParallelism else df
 
 
 def number_rows(df: DataFrame, keys: list[str], ts: str, chunk: Column) -> DataFrame:
@@ -113,7 +138,7 @@ class Series(Layers):
         else:
             self.part = self.keys
             self.order = Window.partitionBy(*self.part).orderBy(ts)
-            df = df.withColumn(ROW, F.row_number().over(self.order).cast("long"))
+            df = dealt(df, self.keys).withColumn(ROW, F.row_number().over(self.order).cast("long"))
         super().__init__(df)
         self.source_columns = source
         self._dense: set[str] = set()
