@@ -2,8 +2,8 @@
 
 Candidates are numbers of a grid that is never listed: a number is decoded digit by digit (mixed radix) into a kind and its parameters.  Linear kinds meet the rows
 once, as moments of every fold and side: a candidate's coefficients come from the training moments, its error from the test moments, so a thousand penalties cost
-no further pass.  Trees grow level by level: one pass and one aggregate by (variant, fold, node, feature, bin) for all candidates and folds, and a tree's upper levels
-are the shallower trees.  What is joined or stored has the size of candidates x folds, or of tree cells.
+no further pass.  Trees see bins only: rows of equal bins are added up once, then trees grow level by level with one aggregate by (variant, fold, node, feature, bin)
+for all candidates and folds, and a tree's upper levels are the shallower trees.  What is joined or stored has the size of candidates x folds, or of tree cells.
 """
 
 from __future__ import annotations
@@ -122,16 +122,16 @@ def tree_scores(folds: DataFrame, features: list[str], y: str, todo: list[Candid
     kinds = sorted({(int(c["min_rows"]), int(c["bins"])) for c in todo})
     variants = spark.createDataFrame([(v, m, b) for v, (m, b) in enumerate(kinds)], "variant int, min_rows int, bins int")
     slot = lambda i, c: F.least(F.coalesce(F.floor(div(F.col(c) - F.col(f"lo_{i}"), F.col(f"hi_{i}") - F.col(f"lo_{i}")) * F.col("bins")), F.lit(0)), F.col("bins") - 1)
-    base = rows.join(F.broadcast(edges), F.lit(True)).join(F.broadcast(variants), F.lit(True)).select(
-        "variant", "fold", (F.col("side") == "train").alias("train"), F.col(y).cast("double").alias("y"), F.array(*[slot(i, c).cast("int") for i, c in enumerate(features)]).alias("at"),
-        F.lit(1).cast("long").alias("node"))
+    placed = rows.join(F.broadcast(edges), F.lit(True)).join(F.broadcast(variants), F.lit(True)).select(
+        "variant", "fold", (F.col("side") == "train").alias("train"), F.col(y).cast("double").alias("y"), F.array(*[slot(i, c).cast("int") for i, c in enumerate(features)]).alias("at"))
+    base = checkpointed(placed.groupBy("variant", "fold", "train", "at").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("q"))
+                        .withColumn("node", F.lit(1).cast("long")))                          # the one pass over the rows
     deepest, scores = max(int(c["depth"]) for c in todo), []
     for level in range(deepest + 1):
-        long = base.select("variant", "fold", "node", "train", "y", F.posexplode("at").alias("feature", "bin"))
-        y_, own = F.col("y"), F.col("train")
-        cells = checkpointed(long.groupBy("variant", "fold", "node", "feature", "bin").agg(
-            F.count_if(own).alias("n"), F.coalesce(F.sum(F.when(own, y_)), F.lit(0.0)).alias("s"),
-            F.count_if(~own).alias("tn"), F.coalesce(F.sum(F.when(~own, y_)), F.lit(0.0)).alias("ts"), F.coalesce(F.sum(F.when(~own, y_ * y_)), F.lit(0.0)).alias("tq")))
+        long = base.select("variant", "fold", "node", "train", "n", "s", "q", F.posexplode("at").alias("feature", "bin"))
+        added = lambda own, c: F.coalesce(F.sum(F.when(own, F.col(c))), F.lit(0)).alias(("" if own is train else "t") + c)
+        train, test = F.col("train"), ~F.col("train")
+        cells = checkpointed(long.groupBy("variant", "fold", "node", "feature", "bin").agg(added(train, "n"), added(train, "s"), added(test, "n"), added(test, "s"), added(test, "q")))
         nodes = cells.where("feature = 0").groupBy("variant", "fold", "node").agg(*[F.sum(c).alias(c) for c in ("n", "s", "tn", "ts", "tq")])
         mean = div(F.col("s"), F.col("n"))
         error = F.sum(F.col("tq") - 2 * mean * F.col("ts") + mean * mean * F.col("tn"))
@@ -140,7 +140,7 @@ def tree_scores(folds: DataFrame, features: list[str], y: str, todo: list[Candid
             break
         splits = checkpointed(best_splits(cells, variants))
         base = base.join(splits, ["variant", "fold", "node"], "left").select(
-            "variant", "fold", "train", "y", "at",
+            "variant", "fold", "train", "n", "s", "q", "at",
             F.when(F.col("feature").isNull(), F.col("node")).otherwise(2 * F.col("node") + (F.get("at", "feature") > F.col("edge")).cast("long")).alias("node"))
     all_scores = reduce(DataFrame.unionByName, scores)
     asked = spark.createDataFrame([(c.number, kinds.index((int(c["min_rows"]), int(c["bins"]))), int(c["depth"])) for c in todo], "candidate long, variant int, depth int")
