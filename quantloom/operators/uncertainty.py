@@ -82,7 +82,7 @@ def bootstrap_intervals(train: DataFrame, rows: DataFrame, features: list[str],
     known = F.lit(True)
     for c in features:
         known = known & F.col(c).isNotNull()
-    d = d.withColumn("_p", F.array_sort(F.when(known, F.transform("models", value)).otherwise(F.array().cast("array<double>"))))
+    d = d.withColumn("_p", F.sort_array(F.when(known, F.transform("models", value)).otherwise(F.array().cast("array<double>"))))       # array_sort compares by an interpreted lambda
     d = d.withColumn("_p", F.coalesce("_p", F.array().cast("array<double>"))).withColumn("_mean", array_mean(F.col("_p")))
     p, half = F.col("_p"), (1 - level) / 2
     return d.select(*rows.columns, F.col("_mean").alias("mean"), array_deviation(p, F.col("_mean")).alias("sd"), array_quantile(p, half).alias("low"),
