@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quantloom.functions.scalar import corr_of, div
 from quantloom.functions.stats import unbiased_kurtosis, unbiased_skewness
 from quantloom.operators.indicators import REGISTRY, require_columns
-from quantloom.operators.rolling import rolling_columns
+from quantloom.operators.indicators.momentum import strength_index
+from quantloom.operators.rolling import rolling_columns, with_moments
 from quantloom.operators.series import Series
 
 CUSTOM: dict = {}
@@ -44,45 +46,47 @@ def compute_features(df: DataFrame, request: dict, keys=("symbol",), ts="ts") ->
     return s.frame(out)
 
 
+def decay_weights(period: int, decay_factor: float) -> list[float]:
+    weights = [decay_factor ** i for i in range(period)]
+    return [w / sum(weights) for w in weights]
+
+
 @custom_feature("CustomMomentum")
 def decayed_momentum(s, period=20, decay_factor=0.9):
     """Weighted mean of the last returns; the oldest row of the window weighs most."""
-    weights = [decay_factor ** i for i in range(period)]
     r = s.let(s.pct(s.close))
     values = s.let(s.window_array(period, r))
-    pairs = F.zip_with(values, F.array(*[F.lit(w / sum(weights)) for w in weights]), lambda a, b: a * b)
+    pairs = F.zip_with(values, F.array(*[F.lit(w) for w in decay_weights(period, decay_factor)]), lambda a, b: a * b)
     return F.when(values.isNotNull(), F.aggregate(pairs, F.lit(0.0), lambda a, v: a + v))
 
 
-def dual_volatility(s, short_period=10, long_period=30, threshold=0.02):
-    r = s.let(s.pct(s.close))
-    short, long = s.let(s.roll(F.stddev_samp, short_period, r)), s.let(s.roll(F.stddev_samp, long_period, r))
+def dual_volatility(short: Column, long: Column, threshold=0.02):
     return {"short_vol": short, "long_vol": long, "vol_ratio": div(short, long),
             "vol_regime": F.when(short > threshold, 1.0).otherwise(0.0)}
 
 
-def microstructure(s, period=20):
-    move, v = s.close - s.open, s.volume
-    value = s.let((s.high + s.low + s.close) / 3 * v)
-    fair = div(s.roll(F.sum, period, value), s.roll(F.sum, period, v))
-    return {"price_impact": s.roll(F.avg, period, s.let(div(F.abs(move), v))),
-            "intraday_range": s.roll(F.avg, period, s.let(div(s.high - s.low, s.close))),
-            "vw_price_change": s.roll(F.avg, period, s.let(move * v)),
-            "market_efficiency": 1 - div(F.abs(s.close - fair), s.close)}
-
-
-def composite_signal(s, rsi_period=14, macd_fast=12, macd_slow=26, bb_period=20):
-    from quantloom.operators.indicators.momentum import rsi_of
-    mean, sd = s.roll(F.avg, bb_period, s.close), s.roll(F.stddev_samp, bb_period, s.close)
-    place = div(s.close - (mean - 2 * sd), 4 * sd)
-    trend = F.tanh(div(s.ewm(s.close, macd_fast) - s.ewm(s.close, macd_slow), s.roll(F.stddev_samp, 20, s.close)))
-    return {"composite": ((rsi_of(s, rsi_period) - 50) / 50 + trend + (place - 0.5) * 2) / 3}
+def composite_signal(close: Column, mean: Column, sd: Column, macd: Column, rsi: Column):
+    place = div(close - (mean - 2 * sd), 4 * sd)
+    return {"composite": ((rsi - 50) / 50 + F.tanh(div(macd, sd)) + (place - 0.5) * 2) / 3}
 
 
-def plugin_indicators(df: DataFrame) -> DataFrame:
+def plugin_indicators(df: DataFrame, period=20, short=10, long=30, rsi_period=14, decay_factor=0.9) -> DataFrame:
+    """Custom momentum, two volatilities, microstructure and a composite signal.  Changes and exponential means are windows; a task takes the rolling moments of all of them at once."""
     s = Series(df)
-    out = {"custom_momentum": decayed_momentum(s), **dual_volatility(s), **microstructure(s), **composite_signal(s)}
-    return s.frame(out, keep=["symbol", "ts"])
+    d, move = s.let(s.diff(s.close)), s.close - s.open
+    base = {"_close": s.close, "_volume": s.volume, "_change": s.pct(s.close), "_impact": div(F.abs(move), s.volume), "_span": div(s.high - s.low, s.close),
+            "_moved": move * s.volume, "_value": (s.high + s.low + s.close) / 3 * s.volume, "_macd": s.ewm(s.close, 12) - s.ewm(s.close, 26),
+            "_gain": F.when(d > 0, d).otherwise(F.lit(0.0)), "_loss": F.when(d < 0, -d).otherwise(F.lit(0.0))}
+    wanted = [("_change", period, "decayed"), ("_change", short, "std"), ("_change", long, "std"), ("_close", period, "mean"), ("_close", period, "std"),
+              ("_value", period, "sum"), ("_volume", period, "sum"), *[(c, period, "mean") for c in ("_impact", "_span", "_moved")], *[(c, rsi_period, "mean") for c in ("_gain", "_loss")]]
+    m = with_moments(s, {k: c.cast("double") for k, c in base.items()}, wanted, {"decayed": np.array(decay_weights(period, decay_factor))}, ["symbol", "ts"])
+    of = lambda c, n, op: F.col(f"_{c}_rolling_{n}_{op}")
+    close, fair = F.col("_close"), div(of("value", period, "sum"), of("volume", period, "sum"))
+    out = {"custom_momentum": of("change", period, "decayed"), **dual_volatility(of("change", short, "std"), of("change", long, "std")),
+           "price_impact": of("impact", period, "mean"), "intraday_range": of("span", period, "mean"), "vw_price_change": of("moved", period, "mean"),
+           "market_efficiency": 1 - div(F.abs(close - fair), close),
+           **composite_signal(close, of("close", period, "mean"), of("close", period, "std"), F.col("_macd"), strength_index(of("gain", rsi_period, "mean"), of("loss", rsi_period, "mean")))}
+    return m.select("symbol", "ts", *[c.alias(k) for k, c in out.items()])
 
 
 # ---- checks of a feature frame --------------------------------------------------------------------------------------

@@ -116,50 +116,62 @@ def rolling_columns(s: Series, columns, windows, operations, quantiles=(0.25, 0.
 MOMENTS = ("mean", "std", "min", "max", "sum", "skew", "kurt")
 
 
-def window_moments(x: np.ndarray, known: np.ndarray, n: int, operations) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+def window_moments(x: np.ndarray, known: np.ndarray, n: int, operations, weights=None) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """(value, whether there is one) of every operation for each window of n values of x, one that holds an unknown value has none.
 
-    As in SQL, a window of equal values has no skewness and kurtosis, and NaN is above all numbers.
+    As in SQL, a window of equal values has no skewness and kurtosis, and NaN is above all numbers.  `weights` names further operations by the weights of their sums, oldest first.
     """
     v = np.lib.stride_tricks.sliding_window_view(x, n)
     full = np.lib.stride_tricks.sliding_window_view(known, n).all(axis=1)
     with np.errstate(all="ignore"):
-        low, high, total = np.fmin.reduce(v, axis=1), v.max(axis=1), v.sum(axis=1)
-        d = v - np.where(low == high, low, total / n)[:, None]          # equal values have no deviation to the last bit
-        d2 = d * d
-        m2 = d2.sum(axis=1)
-        varies = full & (m2 != 0)
-        make = {
-            "mean": lambda: (total / n, full), "sum": lambda: (total, full), "min": lambda: (low, full), "max": lambda: (high, full),
-            "std": lambda: (np.sqrt(m2 / max(n - 1, 1)), full & (n > 1)),
-            "skew": lambda: (math.sqrt(n) * (d2 * d).sum(axis=1) / np.sqrt(m2 ** 3) * (math.sqrt(n * (n - 1)) / (n - 2)), varies),
-            "kurt": lambda: (((n * (d2 * d2).sum(axis=1) / m2 ** 2 - 3) * (n + 1) + 6) * ((n - 1) / ((n - 2) * (n - 3))), varies),
-        }
+        total = v.sum(axis=1)
+        make = {"mean": lambda: (total / n, full), "sum": lambda: (total, full)}
+        make |= {op: lambda w=w: (v @ w, full) for op, w in (weights or {}).items()}
+        if set(operations) - set(make):
+            low, high = np.fmin.reduce(v, axis=1), v.max(axis=1)
+            d = v - np.where(low == high, low, total / n)[:, None]          # equal values have no deviation to the last bit
+            d2 = d * d
+            m2 = d2.sum(axis=1)
+            varies = full & (m2 != 0)
+            make |= {
+                "min": lambda: (low, full), "max": lambda: (high, full),
+                "std": lambda: (np.sqrt(m2 / max(n - 1, 1)), full & (n > 1)),
+                "skew": lambda: (math.sqrt(n) * (d2 * d).sum(axis=1) / np.sqrt(m2 ** 3) * (math.sqrt(n * (n - 1)) / (n - 2)), varies),
+                "kurt": lambda: (((n * (d2 * d2).sum(axis=1) / m2 ** 2 - 3) * (n + 1) + 6) * ((n - 1) / ((n - 2) * (n - 3))), varies),
+            }
         return {op: make[op]() for op in operations}
 
 
-def with_moments(s: Series, out: dict[str, Column], columns, windows, operations) -> DataFrame:
-    """The frame of `s` with further columns for the moments.  Rows lie by key and time behind the series' windows; a batch brings the last rows of the one before along."""
-    df = s.frame(out | {"_row": s.row}).sortWithinPartitions(*s.keys, "_row")
+def with_moments(s: Series, out: dict[str, Column], wanted, weights=None, keep=None) -> DataFrame:
+    """The frame of `s` with a further column `{col}_rolling_{window}_{op}` for each (col, window, op) of `wanted`; the columns are doubles.
+
+    Rows lie by key and time behind the series' windows; a batch brings the last rows of the one before along.
+    """
+    df = s.frame(out | {"_row": s.row}, keep).sortWithinPartitions(*s.keys, "_row")
     kept = [c for c in df.columns if c != "_row"]
-    names = [(c, n, op) for c in columns for n in windows for op in operations]
-    schema = ", ".join([f"`{c}` {t}" for c, t in df.dtypes if c != "_row"] + [f"`{c}_rolling_{n}_{op}` double" for c, n, op in names])
-    back = max(windows) - 1
+    steps: dict[tuple[str, int], list[str]] = {}
+    for c, n, op in wanted:
+        steps.setdefault((c, n), []).append(op)
+    names = [f"{c}_rolling_{n}_{op}" for (c, n), ops in steps.items() for op in ops]
+    schema = ", ".join([f"`{c}` {t}" for c, t in df.dtypes if c != "_row"] + [f"`{name}` double" for name in names])
+    columns, back = list(dict.fromkeys(c for c, _ in steps)), max(n for _, n in steps) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = {c: (np.full(back, np.nan), np.zeros(back, bool)) for c in columns}
         for b in batches:
             at = b.column(b.schema.get_field_index("_row")).to_numpy(zero_copy_only=False)
-            more = []
+            long, more = {}, []
             for c in columns:
                 values = b.column(b.schema.get_field_index(c))
                 x = np.concatenate([before[c][0], values.fill_null(np.nan).to_numpy(zero_copy_only=False)])
                 known = np.concatenate([before[c][1], values.is_valid().to_numpy(zero_copy_only=False)])
                 before[c] = x[len(x) - back:], known[len(x) - back:]
-                for n in windows:
-                    for value, has in window_moments(x[back - n + 1:], known[back - n + 1:], n, operations).values():
-                        more.append(pa.array(value, pa.float64(), mask=~(has & (at >= n))))
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in kept] + more, names=kept + [f"{c}_rolling_{n}_{op}" for c, n, op in names])
+                long[c] = x, known
+            for (c, n), ops in steps.items():
+                x, known = long[c]
+                for value, has in window_moments(x[back - n + 1:], known[back - n + 1:], n, ops, weights).values():
+                    more.append(pa.array(value, pa.float64(), mask=~(has & (at >= n))))
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in kept] + more, names=kept + names)
     return df.mapInArrow(run, schema)
 
 
@@ -172,7 +184,8 @@ def rolling_features(df: DataFrame, columns, windows=(20, 50, 200), operations=(
     if not batched or not windows:
         return s.frame(out)
     names = [n for c in columns for w in windows for op in operations for n in ([f"{c}_rolling_{w}_{op}"] if op != "quantile" else [f"{c}_rolling_{w}_quantile_{int(q * 100)}" for q in quantiles])]
-    return with_moments(s, out, list(dict.fromkeys(columns)), list(dict.fromkeys(windows)), batched).select(*df.columns, *dict.fromkeys(names))
+    wanted = [(c, n, op) for c in dict.fromkeys(columns) for n in dict.fromkeys(windows) for op in batched]
+    return with_moments(s, out, wanted).select(*df.columns, *dict.fromkeys(names))
 
 
 def valid_rolling(df: DataFrame, value: str, window: int, operation: str, keys=("symbol",), ts="ts") -> DataFrame:
