@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import threading
 
 from pyspark.sql import SparkSession
 
@@ -41,7 +42,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_base(spark))
 
 
+#: Spark's own switch: the shuffle files of an execution go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_PLANNING = threading.Lock()
+
+
 def checkpointed(df):
-    """Reliable checkpoint: survives the loss of an executor, unlike a cached or local copy."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Reliable checkpoint: survives the loss of an executor, unlike a cached or local copy.
+
+    Nothing reads the shuffle files of a checkpoint again, so they go with it: those of many rounds would otherwise lie beside each other until the driver's next collection.
+    The switch counts while the plan is made and is put back; `df` itself keeps its files.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    with _PLANNING:
+        before = spark.conf.get(CLEANUP)
+        spark.conf.set(CLEANUP, "true")
+        try:
+            once = df.select("*")
+        finally:
+            spark.conf.set(CLEANUP, before)
+    return once.checkpoint(eager=True)
