@@ -45,10 +45,10 @@ def dealt(df: DataFrame, keys: list[str]) -> DataFrame:
     """Rows dealt by key over partitions whose number follows the input.
 
     The session's own number of partitions is fixed and small ones are merged by their compressed size, of which a window's sorted rows take fifty times as much.
-    A small input is left to the session.
+    One part is left to the session; more are dealt over the session's cores at least, since a merge would bring them together again.
     """
     n = math.ceil(input_bytes(df) / PART_BYTES) if keys else 0
-    return df.repartition(n, *keys) if n > df.sparkSession.sparkContext.defaultParallelism else df
+    return df.repartition(max(n, df.sparkSession.sparkContext.defaultParallelism), *keys) if n > 1 else df
 
 
 def number_rows(df: DataFrame, keys: list[str], ts: str, chunk: Column) -> DataFrame:
