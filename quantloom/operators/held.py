@@ -140,10 +140,15 @@ def held_shrunk_covariance(returns: DataFrame, weights: DataFrame, share=0.1, po
     return c.select(portfolio, "i", "j", s.alias("cov"))
 
 
+def around_middle(lists: DataFrame) -> DataFrame:
+    """`lists` with the values around their lower median.  The median is the variable of an outer transform: as a column it would be put into the inner one and a list sorted once for each value."""
+    middle = F.element_at(F.sort_array("values"), F.ceil(F.size("values") / 2).cast("int"))
+    return lists.select("symbol", "days", F.element_at(F.transform(F.array(middle), lambda m: F.transform("values", lambda v: v - m)), 1).alias("values"))
+
+
 def held_robust_covariance(lists: DataFrame, weights: DataFrame, threshold: float, portfolio: str = "portfolio", tile: int = TILE) -> DataFrame:
     """(portfolio, i, j, n, cov) as `metrics.robust_asset_covariance` states it; `lists` (symbol, days, values) are read three times."""
-    middle = F.element_at(F.array_sort("values"), F.ceil(F.size("values") / 2).cast("int"))
-    x = lists.withColumn("_m", middle).select("symbol", "days", F.transform("values", lambda v: v - F.col("_m")).alias("values"))
+    x = around_middle(lists)
     held = weights.select(portfolio, "symbol").distinct()
     rows = held.join(x, "symbol").select(portfolio, F.inline(F.arrays_zip("days", "values"))).toDF(portfolio, "_d", "_x")
     norm = F.sqrt(F.sum(F.col("_x") * F.col("_x")))

@@ -1,5 +1,7 @@
 """Covariances of all held pairs by tiles, against plain pandas and the form by rows."""
 
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -41,3 +43,13 @@ def test_no_row_per_pair_and_day(spark, tables):
     """The rows that meet in a task are assets, not pairs x days."""
     plan = HE.held_covariance(*tables)._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapGroupsInPandas" in plan and "covar" not in plan
+
+
+def test_a_list_is_sorted_once_for_its_median(spark):
+    lists = spark.createDataFrame([(1, [0, 1, 2, 3], [4.0, 1.0, 3.0, 2.0]), (2, [5], [7.0]), (3, [0, 1, 2], [9.0, 9.0, 1.0])], "symbol long, days array<int>, values array<double>")
+    x = HE.around_middle(lists.repartition(2))
+    assert {r.symbol: (r.days, r["values"]) for r in x.collect()} == {1: ([0, 1, 2, 3], [2.0, -1.0, 1.0, 0.0]), 2: ([5], [0.0]), 3: ([0, 1, 2], [0.0, 0.0, -8.0])}
+    long = spark.range(2).selectExpr("id AS symbol", "sequence(0, 39999) AS days", "transform(sequence(0, 39999), i -> CAST((i * 7919 + id) % 40000 AS DOUBLE)) AS values")
+    start = time.time()
+    assert HE.around_middle(long).selectExpr("aggregate(values, 0D, (a, v) -> a + v) AS s").collect() == [(20000.0,)] * 2
+    assert time.time() - start < 20           # some ms a list; sorted once for each of its values, it took minutes
