@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from quantloom.functions.scalar import corr_of, div
 from quantloom.operators.metrics import column_moments
+from quantloom.session import checkpointed
 
 
 def explode_columns(row: DataFrame, columns: list[str], value: str) -> DataFrame:
@@ -145,6 +146,11 @@ def _vector(df, features, out="_x"):
 
 
 def forest_importance(df: DataFrame, features: list[str], target: str, trees=100, depth=5, seed=42) -> DataFrame:
+    """(feature, importance).  The rows are stored once: a forest reads its input for the size, for the splits and for the trees."""
+    return _forest_importance(checkpointed(df.select(*features, target)), features, target, trees, depth, seed)
+
+
+def _forest_importance(df: DataFrame, features: list[str], target: str, trees=100, depth=5, seed=42) -> DataFrame:
     from pyspark.ml.regression import RandomForestRegressor
     data = _vector(df.dropna(subset=[*features, target]), features)
     model = RandomForestRegressor(featuresCol="_x", labelCol=target, numTrees=trees, maxDepth=depth, seed=seed).fit(data)
@@ -158,10 +164,12 @@ def correlation_importance(df: DataFrame, features: list[str], target: str) -> D
 
 
 def recursive_elimination(df: DataFrame, features: list[str], target: str, k: int, trees=50, **forest) -> list[str]:
-    """Drop the least important feature until k are left: one distributed forest per step."""
+    """Drop the least important feature until k are left: one distributed forest per step, all from rows that are stored once."""
     left = list(features)
+    if len(left) > k:
+        df = checkpointed(df.select(*features, target))
     while len(left) > k:
-        scores = {r.feature: r.importance for r in forest_importance(df, left, target, trees, **forest).collect()}
+        scores = {r.feature: r.importance for r in _forest_importance(df, left, target, trees, **forest).collect()}
         left.remove(min(left, key=lambda c: (scores[c], c)))
     return left
 
