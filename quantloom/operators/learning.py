@@ -139,6 +139,10 @@ def blocking_folds(df: DataFrame, splits: int, block: int, gap: int, keys=("symb
 
 
 # ---- models -----------------------------------------------------------------------------------------------------------
+#: Kinds that read their rows many times: store them first.
+TREES = ("random_forest", "gradient_boosting")
+
+
 def regressor(kind: str, features: str, label: str, **p):
     """An MLlib estimator by name."""
     from pyspark.ml import regression as R

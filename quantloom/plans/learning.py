@@ -11,6 +11,7 @@ from quantloom.plans.indicators import RET
 from quantloom.plans.kit import (ASSET, DAILY, MARKET, B, O, U, W, dv, integer_draws, lag, pct, pick, result, rnd, roll, rounded, steps, with_)
 from quantloom.plans.metrics import student
 from quantloom.plans.risk import NORMAL_TAIL, simple
+from quantloom.session import checkpointed
 from quantloom.sources import tables as T
 
 # features and target of each asset day: previous returns and means against the return of the day
@@ -138,6 +139,8 @@ simple("grid_search", with_(*FQ, CVQ.split("\nft AS")[0].rstrip(","), "g AS (SEL
 # ---- models: trained on the rows before 1999, scored on the rest -----------------------------------------------------------
 def scores_of(spark, sf_dir, kind, **p):
     d = features(spark, sf_dir).select("symbol", "ts", "l1", "m5", F.col("ret").alias("y_true"))
+    if kind in L.TREES:
+        d = checkpointed(d)
     pred = L.fit_predict(d.where(F.year("ts") < 1999), d.where(F.year("ts") >= 1999), ["l1", "m5"], "y_true", kind, **p)
     return L.regression_scores(pred)
 
