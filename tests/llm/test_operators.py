@@ -614,3 +614,34 @@ def test_pipeline_near_dedup_takes_its_groups_from_simhash(spark, monkeypatch):
     asked = []
     monkeypatch.setattr(corpus_pipeline, "near_duplicates", lambda docs: asked.append(docs) or simhash.near_duplicates(docs))
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, df, SF).collect()} == {3, 5, 9, 11} and asked
+
+
+def test_near_copies_that_share_no_band_are_linked(spark):
+    """Pairs at exactly 0.8 whose minima agree in no band and whose fingerprints lie beyond 2 bits, between texts that share words only, and a copy under another key."""
+    pair = lambda base, *last: [" ".join([f"b{base}w{i}" for i in range(12)] + [f"z{k}"]) for k in last]
+    texts = [*pair(1, 77, 78), *pair(2, 112, 235), *pair(17, 90, 98, 247)]
+    for a, b in ((0, 1), (2, 3), (4, 5), (5, 6)):
+        assert not {*shingle_dedup.band_keys(shingle_dedup.shingle_hashes(texts[a]))} & {*shingle_dedup.band_keys(shingle_dedup.shingle_hashes(texts[b]))}
+        assert (simhash.fingerprint(texts[a]) ^ simhash.fingerprint(texts[b])).bit_count() > 2
+    rows = [*enumerate(texts), *((10 + i, f"b1w0 b1w1 b1w2 b1w3 b1w4 b1w5 x{i} y{i} v{i} u{i} t{i}") for i in range(40)), (60, texts[1]), (None, texts[0]), (61, None), (62, " ")]
+    df = spark.createDataFrame(rows, "doc_id int, text string").repartition(3)
+    want = brute_jaccard([r for r in rows if r[0] is not None])
+    assert want[1] == 0 and want[3] == 2 and want[60] == 0
+    got = {r.doc_id: r.component_id for r in shingle_dedup.shingle_duplicates(df, exact=True).collect()}
+    assert got == {**want, None: None}
+    kept = [r.doc_id for r in corpus_pipeline.near_dedup(spark, df, SF).collect()]
+    assert sorted(kept, key=str) == sorted([*{*want.values()}, None], key=str)
+
+
+def test_a_hash_with_many_sets_meets_all_of_them(spark, monkeypatch):
+    """Every pair between different roots, whatever the blocks, with common hashes last."""
+    monkeypatch.setattr(shingle_dedup, "BLOCK", 3)
+    texts = [" ".join(f"w{j}" for j in range(14) if j != i % 20) + f" e{i // 5} e{i % 5}" for i in range(40)]
+    sets = [{*map(int, shingle_dedup.shingle_hashes(t))} for t in texts]
+    nodes = [(shingle_dedup.set_digest(shingle_dedup.shingle_hashes(t)), i, len(s)) for i, (t, s) in enumerate(zip(texts, sets))]
+    of = dict(zip((bytes(n[0]) for n in nodes), range(40)))
+    assert len(of) == 40
+    got = shingle_dedup.missed_links(spark.createDataFrame([*enumerate(texts)], "rid int, text string"), spark.createDataFrame([(bytearray(n), i, k, bytearray(n)) for n, i, k in nodes], "node binary, least int, n long, root binary"), 5, 0.5)
+    found = [tuple(sorted((of[bytes(r.u)], of[bytes(r.v)]))) for r in got.collect()]
+    assert len(found) == len({*found})
+    assert {*found} == {(i, j) for i in range(40) for j in range(i + 1, 40) if len(sets[i] & sets[j]) >= 0.5 * len(sets[i] | sets[j])} != set()
